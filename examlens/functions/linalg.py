@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 Gram = Callable[[str, str], Column]
 
@@ -50,7 +50,14 @@ def solve_normal_equations(
         yield pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("rank int, condition_number double")
+@F.pandas_udf(
+    StructType(
+        [
+            StructField("rank", IntegerType()),
+            StructField("condition_number", DoubleType()),
+        ]
+    )
+)
 def design_conditioning(matrices: pd.Series) -> pd.DataFrame:
     """Rank and condition number of a design from its flattened cross-product matrix."""
     ranks, conditions = [], []

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examlens.functions.common import hash32
+from examlens.operators import describe, panel as panels
 from examlens.operators.scoring import exam_scores, score_attempts
 
 # (model, hits per 1000 text-only items, declines per 1000 items)
@@ -169,3 +170,24 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exam scores with the official facts of every form."""
     return exam_scores(scored(spark, sf_dir), adjustments(spark, sf_dir))
+
+
+GRADES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe.exam_composition(items(spark, sf_dir))
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long exam panel, written once so that the fact rows are scanned once."""
+    built = panels.build_panel(
+        scores(spark, sf_dir), human(spark, sf_dir), composition(spark, sf_dir)
+    )
+    return panels.materialize(built, "panel")
+
+
+def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.comparison_panel(
+        scores(spark, sf_dir), human(spark, sf_dir), REFERENCE_MODEL
+    )

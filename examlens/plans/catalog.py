@@ -2,5 +2,7 @@
 
 from examlens.plans import (  # noqa: F401
     queries_describe,
+    queries_forecast,
+    queries_panel,
 )
 from examlens.plans.registry import ORACLES, QUERIES  # noqa: F401
