@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examlens.functions.common import hash32
-from examlens.operators import describe, panel as panels
+from examlens.operators import describe, later_runs, options
+from examlens.operators import panel as panels
 from examlens.operators.scoring import exam_scores, score_attempts
 
 # (model, hits per 1000 text-only items, declines per 1000 items)
@@ -191,3 +192,118 @@ def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.comparison_panel(
         scores(spark, sf_dir), human(spark, sf_dir), REFERENCE_MODEL
     )
+
+
+# --- option order and later runs -------------------------------------------------------------
+
+OPTION_ORDER_MODEL = "m4"
+FALLBACK_MODEL = "m3"
+
+
+def item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with statement and option texts, one per part; some refer to their letters."""
+    key = F.col("p_partkey")
+    kind = F.pmod(key, F.lit(9))
+    statement = (
+        F.when(kind == 1, F.concat("p_name", F.lit(": welche Aussage B gilt?")))
+        .when(kind == 2, F.concat("p_name", F.lit(" wie in der obigen Figur")))
+        .when(kind == 3, F.concat("p_name", F.lit(" und (C) daneben")))
+        .otherwise(F.col("p_name"))
+    )
+    options_of = {
+        "sol_A": F.when(kind == 4, F.lit("(A)")).otherwise(F.col("p_brand")),
+        "sol_B": F.when(kind == 5, F.lit("A und C")).otherwise(F.col("p_type")),
+        "sol_C": F.col("p_size").cast("string"),
+        "sol_D": F.when(kind == 6, F.lit(None).cast("string")).otherwise(
+            F.concat(F.lit("size "), F.col("p_size").cast("string"))
+        ),
+        "sol_E": F.when(kind == 7, F.lit(" e. ")).otherwise(F.lit("none of these")),
+    }
+    return table(spark, sf_dir, "part").select(
+        key.alias("item_id"),
+        letter_at(F.pmod(key, F.lit(5))).alias("answer"),
+        statement.alias("problem_statement"),
+        *[value.alias(name) for name, value in options_of.items()],
+        (F.pmod(hash32(F.lit("img"), key), F.lit(10)) == 0).alias("has_option_image"),
+    )
+
+
+def order_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Option-order mapping of the order-based items; option images keep their order."""
+    reason = F.when(F.col("has_option_image"), "option images").otherwise("")
+    item = items(spark, sf_dir).withColumn("kept_order_reason", reason)
+    ordered = item.withColumn(
+        "_order", options.permutation(F.col("item_id"), F.col("kept_order_reason"))
+    )
+    return ordered.select(
+        "item_id",
+        "kept_order_reason",
+        F.col("answer").alias("old_answer"),
+        options.letter_of(F.array_position("_order", F.col("answer"))).alias("new_answer"),
+        *[F.get("_order", F.lit(i)).alias(f"new_{x}_source") for i, x in enumerate("ABCDE")],
+    )
+
+
+def order_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The option-order arm of one model: choices are letters of the permuted options."""
+    drawn = _responses_of(items(spark, sf_dir), "o").filter(F.col("model") == OPTION_ORDER_MODEL)
+    mapping = order_mapping(spark, sf_dir)
+    order = F.array(*[F.col(f"new_{x}_source") for x in "ABCDE"])
+    place = F.array_position(order, F.col("predicted"))
+    shown = F.when(place > 0, options.letter_of(place)).otherwise(F.col("predicted"))
+    return drawn.join(mapping, "item_id").select("model", "item_id", shown.alias("predicted"))
+
+
+def fallback_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later run of one model whose parser fell back to the first letter on some rows."""
+    drawn = _responses_of(items(spark, sf_dir), "f").filter(F.col("model") == FALLBACK_MODEL)
+    item = F.col("item_id")
+    flag = F.pmod(hash32(F.lit("fb"), item), F.lit(100))
+    return drawn.withColumns(
+        {
+            "fallback_parse": flag < 8,
+            "output_capped": (flag >= 4) & (flag < 12),
+            "stated_answer": F.when(flag < 6, letter_at(F.pmod(item, F.lit(5)))),
+        }
+    )
+
+
+def later_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later series: a repeat, the unmapped option-order arm, and three fallback variants."""
+    repeat = (
+        repeat_attempts(spark, sf_dir)
+        .filter(F.col("model") == OPTION_ORDER_MODEL)
+        .withColumn("model", F.lit(f"{OPTION_ORDER_MODEL}__repeat"))
+    )
+    arm = options.unmap_positions(
+        order_attempts(spark, sf_dir), order_mapping(spark, sf_dir)
+    ).withColumn("model", F.lit(f"{OPTION_ORDER_MODEL}__option_order"))
+    variants = later_runs.fallback_variants(
+        fallback_attempts(spark, sf_dir), f"{FALLBACK_MODEL}__later"
+    )
+    return arm.unionByName(repeat, allowMissingColumns=True).unionByName(
+        variants, allowMissingColumns=True
+    )
+
+
+def later_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_attempts(later_attempts(spark, sf_dir), items(spark, sf_dir))
+
+
+def later_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel of the later series and the base run they repeat, with two mean-of-runs series."""
+    base = scored(spark, sf_dir).filter(F.col("model") == OPTION_ORDER_MODEL)
+    both = later_scored(spark, sf_dir).unionByName(base, allowMissingColumns=True)
+    by_exam = exam_scores(both, adjustments(spark, sf_dir))
+    built = panels.build_panel(by_exam, human(spark, sf_dir), composition(spark, sf_dir)).filter(
+        F.col("series") != panels.ENSEMBLE
+    )
+    written = panels.materialize(built, "later-panel")
+    model = OPTION_ORDER_MODEL
+    two = panels.add_mean_series(written, f"{model}__two_run_mean", [model, f"{model}__repeat"])
+    mean = panels.add_mean_series(
+        written,
+        f"{model}__three_run_mean",
+        [model, f"{model}__repeat", f"{model}__option_order"],
+    ).filter(F.col("series") == f"{model}__three_run_mean")
+    return two.unionByName(mean)
