@@ -54,10 +54,16 @@ DECLINE_PATTERNS = [
 ]
 # --- End of fixed values. ------------------------------------------------------------------
 
-DECLINE_SEARCH = r"(?iU)\b(?:" + "|".join(DECLINE_PATTERNS) + r")\b"
+# A word is made of letters, numbers and underscores; combining marks end it. Written out,
+# because ``\b`` differs between regex engines and library versions.
+NO_WORD_BEFORE = r"(?<![\p{L}\p{N}_])"
+NO_WORD_AFTER = r"(?![\p{L}\p{N}_])"
+DECLINE_SEARCH = (
+    r"(?iU)" + NO_WORD_BEFORE + "(?:" + "|".join(DECLINE_PATTERNS) + ")" + NO_WORD_AFTER
+)
 # The phrases above hold lower-case letters, blanks and commas only.
 DECLINE_SET = sorted({re.sub(r"\W+", " ", phrase) for phrase in DECLINE_PHRASES})
-LONE_LETTER = r"(?U)\b([A-Ea-e])\b"
+LONE_LETTER = NO_WORD_BEFORE + "([A-Ea-e])" + NO_WORD_AFTER
 JSON_OBJECT = r"(?s)\A\s*\{.*\}\s*\z"
 FIRST_BLOCK = r"(?s)(\{.*?\})"
 

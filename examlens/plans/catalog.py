@@ -4,6 +4,7 @@ from examlens.plans import (  # noqa: F401
     queries_describe,
     queries_forecast,
     queries_panel,
+    queries_responses,
     queries_runs,
 )
 from examlens.plans.registry import ORACLES, QUERIES  # noqa: F401
