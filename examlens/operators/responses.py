@@ -156,8 +156,8 @@ def _added(first: Column, second: Column) -> Column:
     )
 
 
-def header_fields(header: Column) -> dict[str, Column]:
-    """The same counters from a usage header: a JSON object or ``key=value`` pairs."""
+def header_parts(header: Column) -> Column:
+    """``struct(document, pairs)``: the header as JSON object, else its ``key=value`` pairs."""
     document = F.try_parse_json(header)
     is_object = F.coalesce(variant_kind(document) == "OBJECT", F.lit(False))
     pairs = F.transform(
@@ -167,11 +167,18 @@ def header_fields(header: Column) -> dict[str, Column]:
             F.trim(F.regexp_extract(part, r"^[^=]*=(.*)$", 1)).try_cast("double").alias("value"),
         ),
     )
+    return F.struct(
+        F.when(is_object, document).alias("_document"), F.when(~is_object, pairs).alias("_pairs")
+    )
+
+
+def header_fields(document: Column, pairs: Column) -> dict[str, Column]:
+    """The same counters from the parts of a usage header."""
 
     def pair(name: str) -> Column:
         """The last readable value of a key."""
         hits = F.filter(pairs, lambda p: (p["key"] == name) & p["value"].isNotNull())
-        return F.when(~is_object, F.try_element_at(hits, F.lit(-1))["value"])
+        return F.try_element_at(hits, F.lit(-1))["value"]
 
     def any_of(names: list[str]) -> Column:
         return F.coalesce(_first(document, names), *[pair(name) for name in names])
@@ -213,8 +220,10 @@ def normalize_usage(raw: DataFrame) -> DataFrame:
     back to the completion tokens.
     """
     usage = F.try_variant_get(F.try_parse_json("response"), "$.usage", "variant")
-    opened = raw.withColumn("_usage", F.when(variant_kind(usage) == "OBJECT", usage))
-    from_body, from_header = usage_fields(F.col("_usage")), header_fields(F.col("usage_header"))
+    opened = _evaluated(raw, F.struct(F.when(variant_kind(usage) == "OBJECT", usage).alias("_usage")))
+    opened = _evaluated(opened, header_parts(F.col("usage_header")))
+    from_body = usage_fields(F.col("_usage"))
+    from_header = header_fields(F.col("_document"), F.col("_pairs"))
     names = [*COUNTERS, "cost_usd"]
     per_attempt = opened.select(
         "item_id",
