@@ -49,9 +49,20 @@ OPTION_IMAGE = "Option {letter} Bild:"
 # --- End of fixed values. ---------------------------------------------------------------------
 
 
-def variant_kind(value: Column) -> Column:
-    """'STRING', 'ARRAY', 'OBJECT', 'BIGINT', ... of a variant; null for a missing value."""
-    return F.regexp_extract(F.schema_of_variant(value), r"^([A-Z]+)", 1)
+def is_string(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
+
+
+def is_object(value: Column) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
+
+
+def is_array(value: Column) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit("ARRAY"))
+
+
+def is_number(value: Column) -> Column:
+    return F.substring(F.schema_of_variant(value), 1, 6).isin("BIGINT", "DOUBLE", "DECIMA")
 
 
 def _field(value: Column, name: str) -> Column:
@@ -63,7 +74,7 @@ def _field(value: Column, name: str) -> Column:
 def _text(value: Column, path: str = "$") -> Column:
     found = F.try_variant_get(value, path, "variant")
     return F.when(
-        variant_kind(found) == "STRING", F.try_variant_get(value, path, "string")
+        is_string(found), F.try_variant_get(value, path, "string")
     )
 
 
@@ -75,11 +86,10 @@ def flatten_content(content: Column | str, depth: int = 2) -> Column:
     JSON payloads are printed compactly.
     """
     content = col(content)
-    kind = variant_kind(content)
     nested = _field(content, "content")
     nested_text = _text(nested)
     if depth > 0:
-        nested_text = F.coalesce(nested_text, F.when(variant_kind(nested) == "ARRAY", _joined(nested, depth - 1)))
+        nested_text = F.coalesce(nested_text, F.when(is_array(nested), _joined(nested, depth - 1)))
     of_object = F.coalesce(
         _text(content, "$.text"),
         F.to_json(_field(content, "json")),
@@ -88,8 +98,8 @@ def flatten_content(content: Column | str, depth: int = 2) -> Column:
     )
     return (
         F.when(content.isNull() | F.is_variant_null(content), F.lit(""))
-        .when(kind == "STRING", F.try_variant_get(content, "$", "string"))
-        .when(kind == "ARRAY", _joined(content, depth))
+        .when(is_string(content), F.try_variant_get(content, "$", "string"))
+        .when(is_array(content), _joined(content, depth))
         .otherwise(of_object)
     )
 
@@ -103,9 +113,9 @@ def _joined(parts: Column, depth: int) -> Column:
 def _part_text(item: Column, depth: int) -> Column:
     nested = _field(item, "content")
     nested_text = _text(nested)
-    has_nested = variant_kind(nested) == "STRING"
+    has_nested = is_string(nested)
     if depth > 0:
-        is_list = variant_kind(nested) == "ARRAY"
+        is_list = is_array(nested)
         nested_text = F.when(is_list, _joined(nested, depth - 1)).otherwise(nested_text)
         has_nested = has_nested | is_list
     calls = F.to_json(F.coalesce(_field(item, "tool_calls"), _field(item, "arguments")))
@@ -116,9 +126,8 @@ def _part_text(item: Column, depth: int) -> Column:
         .when(F.coalesce(has_nested, F.lit(False)), nested_text)
         .otherwise(calls)
     )
-    kind = variant_kind(item)
-    return F.when(kind == "STRING", F.try_variant_get(item, "$", "string")).when(
-        kind == "OBJECT", of_object
+    return F.when(is_string(item), F.try_variant_get(item, "$", "string")).when(
+        is_object(item), of_object
     )
 
 

@@ -7,6 +7,8 @@ gives the estimate and its replicates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -178,3 +180,31 @@ def mean_interval(
         )
     )
     return interval(replicates, by, list(values), repetitions)
+
+
+def callable_interval(
+    frame: DataFrame,
+    statistic: Callable[[pd.DataFrame], float],
+    by: list[str],
+    cluster: str,
+    seed: int,
+    repetitions: int = REPETITIONS,
+) -> DataFrame:
+    """Interval of any statistic of a panel, given as a function of a pandas frame.
+
+    For statistics that do not reduce to moments. Every replicate is one group of panel size
+    (exams of one series); the replicates are spread over the cluster.
+    """
+    draws = cluster_draws(frame, cluster, seed, repetitions, by)
+    copies = F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))
+    sampled = frame.join(draws, [*by, cluster]).withColumn("_copy", copies)
+    names = list(by)
+
+    def evaluate(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = {name: [rows[name].iloc[0]] for name in [*names, "rep"]}
+        return pd.DataFrame({**keys, "statistic": [float(statistic(rows))]})
+
+    key_types = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name in by]
+    schema = ", ".join([*key_types, "rep int", "statistic double"])
+    replicates = sampled.groupBy(*by, "rep").applyInPandas(evaluate, schema)
+    return interval(replicates, by, ["statistic"], repetitions)

@@ -11,18 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlens.functions.linalg import least_squares
-from examlens.operators.bootstrap import REPETITIONS, mean_interval
+from examlens.operators.bootstrap import (
+    REPETITIONS,
+    cluster_draws,
+    interval,
+    mean_interval,
+)
 from examlens.operators.moments import (
     cell_moments,
     correlation,
     pairs,
     partial_correlation,
-    raw_gram,
     total_gram,
     weighted_moments,
     within_gram,
 )
-from examlens.operators.bootstrap import cluster_draws, interval
 from examlens.operators.panel import ENSEMBLE
 from examlens.operators.scoring import EXAM
 
@@ -507,3 +510,43 @@ def forecast_changes(
         seed,
         repetitions,
     )
+
+
+def _per_grade(panel: DataFrame, predictors: list[str]) -> DataFrame:
+    label = "chosen"
+    errors = forward_errors(panel, {BASELINE: [], label: predictors})
+    return errors.filter(F.col("specification") == label).drop("specification", "visual_error")
+
+
+# Forecasters by name; each takes the panel and its predictors and returns errors per target.
+FORECASTERS = {
+    "per_grade": _per_grade,
+    "recent_mean": lambda panel, predictors: recent_mean_errors(panel),
+    "shared_slope": shared_slope_errors,
+}
+
+
+def forecast(panel: DataFrame, forecaster: str, predictors: list[str]) -> DataFrame:
+    """Errors of a named forecaster: ``series, year, exam, observed, predicted, error``."""
+    errors = FORECASTERS[forecaster](panel, predictors)
+    return errors.select("series", *EXAM, "observed", "predicted", "error")
+
+
+def mae_change(
+    errors: DataFrame,
+    reference: DataFrame,
+    by: list[str],
+    seed: int,
+    repetitions: int = REPETITIONS,
+) -> DataFrame:
+    """Change in mean absolute error between two forecasts of the same targets."""
+    keys = ["series", *EXAM]
+    base = reference.select(*keys, F.col("error").alias("baseline_error"))
+    return mean_interval(
+        errors.join(base, keys),
+        {"mae_change": F.abs("error") - F.abs("baseline_error")},
+        by,
+        "year",
+        seed,
+        repetitions,
+    )

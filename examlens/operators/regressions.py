@@ -659,17 +659,26 @@ def spread_and_association(
     ).join(ceiling, keys)
 
 
-def slice_panel(scored: DataFrame, panel: DataFrame) -> DataFrame:
-    """Contest %max per (slice, exam, series) for text-only and multimodal items."""
-    per_model = scored.groupBy("model", *EXAM, "multimodal").agg(
+def modality_cells(scored: DataFrame) -> DataFrame:
+    """Item rows reduced to (model, exam, modality): all that slice tables need."""
+    return scored.groupBy("model", *EXAM, "multimodal").agg(
         F.count(F.lit(1)).alias("n"),
+        F.count_if("answered_correctly").alias("correct"),
         F.sum("awarded_points").alias("awarded"),
         F.sum("question_points").alias("points"),
     )
+
+
+def _modality() -> Column:
+    return F.when(F.col("multimodal"), "Multimodal items").otherwise("Text-only items")
+
+
+def slice_panel(cells: DataFrame, human: DataFrame) -> DataFrame:
+    """Contest %max per (slice, exam, series) for text-only and multimodal items."""
     pct = 100 * (F.col("n") + F.col("awarded")) / (F.col("n") + F.col("points"))
     series = (
-        per_model.select(
-            F.when(F.col("multimodal"), "Multimodal items").otherwise("Text-only items").alias("slice"),
+        cells.select(
+            _modality().alias("slice"),
             *EXAM,
             F.explode(F.array("model", F.lit(ENSEMBLE))).alias("series"),
             pct.alias("model_pct"),
@@ -677,35 +686,37 @@ def slice_panel(scored: DataFrame, panel: DataFrame) -> DataFrame:
         .groupBy("slice", *EXAM, "series")
         .agg(F.avg("model_pct").alias("model_pct"))
     )
-    human = panel.filter(F.col("series") == ENSEMBLE).select(*EXAM, "human_pct")
-    return series.join(human, EXAM)
+    return series.join(human.select(*EXAM, "human_pct"), EXAM)
 
 
 def ceiling_checks(
-    panel: DataFrame, scored: DataFrame, repetitions: int = REPETITIONS, seed: int = 5101
+    panel: DataFrame, cells: DataFrame, repetitions: int = REPETITIONS, seed: int = 5101
 ) -> DataFrame:
-    """Spread and association of every series on all items and on each modality."""
+    """Spread and association of every series on all items and on each modality.
+
+    ``cells`` are the :func:`modality_cells` of the scored items.
+    """
     everything = panel.select(
         F.lit("All items").alias("slice"), *EXAM, "series", "model_pct", "human_pct"
     )
-    slices = everything.unionByName(slice_panel(scored, panel))
-    shared = scored.join(panel.select(*EXAM).distinct(), EXAM, "left_semi")
-    kind = F.when(F.col("multimodal"), "Multimodal items").otherwise("Text-only items")
+    human = panel.filter(F.col("series") == ENSEMBLE)
+    slices = everything.unionByName(slice_panel(cells, human))
     accuracy = (
-        shared.groupBy("model", "multimodal")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if("answered_correctly").alias("c"))
+        cells.join(human.select(*EXAM), EXAM, "left_semi")
         .select(
             F.col("model").alias("series"),
-            F.explode(F.array(F.lit("All items"), kind)).alias("slice"),
+            F.explode(F.array(F.lit("All items"), _modality())).alias("slice"),
             "n",
-            "c",
+            "correct",
         )
         .groupBy("slice", "series")
-        .agg((F.sum("c") / F.sum("n")).alias("item_accuracy"))
+        .agg((F.sum("correct") / F.sum("n")).alias("item_accuracy"))
+    )
+    return (
+        spread_and_association(slices, ["slice", "series"], repetitions, seed)
+        .join(accuracy, ["slice", "series"], "left")
+        .drop("share_at_100", "bootstrap_samples")
     )
-    return spread_and_association(slices, ["slice", "series"], repetitions, seed).join(
-        accuracy, ["slice", "series"], "left"
-    ).drop("share_at_100", "bootstrap_samples")
 
 
 # --- calibration and early/late fits on the comparison panel -------------------------------
@@ -857,7 +868,8 @@ def within_grade_metrics(panel: DataFrame, grades: list[str]) -> DataFrame:
 # --- exposure checks on item rows ----------------------------------------------------------
 
 
-def _item_controls(scored: DataFrame) -> DataFrame:
+def item_controls(scored: DataFrame) -> DataFrame:
+    """Scored rows with the control variables of the exposure checks."""
     return scored.withColumns(
         {
             "correct": F.col("answered_correctly").cast("double"),
@@ -871,36 +883,44 @@ def _item_controls(scored: DataFrame) -> DataFrame:
     )
 
 
+CONTROLS = ["subtype", "exam", "points_tier"]
+
+
+def control_cells(rows: DataFrame, outcome: str, by: list[str]) -> DataFrame:
+    """Item rows counted per control combination, year and outcome value.
+
+    The outcome takes two or three values, so the table has as many rows as there are
+    control combinations, however many items there are. All exposure checks start from it.
+    """
+    keys = [*by, "year", "decade", *CONTROLS]
+    return rows.groupBy(*keys, F.col(outcome).alias("outcome")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+
+
 def decade_trend(
-    scored: DataFrame,
+    cells: DataFrame,
     by: list[str],
-    outcome: str,
     factors: dict[str, list[str]],
     repetitions: int = REPETITIONS,
     seed: int = 6400,
 ) -> DataFrame:
-    """Trend of an item outcome per decade at equal composition (additive dummies).
-
-    Items are first reduced to cells of the controls, so the dummies are built on a table
-    whose size is the number of control combinations.
-    """
-    cells = scored.groupBy(*by, "year", "decade", *factors).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(outcome).alias("_y")
-    )
+    """Trend of an item outcome per decade at equal composition (additive dummies)."""
     dummies = indicators(factors)
     columns = ["decade", *dummies]
-    widened = cells.withColumns(dummies).withColumn("_mean", F.col("_y") / F.col("_n"))
-    cluster = cell_moments(widened, [*columns, "_mean"], [*by, "year"], weight="_n")
+    cluster = cell_moments(
+        cells.withColumns(dummies), [*columns, "outcome"], [*by, "year"], weight="_n"
+    )
     draws = cluster_draws(cells, "year", seed, repetitions, by)
-    moments = weighted_moments(cluster, [*columns, "_mean"], by, None, draws, "year")
-    slope = least_squares(total_gram, columns, "_mean")["decade"]
+    moments = weighted_moments(cluster, [*columns, "outcome"], by, None, draws, "year")
+    slope = least_squares(total_gram, columns, "outcome")["decade"]
     replicates = moments.select(*by, "rep", (100 * slope).alias("estimate"))
     units = cells.groupBy(*by).agg(F.sum("_n").cast("bigint").alias("units"))
     return interval(replicates, by, ["estimate"], repetitions).join(units, by)
 
 
 def cutoff_gap(
-    scored: DataFrame,
+    cells: DataFrame,
     by: list[str],
     cutoff_year: int,
     first_year: int,
@@ -913,24 +933,32 @@ def cutoff_gap(
     A single year cannot be resampled as a cluster, so items are resampled, as multinomial
     draws over the cells of the design.
     """
-    recent = scored.filter(F.col("year") >= first_year).withColumn(
-        "after_cutoff", (F.col("year") == cutoff_year).cast("double")
-    )
-    cells = recent.groupBy(*by, "after_cutoff", *factors, "correct").agg(
-        F.count(F.lit(1)).alias("_n")
+    after = (F.col("year") == cutoff_year).cast("double").alias("after_cutoff")
+    recent = (
+        cells.filter(F.col("year") >= first_year)
+        .groupBy(*by, after, *factors, "outcome")
+        .agg(F.sum("_n").alias("_n"))
     )
     dummies = indicators(factors)
     columns = ["after_cutoff", *dummies]
-    sampled = item_draws(cells, "_n", seed, repetitions, by).withColumns(dummies)
-    moments = weighted_moments(
-        cell_moments(sampled, [*columns, "correct"], [*by, "rep"], weight="weight").withColumnRenamed("rep", "_rep"),
-        [*columns, "correct"],
-        [*by, "_rep"],
-        None,
+    # both outcomes of a design cell share its dummies: one row per replicate and cell
+    sampled = (
+        item_draws(recent, "_n", seed, repetitions, by)
+        .groupBy(*by, "rep", "after_cutoff", *factors)
+        .agg(
+            F.sum("weight").alias("weight"),
+            F.try_divide(F.sum(F.col("weight") * F.col("outcome")), F.sum("weight")).alias(
+                "outcome"
+            ),
+        )
+        .filter("weight > 0")
+        .withColumns(dummies)
     )
-    gap = least_squares(total_gram, columns, "correct")["after_cutoff"]
-    replicates = moments.select(*by, F.col("_rep").alias("rep"), (100 * gap).alias("estimate"))
-    units = cells.groupBy(*by).agg(F.sum("_n").cast("bigint").alias("units"))
+    names = [*columns, "outcome"]
+    moments = cell_moments(sampled, names, [*by, "rep"], weight="weight")
+    gap = least_squares(raw_gram, columns, "outcome")["after_cutoff"]
+    replicates = moments.select(*by, "rep", (100 * gap).alias("estimate"))
+    units = recent.groupBy(*by).agg(F.sum("_n").cast("bigint").alias("units"))
     return interval(replicates, by, ["estimate"], repetitions).join(units, by)
 
 
@@ -939,7 +967,7 @@ def removal_rows(reference: DataFrame, blind: DataFrame) -> DataFrame:
     before = reference.select("model", "item_id", F.col("answered_correctly").alias("_before"))
     joined = blind.join(before, ["model", "item_id"])
     effect = F.col("answered_correctly").cast("double") - F.col("_before").cast("double")
-    return _item_controls(joined).withColumn("removal_effect", effect)
+    return item_controls(joined).withColumn("removal_effect", effect)
 
 
 def period_associations(
@@ -1002,49 +1030,47 @@ def period_associations(
 
 
 def exposure_checks(
-    scored: DataFrame,
-    blind: DataFrame,
+    cells: DataFrame,
+    removal_cells: DataFrame,
     panel: DataFrame,
     grades: list[str],
+    tiers: list[str],
     cutoff: tuple[str, int],
     late_start: int,
     repetitions: int = REPETITIONS,
 ) -> DataFrame:
-    """All checks of a training-exposure account as one table."""
-    tiers = ["3", "4", "5"]
+    """All checks of a training-exposure account as one table.
+
+    ``cells`` and ``removal_cells`` are the :func:`control_cells` of correctness and of the
+    image-removal effect.
+    """
     factors = {"subtype": ["00", "01", "10", "11"], "exam": grades, "points_tier": tiers}
-    item_rows = _item_controls(scored)
     columns = ["check", "series", "units", "estimate", "estimate_ci_low", "estimate_ci_high", "unit"]
 
-    def labelled(frame: DataFrame, check: str, unit: str) -> DataFrame:
-        return frame.withColumns(
-            {"check": F.lit(check), "series": F.col("model"), "unit": F.lit(unit)}
-        ).select(*columns)
+    def labelled(frame: DataFrame, check: str) -> DataFrame:
+        named = {"check": F.lit(check), "series": F.col("model"), "unit": F.lit("pp")}
+        return frame.withColumns(named).select(*columns)
 
+    model, year = cutoff
     trend = labelled(
-        decade_trend(item_rows, ["model"], "correct", factors, repetitions),
+        decade_trend(cells, ["model"], factors, repetitions),
         "Accuracy per later decade, at equal composition",
-        "pp",
     )
-    model, year = cutoff
     gap = labelled(
         cutoff_gap(
-            item_rows.filter(F.col("model") == model), ["model"], year, late_start, factors, repetitions
+            cells.filter(F.col("model") == model), ["model"], year, late_start, factors, repetitions
         ),
         f"Accuracy on {year} minus {late_start}-{year - 1} items, at equal composition (item bootstrap)",
-        "pp",
     )
     removal = labelled(
         decade_trend(
-            removal_rows(scored, blind),
+            removal_cells,
             ["model"],
-            "removal_effect",
             {"exam": grades, "points_tier": tiers},
             repetitions,
             6420,
         ),
         "Image-removal effect per later decade",
-        "pp",
     )
     periods = period_associations(panel, late_start, grades, repetitions).select(
         "check",

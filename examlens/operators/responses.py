@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from examlens.functions.answers import extract_answer
-from examlens.functions.messages import flatten_content, variant_kind
+from examlens.functions.messages import flatten_content, is_number, is_object, is_string
 from examlens.functions.scoring import score_question, valid_key
 
 # Provider reasons for a cut reply, and the token budgets of a new try.
@@ -17,7 +17,6 @@ CUT_REASONS = ["length", "max_tokens", "max_tokens_exceeded"]
 FIRST_RETRY_TOKENS = 256
 LARGEST_RETRY_TOKENS = 4096
 
-NUMERIC = ["BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "INT", "SMALLINT", "TINYINT"]
 TOKEN_ALIASES = {
     "prompt_tokens": ["input_tokens", "prompt_tokens"],
     "completion_tokens": ["output_tokens", "completion_tokens"],
@@ -31,7 +30,7 @@ def parse_responses(raw: DataFrame) -> DataFrame:
     """First choice of each response with its text, finish reason and extracted answer."""
     document = F.try_parse_json("response")
     choices = F.try_variant_get(document, "$.choices", "array<variant>")
-    objects = F.filter(choices, lambda choice: variant_kind(choice) == "OBJECT")
+    objects = F.filter(choices, lambda choice: is_object(choice))
     opened = _evaluated(
         raw,
         F.struct(
@@ -93,16 +92,14 @@ def requery_plan(parsed: DataFrame) -> DataFrame:
 def _number(document: Column, path: str) -> Column:
     """A JSON number as double; strings and other types give null."""
     found = F.try_variant_get(document, path, "variant")
-    return F.when(
-        variant_kind(found).isin(NUMERIC), F.try_variant_get(document, path, "double")
-    )
+    return F.when(is_number(found), F.try_variant_get(document, path, "double"))
 
 
 def _loose_number(document: Column, path: str) -> Column:
     """A JSON number or a numeric string as double."""
     found = F.try_variant_get(document, path, "variant")
     text = F.when(
-        variant_kind(found) == "STRING",
+        is_string(found),
         F.try_variant_get(document, path, "string").try_cast("double"),
     )
     return F.coalesce(_number(document, path), text)
@@ -113,7 +110,7 @@ def _object_at(document: Column, names: list[str]) -> Column:
     candidates = []
     for name in names:
         found = F.try_variant_get(document, f"$.{name}", "variant")
-        candidates.append(F.when(variant_kind(found) == "OBJECT", found))
+        candidates.append(F.when(is_object(found), found))
     return F.coalesce(*candidates)
 
 
@@ -125,14 +122,13 @@ def _truthy(value: Column) -> Column:
     return F.when(value != 0, value)
 
 
-def usage_fields(usage: Column) -> dict[str, Column]:
-    """Counters of one response's usage object."""
-    prompt, completion = _object_at(usage, PROMPT_DETAILS), _object_at(usage, COMPLETION_DETAILS)
+def usage_fields(usage: Column, prompt: Column, completion: Column) -> dict[str, Column]:
+    """Counters of one response's usage object and its two detail objects."""
     reasoning = _number(completion, "$.reasoning_tokens")
     explicit = _number(completion, "$.explicit_reasoning_tokens")
     # a zero cost falls through to the total; a cost may come as text
     cost_text = F.when(
-        variant_kind(F.try_variant_get(usage, "$.cost", "variant")) == "STRING",
+        is_string(F.try_variant_get(usage, "$.cost", "variant")),
         F.try_variant_get(usage, "$.cost", "string"),
     )
     cost = F.when(cost_text != "", cost_text.try_cast("double")).otherwise(
@@ -159,7 +155,7 @@ def _added(first: Column, second: Column) -> Column:
 def header_parts(header: Column) -> Column:
     """``struct(document, pairs)``: the header as JSON object, else its ``key=value`` pairs."""
     document = F.try_parse_json(header)
-    is_object = F.coalesce(variant_kind(document) == "OBJECT", F.lit(False))
+    as_json = F.coalesce(is_object(document), F.lit(False))
     pairs = F.transform(
         F.split(header, "[,;]"),
         lambda part: F.struct(
@@ -168,11 +164,13 @@ def header_parts(header: Column) -> Column:
         ),
     )
     return F.struct(
-        F.when(is_object, document).alias("_document"), F.when(~is_object, pairs).alias("_pairs")
+        F.when(as_json, document).alias("_document"), F.when(~as_json, pairs).alias("_pairs")
     )
 
 
-def header_fields(document: Column, pairs: Column) -> dict[str, Column]:
+def header_fields(
+    document: Column, pairs: Column, prompt: Column, completion: Column
+) -> dict[str, Column]:
     """The same counters from the parts of a usage header."""
 
     def pair(name: str) -> Column:
@@ -183,18 +181,18 @@ def header_fields(document: Column, pairs: Column) -> dict[str, Column]:
     def any_of(names: list[str]) -> Column:
         return F.coalesce(_first(document, names), *[pair(name) for name in names])
 
-    def detail(objects: list[str], flat: list[str], name: str) -> Column:
-        inside = _number(_object_at(document, objects), f"$.{name}")
+    def detail(inner: Column, flat: list[str], name: str) -> Column:
+        inside = _number(inner, f"$.{name}")
         dotted = [_loose_number(document, f"$['{key}.{name}']") for key in flat]
         return F.coalesce(inside, *dotted, *[pair(f"{key}.{name}") for key in flat])
 
-    reasoning = detail(COMPLETION_DETAILS, COMPLETION_DETAILS, "reasoning_tokens")
-    explicit = detail(COMPLETION_DETAILS, COMPLETION_DETAILS, "explicit_reasoning_tokens")
+    reasoning = detail(completion, COMPLETION_DETAILS, "reasoning_tokens")
+    explicit = detail(completion, COMPLETION_DETAILS, "explicit_reasoning_tokens")
     cost = F.coalesce(_truthy(any_of(["cost"])), any_of(["total_cost"]))
     return {
         **{name: any_of(aliases) for name, aliases in TOKEN_ALIASES.items()},
-        "cached_prompt_tokens": detail(PROMPT_DETAILS, PROMPT_DETAILS[:1], "cached_tokens"),
-        "audio_prompt_tokens": detail(PROMPT_DETAILS, PROMPT_DETAILS[:1], "audio_tokens"),
+        "cached_prompt_tokens": detail(prompt, PROMPT_DETAILS[:1], "cached_tokens"),
+        "audio_prompt_tokens": detail(prompt, PROMPT_DETAILS[:1], "audio_tokens"),
         "reasoning_tokens": reasoning,
         "explicit_reasoning_tokens": _added(reasoning, explicit),
         "cost_usd": cost,
@@ -220,10 +218,24 @@ def normalize_usage(raw: DataFrame) -> DataFrame:
     back to the completion tokens.
     """
     usage = F.try_variant_get(F.try_parse_json("response"), "$.usage", "variant")
-    opened = _evaluated(raw, F.struct(F.when(variant_kind(usage) == "OBJECT", usage).alias("_usage")))
+    opened = _evaluated(raw, F.struct(F.when(is_object(usage), usage).alias("_usage")))
     opened = _evaluated(opened, header_parts(F.col("usage_header")))
-    from_body = usage_fields(F.col("_usage"))
-    from_header = header_fields(F.col("_document"), F.col("_pairs"))
+    opened = _evaluated(
+        opened,
+        F.struct(
+            *[
+                _object_at(F.col(source), names).alias(f"{source}_{kind}")
+                for source in ("_usage", "_document")
+                for kind, names in (("prompt", PROMPT_DETAILS), ("completion", COMPLETION_DETAILS))
+            ]
+        ),
+    )
+    from_body = usage_fields(
+        F.col("_usage"), F.col("_usage_prompt"), F.col("_usage_completion")
+    )
+    from_header = header_fields(
+        F.col("_document"), F.col("_pairs"), F.col("_document_prompt"), F.col("_document_completion")
+    )
     names = [*COUNTERS, "cost_usd"]
     per_attempt = opened.select(
         "item_id",

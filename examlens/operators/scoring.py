@@ -10,7 +10,7 @@ Canonical columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlens.functions.common import count_if, normalized_letter, share
@@ -60,6 +60,7 @@ def exam_scores(scored: DataFrame, adjustments: DataFrame | None = None) -> Data
         count_if(F.col("answered_correctly")).alias("correct"),
         count_if(F.col("attempted")).alias("attempted"),
         count_if(F.col("declined")).alias("declined"),
+        count_if(~F.col("valid_selection") & ~F.col("declined")).alias("no_valid_selections"),
         share(F.col("multimodal")).alias("multimodal_share"),
         F.sum("awarded_points").alias("_awarded"),
         F.sum("question_points").alias("_points"),
@@ -97,6 +98,7 @@ def exam_scores(scored: DataFrame, adjustments: DataFrame | None = None) -> Data
         "correct",
         "attempted",
         "declined",
+        "no_valid_selections",
         "multimodal_share",
         total.alias("total_score"),
         possible.alias("possible_points"),
@@ -110,17 +112,23 @@ def is_close(value: Column, target: Column) -> Column:
     return F.abs(value - target) <= 1e-8 + 1e-5 * F.abs(target)
 
 
-def exam_winners(scores: DataFrame) -> DataFrame:
-    """Number of complete exams each model wins; ties go to the first model by name.
+def with_winners(scores: DataFrame) -> DataFrame:
+    """Adds ``won``: the best complete score of its exam, ties to the first model by name.
 
-    Argmax as one aggregate: the smallest (negated score, name) per exam. It combines map
-    side, so a hot exam never reaches a single task row by row.
+    The window holds one exam's models, a handful of already aggregated rows.
     """
-    first = F.min(F.struct((-F.col("model_pct")).alias("_score"), "model"))
+    ranking = Window.partitionBy(*EXAM).orderBy(
+        F.desc("complete_exam"), F.desc("model_pct"), "model"
+    )
+    won = F.col("complete_exam") & (F.row_number().over(ranking) == 1)
+    return scores.withColumn("won", won)
+
+
+def exam_winners(scores: DataFrame) -> DataFrame:
+    """Number of complete exams each winning model wins."""
     return (
-        scores.filter("complete_exam")
-        .groupBy(*EXAM)
-        .agg(first["model"].alias("model"))
+        with_winners(scores)
+        .filter("won")
         .groupBy("model")
         .agg(F.count(F.lit(1)).cast("bigint").alias("exams_won"))
     )
@@ -139,22 +147,22 @@ def contest_totals(scores: DataFrame) -> DataFrame:
     )
 
 
-def league_table(scored: DataFrame, scores: DataFrame) -> DataFrame:
-    """One row per model: accuracy, abstentions, contest points and exams won."""
-    invalid = ~F.col("valid_selection") & ~F.col("declined")
-    performance = scored.groupBy("model").agg(
-        F.count(F.lit(1)).cast("bigint").alias("items"),
-        count_if(F.col("answered_correctly")).alias("correct"),
-        share(F.col("answered_correctly")).alias("accuracy"),
-        count_if(F.col("declined")).alias("abstentions"),
-        share(F.col("declined")).alias("decline_rate"),
-        count_if(invalid).alias("no_valid_selections"),
-    )
-    totals = contest_totals(scores).select("model", "contest_points")
-    return (
-        performance.join(totals, "model", "left")
-        .join(exam_winners(scores), "model", "left")
-        .withColumn("exams_won", F.coalesce("exams_won", F.lit(0)).cast("bigint"))
+def league_table(scores: DataFrame) -> DataFrame:
+    """One row per model: accuracy, abstentions, contest points and exams won.
+
+    Everything is rolled up from the exam scores in one chain: the item rows are scanned and
+    shuffled once, already reduced to one row per model and form on the map side.
+    """
+    items, complete = F.sum("questions"), F.col("complete_exam")
+    return with_winners(scores).groupBy("model").agg(
+        items.cast("bigint").alias("items"),
+        F.sum("correct").cast("bigint").alias("correct"),
+        (F.sum("correct") / items).alias("accuracy"),
+        F.sum("declined").cast("bigint").alias("abstentions"),
+        (F.sum("declined") / items).alias("decline_rate"),
+        F.sum("no_valid_selections").cast("bigint").alias("no_valid_selections"),
+        F.sum(F.when(complete, F.col("total_score"))).alias("contest_points"),
+        count_if(F.col("won")).alias("exams_won"),
     )
 
 

@@ -21,7 +21,16 @@ ADJUSTED_FORMS = [(3, "1-URGENT"), (11, "3-MEDIUM")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; spread over the cores when it has fewer input splits than cores.
+
+    The test tables are single files with one row group, which is a single task however many
+    cores there are. Tables of many files are read as they are, without a shuffle.
+    """
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if frame.rdd.getNumPartitions() < cores:
+        frame = frame.repartition(cores, frame.columns[0])
+    return frame
 
 
 def letter_at(index: Column) -> Column:

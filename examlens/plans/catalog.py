@@ -6,6 +6,7 @@ from examlens.plans import (  # noqa: F401
     queries_panel,
     queries_responses,
     queries_runs,
+    queries_sources,
     queries_usage,
 )
 from examlens.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -43,7 +43,8 @@ _SCORE_COLUMNS = ["multimodal_share", "total_score", "possible_points", "model_p
     "g1_exam_scores",
     oracle(
         f"""SELECT model, year, exam, questions, official_questions, fixed_bonus, correct,
-                   attempted, declined, complete_exam, {rounded(*_SCORE_COLUMNS)}
+                   attempted, declined, no_valid_selections, complete_exam,
+                   {rounded(*_SCORE_COLUMNS)}
             FROM scores""",
         "scores",
     ),
@@ -95,9 +96,7 @@ def g9(spark, sf_dir):
     ),
 )
 def g7(spark, sf_dir):
-    scored = a.scored(spark, sf_dir)
-    scores = scoring.exam_scores(scored, a.adjustments(spark, sf_dir))
-    return round_doubles(scoring.league_table(scored, scores))
+    return round_doubles(scoring.league_table(a.scores(spark, sf_dir)))
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from examlens.operators import checks, describe, moments, panel as panels, regressions as reg
+from examlens.operators.scoring import score_attempts
 from examlens.plans import adapters as a
 from examlens.plans.oracle_stats import (
     bounds,
@@ -851,8 +852,23 @@ _ACCURACY_SQL = """SELECT slice, model AS series, avg(answered_correctly::INT) A
     ),
 )
 def g20(spark, sf_dir):
-    scored, panel = a.scored(spark, sf_dir), a.panel(spark, sf_dir)
-    return round_doubles(reg.ceiling_checks(panel, scored))
+    cells = panels.materialize(reg.modality_cells(a.scored(spark, sf_dir)), "cells")
+    return round_doubles(reg.ceiling_checks(a.panel(spark, sf_dir), cells))
+
+
+@register(
+    "g19_slice_panel",
+    oracle(
+        """SELECT slice, year, exam, series, round(model_pct, 6) AS model_pct,
+                  round(human_pct, 6) AS human_pct FROM c WHERE slice <> 'All items'""",
+        "panel",
+        extra={"c": _CEILING_SQL},
+    ),
+)
+def g19(spark, sf_dir):
+    return round_doubles(
+        reg.slice_panel(reg.modality_cells(a.scored(spark, sf_dir)), a.human(spark, sf_dir))
+    )
 
 
 # --- exposure -----------------------------------------------------------------------------
@@ -886,6 +902,12 @@ def _trend_sql(cells: str, by: str, dummies: list[str], y: str, extra: str) -> s
         GROUP BY {by}"""
 
 
+def _cells(spark, sf_dir):
+    """Control cells of correctness, written once for the draws and the moments."""
+    rows = reg.item_controls(a.scored(spark, sf_dir))
+    return panels.materialize(reg.control_cells(rows, "correct", ["model"]), "cells")
+
+
 @register(
     "e16_decade_trend",
     oracle(
@@ -906,8 +928,7 @@ def _trend_sql(cells: str, by: str, dummies: list[str], y: str, extra: str) -> s
     ),
 )
 def e16_trend(spark, sf_dir):
-    scored = reg._item_controls(a.scored(spark, sf_dir))
-    return round_doubles(reg.decade_trend(scored, ["model"], "correct", _FACTORS))
+    return round_doubles(reg.decade_trend(_cells(spark, sf_dir), ["model"], _FACTORS))
 
 
 _PERIOD_START = 14
@@ -951,22 +972,25 @@ def e16_periods(spark, sf_dir):
 @register("e16_exposure_checks")
 def e16(spark, sf_dir):
     """All exposure checks as one table, with the removal effect of the blind run."""
-    from examlens.operators.scoring import score_attempts
-
-    items = a.items(spark, sf_dir)
-    scored = a.scored(spark, sf_dir)
-    blind = score_attempts(a.blind_attempts(spark, sf_dir), items)
+    blind = score_attempts(a.blind_attempts(spark, sf_dir), a.items(spark, sf_dir))
+    removal = reg.removal_rows(a.scored(spark, sf_dir), blind)
     return round_doubles(
         reg.exposure_checks(
-            scored, blind, a.panel(spark, sf_dir), a.GRADES, (a.REFERENCE_MODEL, 26), _PERIOD_START
+            _cells(spark, sf_dir),
+            panels.materialize(reg.control_cells(removal, "removal_effect", ["model"]), "cells"),
+            a.panel(spark, sf_dir),
+            a.GRADES,
+            ["3", "4", "5"],
+            (a.REFERENCE_MODEL, 26),
+            _PERIOD_START,
         )
     )
 
 
 @register("e10_cutoff_gap_item_bootstrap")
 def e10(spark, sf_dir):
-    scored = reg._item_controls(a.scored(spark, sf_dir))
-    return round_doubles(reg.cutoff_gap(scored, ["model"], 26, _PERIOD_START, _FACTORS))
+    cells = _cells(spark, sf_dir)
+    return round_doubles(reg.cutoff_gap(cells, ["model"], 26, _PERIOD_START, _FACTORS))
 
 
 # --- the fact-scale regression ----------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examlens.functions.messages import variant_kind
+from examlens.functions.messages import is_number, is_object
 from examlens.sources import schemas
 
 
@@ -112,8 +112,7 @@ def seconds_per_request(rate_limit: Column) -> Column:
 
     def field(name: str) -> Column:
         found = F.try_variant_get(document, f"$.{name}", "variant")
-        number = variant_kind(found).isin("BIGINT", "DOUBLE", "DECIMAL", "INT", "TINYINT", "SMALLINT")
-        return F.when(number, F.try_variant_get(document, f"$.{name}", "double"))
+        return F.when(is_number(found), F.try_variant_get(document, f"$.{name}", "double"))
 
     def inverse(value: Column, unit: float) -> Column:
         return F.when(value > 0, F.lit(unit) / value)
@@ -124,9 +123,8 @@ def seconds_per_request(rate_limit: Column) -> Column:
         inverse(field("requests_per_second"), 1.0),
         inverse(field("requests_per_minute"), 60.0),
     )
-    kind = variant_kind(document)
-    plain = F.when(kind != "STRING", F.try_variant_get(document, "$", "double"))
-    return F.when(kind == "OBJECT", of_object).otherwise(inverse(plain, 1.0))
+    plain = F.when(is_number(document), F.try_variant_get(document, "$", "double"))
+    return F.when(is_object(document), of_object).otherwise(inverse(plain, 1.0))
 
 
 def read_run_configs(spark: SparkSession, pattern: str) -> DataFrame:
