@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10000
 MARGIN = 0.001  # ten times the rank error of the sketch
+SMALL_GROUP = 4000  # below this the margin is less than a few ranks: rank all rows
 
 
 def exact_quantiles(
@@ -27,14 +28,19 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", points, ACCURACY).alias("_points"),
     )
+    small = F.col("_n") <= SMALL_GROUP
     packed = sketched.select(
         *by,
         F.array(
             *[
                 F.struct(
                     F.lit(name).alias("name"),
-                    F.get("_points", F.lit(2 * i)).alias("low"),
-                    F.get("_points", F.lit(2 * i + 1)).alias("high"),
+                    F.when(small, float("-inf"))
+                    .otherwise(F.get("_points", F.lit(2 * i)))
+                    .alias("low"),
+                    F.when(small, float("inf"))
+                    .otherwise(F.get("_points", F.lit(2 * i + 1)))
+                    .alias("high"),
                     (F.lit(float(q)) * (F.col("_n") - 1)).alias("position"),
                 )
                 for i, (name, q) in enumerate(quantiles.items())
