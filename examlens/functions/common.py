@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode white space as a class for ``(?U)`` patterns, plus the separators \x1c-\x1f that
@@ -42,6 +42,36 @@ def count_if(condition: Column) -> Column:
     return F.count_if(condition).cast("bigint")
 
 
+CELL_ITEMS = "cell_items"
+
+
+class Counted:
+    """Aggregates of a frame whose rows may stand for several equal items.
+
+    The column ``cell_items`` holds how many; a frame without it has one item per row. The
+    same table function then serves item rows and their pre-aggregated cells.
+    """
+
+    def __init__(self, frame: DataFrame):
+        counted = CELL_ITEMS in frame.columns
+        self.frame = frame if counted else frame.withColumn(CELL_ITEMS, F.lit(1))
+
+    def rows(self) -> Column:
+        return F.sum(CELL_ITEMS).cast("bigint")
+
+    def count_if(self, condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col(CELL_ITEMS)).otherwise(0)).cast("bigint")
+
+    def share(self, condition: Column) -> Column:
+        return self.count_if(condition) / F.sum(CELL_ITEMS)
+
+    def share_where(self, condition: Column, where: Column) -> Column:
+        return F.try_divide(self.count_if(condition & where), self.count_if(where))
+
+    def total(self, name: str) -> Column:
+        return F.sum(F.col(name) * F.col(CELL_ITEMS))
+
+
 def ordinal(value: Column, ordered: list[str]) -> Column:
     """Position of ``value`` in a fixed list, for sorting a result at the sink."""
     return F.array_position(F.array(*[F.lit(item) for item in ordered]), value)

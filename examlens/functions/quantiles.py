@@ -10,24 +10,36 @@ MARGIN = 0.001  # ten times the rank error of the sketch
 SMALL_GROUP = 4000  # below this the margin is less than a few ranks: rank all rows
 
 
+def bracket_measures(value: Column, quantiles: dict[str, float]) -> list[Column]:
+    """Aggregates that bracket quantiles; put them into an aggregation that is made anyway."""
+    points = [
+        min(1.0, max(0.0, q + d)) for q in quantiles.values() for d in (-MARGIN, MARGIN)
+    ]
+    value = value.cast("double")
+    return [
+        F.count(value).alias("_n"),
+        F.percentile_approx(value, points, ACCURACY).alias("_points"),
+    ]
+
+
 def exact_quantiles(
-    frame: DataFrame, by: list[str], value: str, quantiles: dict[str, float]
+    frame: DataFrame,
+    by: list[str],
+    value: str,
+    quantiles: dict[str, float],
+    sketched: DataFrame | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group without holding a group in one task.
 
     ``percentile`` keeps every distinct value of a group in one aggregation buffer. Here a
     mergeable sketch only brackets each quantile; the bracket's rows are then counted exactly
     (pre-aggregated per distinct value) and ranked behind the exact count below the bracket.
+    ``sketched`` may hold the :func:`bracket_measures` from an earlier aggregation.
     """
     known = frame.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     names = list(quantiles)
-    points = [
-        min(1.0, max(0.0, q + d)) for q in quantiles.values() for d in (-MARGIN, MARGIN)
-    ]
-    sketched = known.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", points, ACCURACY).alias("_points"),
-    )
+    if sketched is None:
+        sketched = known.groupBy(*by).agg(*bracket_measures(F.col("_v"), quantiles))
     small = F.col("_n") <= SMALL_GROUP
     packed = sketched.select(
         *by,

@@ -1,11 +1,11 @@
-"""Grouped descriptive tables over scored item rows."""
+"""Grouped descriptive tables over scored item rows or their cells (``scoring.item_cells``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from examlens.functions.common import count_if, share, share_where
+from examlens.functions.common import Counted, count_if, share
 from examlens.functions.scoring import LETTERS, wilson_bounds
 from examlens.operators.scoring import EXAM
 
@@ -56,36 +56,37 @@ def with_conditions(scored: DataFrame) -> DataFrame:
 
 def accuracy_table(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Items, accuracy and abstention rate per group."""
-    return scored.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("bigint").alias("items"),
-        share(F.col("answered_correctly")).alias("accuracy"),
-        share(F.col("declined")).alias("abstention_rate"),
+    items = Counted(scored)
+    return items.frame.groupBy(*keys).agg(
+        items.rows().alias("items"),
+        items.share(F.col("answered_correctly")).alias("accuracy"),
+        items.share(F.col("declined")).alias("abstention_rate"),
     )
 
 
 def response_status(conditioned: DataFrame) -> DataFrame:
-    return conditioned.groupBy("model", "visual_condition").agg(
-        F.count(F.lit(1)).cast("bigint").alias("items"),
-        count_if(F.col("answered_correctly")).alias("correct"),
-        share(F.col("answered_correctly")).alias("accuracy"),
-        count_if(F.col("valid_selection")).alias("valid_selections"),
-        count_if(F.col("declined")).alias("abstentions"),
-        share(F.col("declined")).alias("abstention_rate"),
-        count_if(F.col("no_valid_selection")).alias("no_valid_selections"),
-        share(F.col("no_valid_selection")).alias("no_valid_selection_rate"),
+    items = Counted(conditioned)
+    return items.frame.groupBy("model", "visual_condition").agg(
+        items.rows().alias("items"),
+        items.count_if(F.col("answered_correctly")).alias("correct"),
+        items.share(F.col("answered_correctly")).alias("accuracy"),
+        items.count_if(F.col("valid_selection")).alias("valid_selections"),
+        items.count_if(F.col("declined")).alias("abstentions"),
+        items.share(F.col("declined")).alias("abstention_rate"),
+        items.count_if(F.col("no_valid_selection")).alias("no_valid_selections"),
+        items.share(F.col("no_valid_selection")).alias("no_valid_selection_rate"),
     )
 
 
 def subtype_results(conditioned: DataFrame) -> DataFrame:
     """Accuracy by image subtype with its Wilson interval and attempted accuracy."""
-    correct = count_if(F.col("answered_correctly"))
-    grouped = conditioned.groupBy("model", "image_subtype").agg(
-        F.count(F.lit(1)).cast("bigint").alias("items"),
-        correct.alias("_correct"),
-        share(F.col("declined")).alias("decline_rate"),
-        share_where(F.col("answered_correctly"), F.col("attempted")).alias(
-            "attempted_accuracy"
-        ),
+    items = Counted(conditioned)
+    correct = F.col("answered_correctly")
+    grouped = items.frame.groupBy("model", "image_subtype").agg(
+        items.rows().alias("items"),
+        items.count_if(correct).alias("_correct"),
+        items.share(F.col("declined")).alias("decline_rate"),
+        items.share_where(correct, F.col("attempted")).alias("attempted_accuracy"),
     )
     low, high = wilson_bounds(F.col("_correct").cast("double"), F.col("items"))
     return grouped.select(
@@ -127,17 +128,18 @@ def option_positions(scored: DataFrame) -> DataFrame:
     ``attempted`` here means a prediction among A-E. All letters come from one aggregate
     per model and are unpivoted, so letters that never occur still get a row.
     """
+    items = Counted(scored)
     aggregates = [
-        F.count(F.lit(1)).cast("bigint").alias("_rows"),
-        count_if(F.col("valid_selection")).alias("_valid"),
+        items.rows().alias("_rows"),
+        items.count_if(F.col("valid_selection")).alias("_valid"),
     ]
     for letter in LETTERS:
         gold = F.col("answer") == letter
         aggregates += [
-            count_if(gold).alias(f"_gold_{letter}"),
-            count_if(F.col("predicted_normalized") == letter).alias(f"_pred_{letter}"),
-            share_where(F.col("answered_correctly"), gold).alias(f"_acc_{letter}"),
-            share_where(F.col("declined"), gold).alias(f"_dec_{letter}"),
+            items.count_if(gold).alias(f"_gold_{letter}"),
+            items.count_if(F.col("predicted_normalized") == letter).alias(f"_pred_{letter}"),
+            items.share_where(F.col("answered_correctly"), gold).alias(f"_acc_{letter}"),
+            items.share_where(F.col("declined"), gold).alias(f"_dec_{letter}"),
         ]
     rows = F.array(
         *[
@@ -155,7 +157,7 @@ def option_positions(scored: DataFrame) -> DataFrame:
             for letter in LETTERS
         ]
     )
-    return scored.groupBy("model").agg(*aggregates).select("model", F.inline(rows))
+    return items.frame.groupBy("model").agg(*aggregates).select("model", F.inline(rows))
 
 
 def evaluated_items(items: DataFrame, scored: DataFrame) -> DataFrame:
@@ -165,11 +167,13 @@ def evaluated_items(items: DataFrame, scored: DataFrame) -> DataFrame:
 
 def exam_composition(items: DataFrame) -> DataFrame:
     """Shares of item kinds per form over distinct items."""
+    associated, option = F.col("has_associated_image"), F.col("has_option_image")
     return items.groupBy(*EXAM).agg(
         F.count(F.lit(1)).cast("bigint").alias("item_count"),
         share(F.col("multimodal")).alias("multimodal_share"),
-        share(F.col("has_associated_image")).alias("associated_image_share"),
-        share(F.col("has_option_image")).alias("option_image_share"),
+        share(associated | option).alias("auxiliary_visual_share"),
+        share(associated).alias("associated_image_share"),
+        share(option).alias("option_image_share"),
         share(F.col("points") == 3).alias("three_point_share"),
         share(F.col("points") == 5).alias("five_point_share"),
     )
@@ -186,13 +190,18 @@ def with_decades(exam_data: DataFrame) -> DataFrame:
     )
 
 
-def yearly_composition(items: DataFrame) -> DataFrame:
-    visual = F.col("has_associated_image") | F.col("has_option_image")
-    return items.groupBy("year").agg(
-        F.count(F.lit(1)).cast("bigint").alias("items"),
-        share(visual).alias("auxiliary_visual_share"),
-        share(F.col("has_associated_image")).alias("question_diagram_share"),
-        share(F.col("has_option_image")).alias("option_image_share"),
+def yearly_composition(composition: DataFrame) -> DataFrame:
+    """Shares of item kinds per year, rolled up from the composition of its forms."""
+    total = F.sum("item_count")
+
+    def mean(name: str) -> Column:
+        return F.sum(F.col(name) * F.col("item_count")) / total
+
+    return composition.groupBy("year").agg(
+        total.cast("bigint").alias("items"),
+        mean("auxiliary_visual_share").alias("auxiliary_visual_share"),
+        mean("associated_image_share").alias("question_diagram_share"),
+        mean("option_image_share").alias("option_image_share"),
     )
 
 
@@ -202,10 +211,11 @@ def slice_scores(scored: DataFrame) -> DataFrame:
     The two modality groups are aggregated once; the all-items slice is their sum, so the
     item rows are read and shuffled a single time.
     """
-    cells = scored.groupBy("model", *EXAM, "multimodal").agg(
-        F.count(F.lit(1)).alias("n"),
-        count_if(F.col("answered_correctly")).alias("correct"),
-        count_if(F.col("declined")).alias("declined"),
+    items = Counted(scored)
+    cells = items.frame.groupBy("model", *EXAM, "multimodal").agg(
+        items.rows().alias("n"),
+        items.count_if(F.col("answered_correctly")).alias("correct"),
+        items.count_if(F.col("declined")).alias("declined"),
     )
     name = F.when(F.col("multimodal"), F.lit(VISUAL)).otherwise(F.lit(TEXT_ONLY))
     per_model = (

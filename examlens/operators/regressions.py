@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from examlens.functions.common import Counted
 from examlens.functions.linalg import design_conditioning, least_squares, residual_moment
 from examlens.functions.stats import average_rank, pearson, two_sided_p
 from examlens.operators.bootstrap import (
@@ -252,6 +255,35 @@ def pearson_intervals(
     return interval(replicates, by, ["pearson_r"], repetitions)
 
 
+RANK_BLOCK = 100  # replicates ranked together in one task
+
+
+def _weighted_ranks(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Average ranks per replicate (row) when item j occurs ``weights[i, j]`` times.
+
+    A tie group that reaches from position p + 1 to p + t has the mean rank p + (t + 1) / 2.
+    """
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    upto = np.cumsum(weights[:, order], axis=1)
+    ends = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True))
+    group = np.searchsorted(ends, np.arange(len(values)))
+    reached = upto[:, ends]
+    tied = np.diff(reached, axis=1, prepend=0.0)
+    ranks = np.empty_like(weights)
+    ranks[:, order] = (reached - (tied - 1) / 2)[:, group]
+    return ranks
+
+
+def _weighted_correlations(first: np.ndarray, second: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    total = weights.sum(axis=1, keepdims=True)
+    x = first - (weights * first).sum(axis=1, keepdims=True) / total
+    y = second - (weights * second).sum(axis=1, keepdims=True) / total
+    cross, xx, yy = [(weights * v).sum(axis=1) for v in (x * y, x * x, y * y)]
+    size = np.sqrt(xx * yy)
+    return np.where(size > 0, cross / np.where(size > 0, size, 1.0), np.nan)
+
+
 def spearman_intervals(
     panel: DataFrame,
     by: list[str],
@@ -262,28 +294,31 @@ def spearman_intervals(
 ) -> DataFrame:
     """Spearman rho with a cluster-bootstrap interval per group.
 
-    Ranks do not reduce to moments, so every replicate ranks its weighted rows. A row drawn
-    w times takes w rank positions; the mean position of a tie group follows from the
-    cumulative weight. Each window holds one replicate of one group of the panel.
+    Ranks do not reduce to moments, so every replicate ranks its rows. A row drawn w times
+    takes w rank positions, so ranks follow from cumulative weights over one sorted order.
+    Spark spreads (group, block of replicates); a task holds one group of the panel and the
+    weights of a hundred replicates.
     """
-    draws = cluster_draws(panel, cluster, seed, repetitions, by)
-    rows = panel.select(*by, cluster, *columns).join(draws, [*by, cluster])
-    part = Window.partitionBy(*by, "rep")
-
-    def weighted_rank(name: str) -> Column:
-        up_to = F.sum("weight").over(
-            part.orderBy(name).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        tied = F.sum("weight").over(Window.partitionBy(*by, "rep", name))
-        return up_to - (tied - 1) / 2
-
-    ranked = rows.select(
-        *by, "rep", "weight", *[weighted_rank(c).alias(f"r_{i}") for i, c in enumerate(columns)]
-    )
-    cells = cell_moments(ranked, ["r_0", "r_1"], [*by, "rep"], weight="weight")
-    replicates = cells.select(
-        *by, "rep", correlation(raw_gram, "r_0", "r_1").alias("spearman_rho")
-    )
+    block = F.floor(F.col("rep") / RANK_BLOCK).cast("int").alias("_block")
+    draws = cluster_draws(panel, cluster, seed, repetitions, by).select("*", block)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(repetitions // RANK_BLOCK))).alias("_block")
+    rows = panel.select(*by, cluster, *columns, blocks)
+    keys = [*by, "_block"]
+
+    def evaluate(drawn: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        weights = drawn.pivot_table(
+            index="rep", columns=cluster, values="weight", fill_value=0.0
+        ).reindex(columns=group[cluster], fill_value=0.0)
+        matrix = weights.to_numpy(float)
+        ranks = [_weighted_ranks(group[c].to_numpy(float), matrix) for c in columns]
+        out = pd.DataFrame({"rep": weights.index, "spearman_rho": _weighted_correlations(*ranks, matrix)})
+        for name in by:
+            out[name] = drawn[name].iloc[0]
+        return out
+
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in panel.schema if f.name in by]
+    schema = ", ".join([*types, "rep int", "spearman_rho double"])
+    replicates = draws.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(evaluate, schema)
     return interval(replicates, by, ["spearman_rho"], repetitions)
 
 
@@ -661,11 +696,12 @@ def spread_and_association(
 
 def modality_cells(scored: DataFrame) -> DataFrame:
     """Item rows reduced to (model, exam, modality): all that slice tables need."""
-    return scored.groupBy("model", *EXAM, "multimodal").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("answered_correctly").alias("correct"),
-        F.sum("awarded_points").alias("awarded"),
-        F.sum("question_points").alias("points"),
+    items = Counted(scored)
+    return items.frame.groupBy("model", *EXAM, "multimodal").agg(
+        items.rows().alias("n"),
+        items.count_if(F.col("answered_correctly")).alias("correct"),
+        items.total("awarded_points").alias("awarded"),
+        items.total("question_points").alias("points"),
     )
 
 
@@ -893,8 +929,9 @@ def control_cells(rows: DataFrame, outcome: str, by: list[str]) -> DataFrame:
     control combinations, however many items there are. All exposure checks start from it.
     """
     keys = [*by, "year", "decade", *CONTROLS]
-    return rows.groupBy(*keys, F.col(outcome).alias("outcome")).agg(
-        F.count(F.lit(1)).alias("_n")
+    items = Counted(rows)
+    return items.frame.groupBy(*keys, F.col(outcome).alias("outcome")).agg(
+        items.rows().alias("_n")
     )
 
 

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from examlens.functions.common import count_if
-from examlens.functions.quantiles import exact_quantiles
+from examlens.functions.quantiles import bracket_measures, exact_quantiles
 from examlens.functions.scoring import DECLINED
+from examlens.operators.panel import materialize
+
+MEDIAN = {"median_latency_ms": 0.5}
 
 
 def _answered() -> Column:
@@ -20,8 +23,11 @@ def _correct() -> Column:
 
 
 def run_report(results: DataFrame, by: list[str]) -> DataFrame:
-    """One row per run. All measures come from one aggregate; only the exact median latency
-    needs a second, pre-aggregated pass."""
+    """One row per run.
+
+    All measures and a bracket around the median latency come from one scan, whose few rows
+    are written; a second scan counts the bracket's rows for the exact median.
+    """
     answered = _answered()
     points = F.coalesce(F.col("points").cast("double"), F.lit(0.0))
     earned = F.coalesce(F.col("points_earned").cast("double"), F.lit(0.0))
@@ -52,14 +58,16 @@ def run_report(results: DataFrame, by: list[str]) -> DataFrame:
         count_if(declined).alias("declined_count"),
         count_if(F.col("error").isNotNull()).alias("failed_count"),
         count_if(_correct() & answered).alias("_correct"),
-        F.sum(points).alias("_points"),
+        F.sum(points).alias("_reachable"),
         F.sum(earned).alias("_earned"),
         start.alias("_start"),
         F.avg(of("latency_ms")).alias("mean_latency_ms"),
         *tokens,
         F.coalesce(F.sum(of("cost_usd")), F.lit(0.0)).alias("total_cost_usd"),
+        *bracket_measures(of("latency_ms"), MEDIAN),
     )
-    reachable = F.col("_points") + F.col("_start")
+    grouped = materialize(grouped, "run-report")
+    reachable = F.col("_reachable") + F.col("_start")
     total = F.col("_earned") + F.col("_start")
     zero = F.lit(0.0)
     report = grouped.withColumns(
@@ -69,9 +77,9 @@ def run_report(results: DataFrame, by: list[str]) -> DataFrame:
             "points_weighted_accuracy": F.when(reachable > 1e-12, total / reachable).otherwise(zero),
             "unknown_usage_count": F.col("answered_count") - F.col("total_tokens_known"),
         }
-    ).drop("_correct", "_points", "_earned", "_start")
+    ).drop("_correct", "_reachable", "_earned", "_start", "_n", "_points")
     median = exact_quantiles(
-        results.filter(answered), by, "latency_ms", {"median_latency_ms": 0.5}
+        results.filter(answered), by, "latency_ms", MEDIAN, grouped.select(*by, "_n", "_points")
     )
     return report.join(median, by, "left")
 

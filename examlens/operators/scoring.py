@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from examlens.functions.common import count_if, normalized_letter, share
+from examlens.functions.common import CELL_ITEMS, Counted, count_if, normalized_letter
 from examlens.functions.scoring import DECLINED, LETTERS, PENALTY
 
 EXAM = ["year", "exam"]
@@ -49,21 +49,63 @@ def score_attempts(attempts: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+OTHER = "OTHER"
+CELL_KEYS = [
+    "model",
+    *EXAM,
+    "question_points",
+    "answer",
+    "predicted_normalized",
+    "answered_correctly",
+    "declined",
+    "attempted",
+    "valid_selection",
+    "awarded_points",
+    "multimodal",
+    "has_associated_image",
+    "has_option_image",
+]
+
+
+def item_cells(scored: DataFrame) -> DataFrame:
+    """Scored rows counted per combination of everything the item tables look at.
+
+    One scan of the item rows, combined map side, leaves a table whose size depends on the
+    number of models, forms and letters only. Exam scores, slices, descriptive tables and
+    exposure checks all accept it in place of the item rows. Unreadable choices and keys are
+    one value, so free text does not multiply the cells.
+    """
+
+    def letter(name: str) -> Column:
+        known = F.col(name).isin(*LETTERS) | (F.col(name) == DECLINED)
+        return F.when(known, F.col(name)).otherwise(F.lit(OTHER))
+
+    choices = {name: letter(name) for name in ("answer", "predicted_normalized")}
+    return (
+        scored.withColumns(choices)
+        .groupBy(*CELL_KEYS)
+        .agg(F.count(F.lit(1)).alias(CELL_ITEMS))
+    )
+
+
 def exam_scores(scored: DataFrame, adjustments: DataFrame | None = None) -> DataFrame:
     """Contest score per model and form.
 
     One starting point per evaluated item, plus the fixed credit of adjusted forms in both
     the score and the maximum. ``adjustments`` is a literal-size table keyed on (year, exam).
     """
-    grouped = scored.groupBy("model", *EXAM).agg(
-        F.count(F.lit(1)).cast("bigint").alias("questions"),
-        count_if(F.col("answered_correctly")).alias("correct"),
-        count_if(F.col("attempted")).alias("attempted"),
-        count_if(F.col("declined")).alias("declined"),
-        count_if(~F.col("valid_selection") & ~F.col("declined")).alias("no_valid_selections"),
-        share(F.col("multimodal")).alias("multimodal_share"),
-        F.sum("awarded_points").alias("_awarded"),
-        F.sum("question_points").alias("_points"),
+    items = Counted(scored)
+    grouped = items.frame.groupBy("model", *EXAM).agg(
+        items.rows().alias("questions"),
+        items.count_if(F.col("answered_correctly")).alias("correct"),
+        items.count_if(F.col("attempted")).alias("attempted"),
+        items.count_if(F.col("declined")).alias("declined"),
+        items.count_if(~F.col("valid_selection") & ~F.col("declined")).alias(
+            "no_valid_selections"
+        ),
+        items.share(F.col("multimodal")).alias("multimodal_share"),
+        items.total("awarded_points").alias("_awarded"),
+        items.total("question_points").alias("_points"),
     )
     if adjustments is None:
         grouped = grouped.withColumns(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from examlens.functions.common import Counted
 from examlens.operators import describe, scoring
 from examlens.plans import adapters as a
 from examlens.plans.oracle_tables import oracle, rounded
@@ -232,7 +233,8 @@ _COMPOSITION = [
 )
 def g5(spark, sf_dir):
     evaluated = describe.evaluated_items(a.items(spark, sf_dir), a.attempts(spark, sf_dir))
-    return round_doubles(describe.with_decades(describe.exam_composition(evaluated)))
+    composition = describe.exam_composition(evaluated).drop("auxiliary_visual_share")
+    return round_doubles(describe.with_decades(composition))
 
 
 _SLICE_AGG = """SELECT '{name}' AS slice, year, exam, avg(acc) AS ensemble_accuracy,
@@ -277,7 +279,7 @@ def g6(spark, sf_dir):
 )
 def g17(spark, sf_dir):
     evaluated = describe.evaluated_items(a.items(spark, sf_dir), a.attempts(spark, sf_dir))
-    return round_doubles(describe.yearly_composition(evaluated))
+    return round_doubles(describe.yearly_composition(describe.exam_composition(evaluated)))
 
 
 @register(
@@ -354,3 +356,27 @@ def g42(spark, sf_dir):
     return scoring.form_coverage(
         a.scores(spark, sf_dir), a.adjustments(spark, sf_dir), a.human(spark, sf_dir)
     )
+
+
+@register(
+    "g7_league_table_from_cells",
+    oracle(
+        """SELECT model, count(*) AS items, count_if(answered_correctly) AS correct,
+                  round(avg((answered_correctly AND multimodal)::INT), 6) AS visual_correct_share,
+                  round(sum(awarded_points), 6) AS awarded_points
+           FROM scored GROUP BY model""",
+        "scored",
+    ),
+)
+def g7_cells(spark, sf_dir):
+    """Model totals from the cells that stand in for the item rows in whole reports."""
+    items = Counted(scoring.item_cells(a.scored(spark, sf_dir)))
+    both = F.col("answered_correctly") & F.col("multimodal")
+    return round_doubles(
+        items.frame.groupBy("model").agg(
+            items.rows().alias("items"),
+            items.count_if(F.col("answered_correctly")).alias("correct"),
+            items.share(both).alias("visual_correct_share"),
+            items.total("awarded_points").alias("awarded_points"),
+        )
+    )

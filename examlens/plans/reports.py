@@ -1,7 +1,8 @@
 """Whole reports: every table of an analysis as one dictionary of lazy DataFrames.
 
-The item rows are reduced and written once (exam scores, cells, panel); the tables start
-from those small results. ``sources.writers`` puts a report on disk.
+The item rows are scored, reduced to cells and written once; exam scores, panel and every
+table start from those small results, so a report scans the attempts a single time however
+many tables it has. ``sources.writers`` puts a report on disk.
 """
 
 from __future__ import annotations
@@ -45,36 +46,38 @@ class Base:
     """Small written results that the tables of all reports share."""
 
     scored: DataFrame
+    cells: DataFrame
     scores: DataFrame
+    composition: DataFrame
     comparison: DataFrame
     panel: DataFrame
     slices: DataFrame
-    cells: DataFrame
 
 
 def prepare(inputs: Inputs) -> Base:
     """Score the items and write the panel-sized results once."""
     scored = scoring.score_attempts(inputs.attempts, inputs.items)
-    scores = panels.materialize(scoring.exam_scores(scored, inputs.adjustments), "scores")
+    cells = panels.materialize(scoring.item_cells(scored), "cells")
+    scores = panels.materialize(scoring.exam_scores(cells, inputs.adjustments), "scores")
     human = panels.materialize(inputs.human, "human")
-    composition = describe.exam_composition(
-        describe.evaluated_items(inputs.items, inputs.attempts)
-    )
+    evaluated = describe.evaluated_items(inputs.items, inputs.attempts)
+    composition = panels.materialize(describe.exam_composition(evaluated), "composition")
     panel = panels.materialize(panels.build_panel(scores, human, composition), "panel")
     return Base(
         scored=scored,
+        cells=cells,
         scores=scores,
+        composition=composition,
         comparison=panels.comparison_panel(scores, human, inputs.reference_model),
         panel=panel,
-        slices=panels.materialize(describe.slice_scores(scored), "slices"),
-        cells=panels.materialize(regressions.modality_cells(scored), "cells"),
+        slices=panels.materialize(describe.slice_scores(cells), "slices"),
     )
 
 
 def diagnostics(inputs: Inputs, base: Base) -> dict[str, DataFrame]:
     """Descriptive tables, calibration and composition-controlled correlations."""
     reps, panel = inputs.repetitions, base.panel
-    conditioned = describe.with_conditions(base.scored)
+    conditioned = describe.with_conditions(base.cells)
     text_only = conditioned.filter(F.col("visual_condition") == describe.TEXT_ONLY)
     pearson = regressions.pearson_intervals(panel, ["series"], "year", 4900, reps)
     spearman = regressions.spearman_intervals(panel, ["series"], "year", 4901, reps)
@@ -88,7 +91,7 @@ def diagnostics(inputs: Inputs, base: Base) -> dict[str, DataFrame]:
         "per_grade_correlations": regressions.per_grade_correlations(panel, reps),
         "text_only_diagnostic": regressions.slice_correlations(base.slices, panel, reps),
         "image_subtype_results": describe.subtype_results(conditioned),
-        "option_position_diagnostic": describe.option_positions(base.scored),
+        "option_position_diagnostic": describe.option_positions(base.cells),
         "response_status_by_visual_condition": describe.response_status(conditioned),
         "visual_accuracy_by_point_tier": describe.accuracy_table(
             conditioned, ["model", "question_points", "visual_condition"]
@@ -113,9 +116,7 @@ def surrogate(inputs: Inputs, base: Base) -> dict[str, DataFrame]:
     errors = panels.materialize(forecast.forward_errors(panel), "forecasts")
     adjusted = inputs.adjustments.filter("fixed_bonus > 0")
     return {
-        "yearly_composition": describe.yearly_composition(
-            describe.evaluated_items(inputs.items, inputs.attempts)
-        ),
+        "yearly_composition": describe.yearly_composition(base.composition),
         "shared_exam_panel": panel,
         "sensitivity_checks": regressions.sensitivity_checks(
             panel, adjusted, inputs.grades, reps
@@ -150,7 +151,7 @@ def robustness(
     blind_scored = scoring.score_attempts(blind, inputs.items)
     cells = panels.materialize(
         regressions.control_cells(
-            regressions.item_controls(base.scored), "correct", ["model"]
+            regressions.item_controls(base.cells), "correct", ["model"]
         ),
         "cells",
     )
@@ -165,7 +166,9 @@ def robustness(
     keys = ["model"]
     return {
         "recent_mean_increment": forecast.recent_mean_increment(panel, reps),
-        "ceiling_checks": regressions.ceiling_checks(panel, base.cells, reps),
+        "ceiling_checks": regressions.ceiling_checks(
+            panel, regressions.modality_cells(base.cells), reps
+        ),
         "change_correlations": forecast.change_correlations(panel, reps),
         "exposure_checks": regressions.exposure_checks(
             cells,
