@@ -210,6 +210,33 @@ def _cross_product(names: list[str], absorbed: bool) -> Column:
     return F.concat(rows, last)
 
 
+def coefficient(
+    frame: DataFrame,
+    outcome: str,
+    predictors: list[str],
+    absorb: str | None,
+    term: str,
+    by: list[str],
+    cluster: str,
+    seed: int,
+    repetitions: int = REPETITIONS,
+) -> DataFrame:
+    """One regression coefficient per group with its cluster interval and r².
+
+    ``absorb`` names a factor whose levels get their own intercepts.
+    """
+    columns = [outcome, *predictors]
+    keys = list(dict.fromkeys([*by, *([absorb] if absorb else []), cluster]))
+    cells = cell_moments(frame, columns, keys)
+    draws = cluster_draws(frame, cluster, seed, repetitions, by)
+    moments = weighted_moments(cells, columns, by, absorb, draws, cluster)
+    fit = Fit(_gram(absorb is not None), predictors, outcome)
+    replicates = moments.select(
+        *by, "rep", fit.coefficients[term].alias("coefficient"), fit.r2.alias("r2")
+    )
+    return _with_r2(replicates, by, ["coefficient"], ["r2"], repetitions)
+
+
 def pooled_correlations(panel: DataFrame) -> DataFrame:
     """Pearson and Spearman of every series with the human mean, with p-values."""
     ranked = panel.withColumns(

@@ -49,6 +49,13 @@ def score_attempts(attempts: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def run_outcomes(scored: DataFrame, model: str) -> DataFrame:
+    """Correct and declined flags of one run per item, for comparisons of runs."""
+    return scored.filter(F.col("model") == model).select(
+        "item_id", F.col("answered_correctly").alias("correct"), "declined"
+    )
+
+
 OTHER = "OTHER"
 CELL_KEYS = [
     "model",

@@ -37,6 +37,18 @@ def b6(spark, sf_dir):
     )
 
 
+@register(
+    "g40_run_outcomes",
+    oracle(
+        """SELECT item_id, answered_correctly AS correct, declined FROM scored WHERE model = 'm2'""",
+        "scored",
+    ),
+)
+def g40(spark, sf_dir):
+    """Correct and declined flags of one run per item."""
+    return scoring.run_outcomes(a.scored(spark, sf_dir), "m2")
+
+
 _SCORE_COLUMNS = ["multimodal_share", "total_score", "possible_points", "model_pct"]
 
 

@@ -633,6 +633,45 @@ def t6(spark, sf_dir):
     )
 
 
+@register(
+    "e11_coefficient",
+    oracle(
+        f"""SELECT series, {bounds('b', 'coefficient')}, {samples('b')},
+                   round(max(1 - (e_model_pct__model_pct - e_model_pct__option_image_share ** 2
+                         / e_option_image_share__option_image_share) / t) FILTER (WHERE rep = 0), 6) AS r2
+            FROM (SELECT series, rep, e_model_pct__option_image_share
+                         / e_option_image_share__option_image_share AS b, * EXCLUDE (series, rep)
+                  FROM ({eliminate('m', ['series', 'rep'], 'w', ['model_pct', 'option_image_share', 'associated_image_share'], ['associated_image_share'])}))
+            JOIN (SELECT series, rep, t_model_pct__model_pct AS t FROM m) USING (series, rep)
+            GROUP BY series""",
+        "panel",
+        extra={
+            "draws": draws_sql("panel", "year", 81, ["series"]),
+            "m": moments_sql(
+                "panel",
+                ["model_pct", "option_image_share", "associated_image_share"],
+                ["series"],
+                "exam",
+                draw_keys=["series"],
+            ),
+        },
+    ),
+)
+def e11(spark, sf_dir):
+    return round_doubles(
+        reg.coefficient(
+            a.panel(spark, sf_dir),
+            "model_pct",
+            ["option_image_share", "associated_image_share"],
+            "exam",
+            "option_image_share",
+            ["series"],
+            "year",
+            81,
+        )
+    )
+
+
 # year effects out first, then exam effects under the replicate's weights (balanced panel)
 def _two_way_sql(source: str, by: list[str], x: str, y: str) -> dict[str, str]:
     keys = "".join(f"{k}, " for k in by)
