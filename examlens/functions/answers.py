@@ -81,9 +81,7 @@ def last_final_line(text: Column | str) -> Column:
 
 def clean_token(raw: Column | str) -> Column:
     """Drop white space, quotes and closing punctuation around a candidate answer."""
-    unquoted = F.regexp_replace(
-        strip(raw), f"^[{TOKEN_QUOTES}]+|[{TOKEN_QUOTES}]+\\z", ""
-    )
+    unquoted = F.btrim(strip(raw), F.lit(TOKEN_QUOTES))
     return strip(F.regexp_replace(unquoted, rf"(?U){TOKEN_TAIL}+\z", ""))
 
 

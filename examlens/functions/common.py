@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Unicode white space as a class for ``(?U)`` patterns, plus the separators \x1c-\x1f that
-# the Unicode property does not list but the scoring rules also strip.
-SPACE = r"[\s\x1c-\x1f]"
+# Every character that ends a token at the edges: the Unicode white space and the separators
+# \x1c-\x1f. A literal list, so that stripping is a plain character scan and not a regex.
+WHITE_SPACE = "".join(
+    map(
+        chr,
+        [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)]
+        + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000],
+    )
+)
 
 
 def col(value: Column | str) -> Column:
@@ -16,7 +22,7 @@ def col(value: Column | str) -> Column:
 
 def strip(value: Column | str) -> Column:
     """Remove Unicode white space at both ends (``trim`` removes U+0020 only)."""
-    return F.regexp_replace(col(value), rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col(value), F.lit(WHITE_SPACE))
 
 
 def normalized_letter(value: Column | str) -> Column:

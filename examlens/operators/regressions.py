@@ -458,7 +458,7 @@ def sensitivity_checks(
     """Grade-FE slope without adjusted forms, with year effects, and leaving years out."""
     columns = ["human_pct", "model_pct"]
     keys = ["series", "check"]
-    reduced = panel.join(F.broadcast(adjusted_forms.select(*EXAM)), EXAM, "left_anti")
+    reduced = panel.join(adjusted_forms.select(*EXAM), EXAM, "left_anti")
     draws = cluster_draws(panel, "year", seed, repetitions)
     slope = Fit(within_gram, ["model_pct"], "human_pct").coefficients["model_pct"]
 
