@@ -15,11 +15,16 @@ def pearson(first: Column, second: Column) -> Column:
     )
 
 
+# Distributed sums differ in the last bits from run to run; ranks must not depend on that, so
+# values that agree to this many digits are ties.
+RANK_DIGITS = 9
+
+
 def average_rank(value: str, partition: list[str]) -> Column:
     """Rank within a partition where ties share the mean of their positions."""
-    window = Window.partitionBy(*partition)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*partition, value))
-    return F.rank().over(window.orderBy(value)) + (ties - 1) / 2
+    rounded = F.round(value, RANK_DIGITS)
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*partition, rounded))
+    return F.rank().over(Window.partitionBy(*partition).orderBy(rounded)) + (ties - 1) / 2
 
 
 def two_sided_p(r: Column, n: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from examlens.functions.common import Counted
 from examlens.functions.linalg import design_conditioning, least_squares, residual_moment
-from examlens.functions.stats import average_rank, pearson, two_sided_p
+from examlens.functions.stats import RANK_DIGITS, average_rank, pearson, two_sided_p
 from examlens.operators.bootstrap import (
     REPETITIONS,
     cluster_draws,
@@ -290,6 +290,7 @@ def _weighted_ranks(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
     A tie group that reaches from position p + 1 to p + t has the mean rank p + (t + 1) / 2.
     """
+    values = np.round(values, RANK_DIGITS)
     order = np.argsort(values, kind="stable")
     ordered = values[order]
     upto = np.cumsum(weights[:, order], axis=1)
@@ -709,7 +710,7 @@ def spread_and_association(
         (10 * fit.coefficients["model_pct"]).alias("effect_per_10pp_model"),
     )
     ceiling = panel.groupBy(*keys).agg(
-        F.avg((F.col("model_pct") >= 95).cast("double")).alias("share_at_least_95"),
+        F.avg((F.round("model_pct", 9) >= 95).cast("double")).alias("share_at_least_95"),
         F.avg((F.abs(F.col("model_pct") - 100) <= 1e-8 + 1e-3).cast("double")).alias("share_at_100"),
     )
     return _with_r2(

@@ -164,10 +164,11 @@ def is_close(value: Column, target: Column) -> Column:
 def with_winners(scores: DataFrame) -> DataFrame:
     """Adds ``won``: the best complete score of its exam, ties to the first model by name.
 
-    The window holds one exam's models, a handful of already aggregated rows.
+    The window holds one exam's models, a handful of already aggregated rows. Scores are
+    compared to nine digits, because the last bits of a distributed sum depend on its order.
     """
     ranking = Window.partitionBy(*EXAM).orderBy(
-        F.desc("complete_exam"), F.desc("model_pct"), "model"
+        F.desc("complete_exam"), F.round("model_pct", 9).desc(), "model"
     )
     won = F.col("complete_exam") & (F.row_number().over(ranking) == 1)
     return scores.withColumn("won", won)

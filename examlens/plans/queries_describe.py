@@ -68,7 +68,7 @@ def g1(spark, sf_dir):
 
 _WINNERS = """SELECT model, count(*) AS exams_won FROM (
     SELECT model, row_number() OVER (PARTITION BY year, exam
-                                     ORDER BY model_pct DESC, model) AS rn
+                                     ORDER BY round(model_pct, 9) DESC, model) AS rn
     FROM scores WHERE complete_exam) WHERE rn = 1 GROUP BY model"""
 
 

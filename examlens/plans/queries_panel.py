@@ -247,10 +247,11 @@ def w2(spark, sf_dir):
 
 # --- correlations -------------------------------------------------------------------------
 
-_RANKED = """SELECT *, rank() OVER (PARTITION BY series ORDER BY human_pct)
-            + (count(*) OVER (PARTITION BY series, human_pct) - 1) / 2.0 AS rh,
-        rank() OVER (PARTITION BY series ORDER BY model_pct)
-            + (count(*) OVER (PARTITION BY series, model_pct) - 1) / 2.0 AS rm FROM panel"""
+_RANKED = """SELECT *, rank() OVER (PARTITION BY series ORDER BY round(human_pct, 9))
+            + (count(*) OVER (PARTITION BY series, round(human_pct, 9)) - 1) / 2.0 AS rh,
+        rank() OVER (PARTITION BY series ORDER BY round(model_pct, 9))
+            + (count(*) OVER (PARTITION BY series, round(model_pct, 9)) - 1) / 2.0 AS rm
+    FROM panel"""
 
 
 def _p_value(r: str) -> str:
@@ -302,10 +303,10 @@ _T_CORR = f"t_{pair('human_pct', 'model_pct')} / nullif(sqrt(t_{pair('human_pct'
             "m": moments_sql("panel", ["human_pct", "model_pct"], ["series"], None, draw_keys=["series"]),
             "draws2": draws_sql("panel", "year", 4901, ["series"]),
             "ranked": """SELECT series, rep, weight,
-                sum(weight) OVER (PARTITION BY series, rep ORDER BY human_pct)
-                  - (sum(weight) OVER (PARTITION BY series, rep, human_pct) - 1) / 2 AS rh,
-                sum(weight) OVER (PARTITION BY series, rep ORDER BY model_pct)
-                  - (sum(weight) OVER (PARTITION BY series, rep, model_pct) - 1) / 2 AS rm
+                sum(weight) OVER (PARTITION BY series, rep ORDER BY round(human_pct, 9))
+                  - (sum(weight) OVER (PARTITION BY series, rep, round(human_pct, 9)) - 1) / 2 AS rh,
+                sum(weight) OVER (PARTITION BY series, rep ORDER BY round(model_pct, 9))
+                  - (sum(weight) OVER (PARTITION BY series, rep, round(model_pct, 9)) - 1) / 2 AS rm
                 FROM panel JOIN draws2 USING (series, year)""",
         },
     ),
@@ -879,7 +880,7 @@ _ACCURACY_SQL = """SELECT slice, model AS series, avg(answered_correctly::INT) A
                          sqrt(w_model_pct__model_pct / (n - 1)) AS sd_within_grade,
                          w_human_pct__model_pct / sqrt(w_human_pct__human_pct * w_model_pct__model_pct) AS within_grade_r,
                          10 * w_human_pct__model_pct / w_model_pct__model_pct AS b FROM m)
-            JOIN (SELECT slice, series, avg((model_pct >= 95)::INT) AS share FROM c GROUP BY ALL)
+            JOIN (SELECT slice, series, avg((round(model_pct, 9) >= 95)::INT) AS share FROM c GROUP BY ALL)
                  USING (slice, series)
             LEFT JOIN ({_ACCURACY_SQL}) USING (slice, series) GROUP BY slice, series""",
         "panel",

@@ -326,7 +326,7 @@ _WIDE = ", ".join(
                            w_human_pct__model_pct
                              / sqrt(w_human_pct__human_pct * w_model_pct__model_pct) AS r FROM m)
               GROUP BY series)
-            JOIN (SELECT series, round(avg((model_pct >= 95)::INT), 6) AS share_at_least_95,
+            JOIN (SELECT series, round(avg((round(model_pct, 9) >= 95)::INT), 6) AS share_at_least_95,
                          round(avg((abs(model_pct - 100) <= 1e-8 + 1e-3)::INT), 6) AS share_at_100
                   FROM later_panel GROUP BY series) USING (series)
             JOIN (SELECT series, {bounds('v', 'pct_per_10pp_visual_share')}
