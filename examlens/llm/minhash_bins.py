@@ -122,21 +122,25 @@ def fingerprint(text: Column, words: int = WORDS, bins: int = BINS, bits: int =
 def likeness(left: Column, right: Column, bins: int = BINS, bits: int = BITS) -> Column:
     """Estimated Jaccard similarity: the share of equal bins, less those equal by chance."""
     chance = 2.0**-bits
-    if bits >= 4:
-        n = bits // 4
-        same = F.filter(
-            F.sequence(F.lit(0), F.lit(bins - 1)),
-            lambda i: F.substr(left, i * n + 1, F.lit(n)) == F.substr(right, i * n + 1, F.lit(n)),
-        )
+    places = F.sequence(F.lit(0), F.lit(bins - 1))
+    if bits >= 8:  # whole bytes are found by place, unlike characters
+        n = bits // 8
+
+        def equal_bins(a: Column, b: Column) -> Column:
+            return F.size(F.filter(places, lambda i: F.substr(a, i * n + 1, F.lit(n)) == F.substr(b, i * n + 1, F.lit(n))))
+
     else:
-        each = 4 // bits
+        each = 8 // bits
 
         def value(x: Column, i: Column) -> Column:
-            digit = F.conv(F.substr(x, F.floor(i / each).cast("int") + 1, F.lit(1)), 16, 10).cast("int")
-            return F.floor(digit / F.pow(F.lit(2), bits * (each - 1 - F.pmod(i, F.lit(each))))) % (1 << bits)
+            byte = F.conv(F.hex(F.substr(x, F.floor(i / each).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            return F.floor(byte / F.pow(F.lit(2), bits * (each - 1 - F.pmod(i, F.lit(each))))) % (1 << bits)
+
+        def equal_bins(a: Column, b: Column) -> Column:
+            return F.size(F.filter(places, lambda i: value(a, i) == value(b, i)))
 
-        same = F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: value(left, i) == value(right, i))
-    share = F.size(same) / F.lit(float(bins))
+    same = once(F.unhex(left), lambda a: once(F.unhex(right), lambda b: equal_bins(a, b)))
+    share = same / F.lit(float(bins))
     return F.greatest(F.lit(0.0), (share - chance) / (1 - chance))
 
 
