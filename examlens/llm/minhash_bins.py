@@ -164,7 +164,7 @@ def with_next(
     """Each row with the row that follows it in descending order of an integer key, as ``next``.
 
     The last row is followed by the first; missing keys come last; rows with equal keys follow
-    each other in the order of their other columns. ``derive`` adds columns to the rows and is
+    each other in the order of their other columns. A column ``next`` is replaced. ``derive`` adds columns to the rows and is
     applied where they are needed, once per row.
 
     Rows are dealt by blocks of ``width`` keys, each sorted by its own task. The first row of
@@ -172,7 +172,8 @@ def with_next(
     ``width``, are linked the same way, and only the heads of the heads meet in one task:
     ``levels`` 2 leaves one row in ``width`` squared.
     """
-    names = rows.columns
+    names = [c for c in rows.columns if c != "next"]
+    rows = rows.select(*names)
     order = [F.col(key).desc_nulls_last(), *[F.col(c) for c in names if c != key]]
     if not levels:
         derived = derive(rows)

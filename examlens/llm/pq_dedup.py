@@ -112,9 +112,9 @@ def links(
 
     ``n_links`` counts the other vectors with cosine of ``least_cosine`` at least, in double
     precision; ``component_id`` is the smallest id reachable by links. Vectors that are null or
-    zero, hold null or non-finite components, or differ in length from most of the sample link
-    with nothing. Rows without an id are not linked. Rows that repeat an id count as one more
-    vector each when links are counted.
+    zero or hold null or non-finite components link with nothing, as do rows without an id.
+    Vectors of another length than most of the sample are linked with their equals only. Rows
+    that repeat an id count as one more vector each when links are counted.
 
     Equal vectors form one class, compared once and counted as often as it occurs. The centroids
     and codebooks are fitted on a sample chosen by hash; every vector is indexed, the number of

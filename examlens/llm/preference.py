@@ -95,12 +95,23 @@ def formatted(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     The prompt is the longest common prefix of turns, equal in role and text, but never the last
     assistant turn of either: conversations of which one begins the other, or equal ones, keep a
     completion where they have an answer to learn. A missing partner has no turns, so the prompt
-    is empty and its columns are null; ids not found in ``turns`` count as missing partners.
+    is empty and its columns are null; ids not found in ``turns`` count as missing partners. Pairs
+    whose ``chosen_id`` is missing or not found have no row.
     """
     convs = conversations(turns)
     one = convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("_a"))
     two = convs.select(F.col("conv_id").alias("_r"), F.col("turns").alias("_b"))
-    both = pairs.select("chosen_id", "rejected_id").join(one, "chosen_id").join(two, F.col("rejected_id") == F.col("_r"), "left")
+    # pairs without a partner carry their own id in the join key, so that nulls do not meet in one task
+    spare = F.when(F.col("rejected_id").isNull(), F.col("chosen_id"))
+    both = (
+        pairs.select("chosen_id", "rejected_id", spare.alias("_spare"))
+        .join(one, "chosen_id")
+        .join(
+            two.withColumn("_none", F.lit(None).cast(convs.schema["conv_id"].dataType)),
+            (F.col("rejected_id") == F.col("_r")) & F.col("_spare").eqNullSafe(F.col("_none")),
+            "left",
+        )
+    )
 
     def open_until(t: Column) -> Column:
         """Turns before the last assistant turn; all if there is none."""
