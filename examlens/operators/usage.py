@@ -17,7 +17,6 @@ ALPHA = 0.2
 # Sample sizes and bands of the cost projection and the time estimate.
 BANDS = [(50, 0.05), (20, 0.07), (0, 0.10)]
 SMALLEST_BAND = 0.01
-TOKEN_WEIGHT, ITEM_WEIGHT = 0.8, 0.2
 
 
 def usage_events(results: DataFrame, run: str) -> DataFrame:
@@ -255,68 +254,8 @@ def request_rate(events: DataFrame, chunk: str = "1 hour", alpha: float = ALPHA)
     )
 
 
-def eta_estimate(
-    state: DataFrame,
-    total_items: Column,
-    workers: int,
-    min_request_interval: float | None = None,
-) -> DataFrame:
-    """Remaining seconds per run from token and request rates.
-
-    ``state`` is a rollup joined with the rate state (``request_rate_ema, token_rate_ema,
-    rate_samples, rate_median, rate_mad``). Rates scale with the workers and are limited by
-    the provider's request interval.
-    """
-    many = F.lit(float(workers if workers > 1 else 1))
-    requests, tokens = F.col("request_rate_ema") * many, F.col("token_rate_ema") * many
-    capped = F.lit(False)
-    mean = mean_tokens()
-    if min_request_interval and min_request_interval > 0 and workers > 0:
-        limit = F.lit(workers / max(min_request_interval, 1e-6))
-        request_capped = F.coalesce(requests <= 0, F.lit(True)) | F.coalesce(requests > limit, F.lit(False))
-        token_capped = F.coalesce(tokens > limit * mean, F.lit(False)) & (F.coalesce(mean, F.lit(0.0)) > 0)
-        capped = request_capped | token_capped
-        requests = F.when(request_capped, limit).otherwise(requests)
-        tokens = F.when(token_capped, limit * mean).otherwise(tokens)
-    staged = state.withColumns(
-        {
-            "requests_per_second": requests,
-            "tokens_per_second": tokens,
-            "eta_capped": capped,
-            "_remaining": remaining_items(total_items),
-            "_mean": mean,
-        }
-    )
-    from_tokens = F.when(
-        F.col("tokens_per_second") > 0, F.col("_mean") * F.col("_remaining") / F.col("tokens_per_second")
-    )
-    from_items = F.when(
-        (F.col("_remaining") > 0) & (F.col("requests_per_second") > 0),
-        F.col("_remaining") / F.col("requests_per_second"),
-    )
-    staged = staged.withColumns({"_t": from_tokens, "_i": from_items})
-    seconds = F.coalesce(
-        TOKEN_WEIGHT * F.col("_t") + ITEM_WEIGHT * F.col("_i"), F.col("_t"), F.col("_i")
-    )
-    samples = F.coalesce(F.col("rate_samples"), F.lit(0))
-    spread = F.coalesce(F.col("rate_mad") > 0.4 * F.col("rate_median"), F.lit(False))
-    confidence = (
-        F.when(seconds.isNull() | (samples < 10), "low")
-        .when((samples < 30) | spread, "medium")
-        .otherwise("high")
-    )
-    return staged.select(
-        "run",
-        seconds.alias("eta_seconds"),
-        confidence.alias("eta_confidence"),
-        "eta_capped",
-        "tokens_per_second",
-        "requests_per_second",
-    )
-
-
 def snapshot(events: DataFrame, total_items: Column) -> DataFrame:
-    """One dashboard row per run from a batch of events (without the time estimate)."""
+    """One dashboard row per run from a batch of events."""
     rollup = usage_rollup(events)
     projection = cost_projection(rollup, total_items)
     packed = projection.select(

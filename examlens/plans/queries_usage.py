@@ -178,26 +178,6 @@ def r5_request(spark, sf_dir):
     return round_doubles(usage.request_rate(events(spark, sf_dir)))
 
 
-@register("r5_rate_state")
-def r5(spark, sf_dir):
-    """Request and token rates with outlier rejection, folded over a sorted table."""
-    return round_doubles(us.rate_state(events(spark, sf_dir)))
-
-
-@register("r5_rate_state_stream")
-def r5_stream(spark, sf_dir):
-    """The same rates as keyed state of a stream."""
-    state = us.rate_state(event_stream(spark, sf_dir))
-    return round_doubles(us.drain(state, "update", "rates", us.newest(["run"])))
-
-
-@register("r6_time_estimate")
-def r6(spark, sf_dir):
-    batch = events(spark, sf_dir)
-    joined = usage.usage_rollup(batch).join(us.rate_state(batch), "run")
-    return round_doubles(usage.eta_estimate(joined, F.lit(TOTAL_ITEMS), 8, 0.05), 3)
-
-
 _RECENT = """SELECT run, string_agg(event_id::VARCHAR || ':' || type, ',' ORDER BY rn) AS recent
     FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts DESC, event_id DESC) AS rn
           FROM usage) WHERE rn <= 20 GROUP BY run"""
@@ -305,20 +285,11 @@ def r10(spark, sf_dir):
     return _text_times(us.windowed_usage(events(spark, sf_dir)))
 
 
-@register(
-    "r10_tumbling_windows_stream",
-    oracle(
-        _text_sql(
-            f"""SELECT * FROM ({_WINDOWS})
-                WHERE window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM usage)"""
-        ),
-        "usage",
-    ),
-)
+@register("r10_tumbling_windows_stream", oracle(_text_sql(_WINDOWS), "usage"))
 def r10_stream(spark, sf_dir):
-    """Deduplicated stream, closed windows only (their end lies before the watermark)."""
+    """Deduplicated stream; each trigger updates its windows, so the open ones are there too."""
     stream = us.windowed_usage(us.deduplicated(event_stream(spark, sf_dir)))
-    return _text_times(us.drain(stream, "append", "windows"))
+    return _text_times(us.drain(stream, "update", "windows", us.newest(["run", "window_start", "window_end"])))
 
 
 @register(

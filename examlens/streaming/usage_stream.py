@@ -1,32 +1,17 @@
-"""Usage events as a stream: rollups, event-time windows, deduplication, rate state."""
+"""Usage events as a stream: rollups, event-time windows, deduplication."""
 
 from __future__ import annotations
 
-import statistics
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import (
-    ArrayType,
-    DoubleType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-)
+from pyspark.sql.types import LongType, StructField, StructType
 
-from examlens.operators.usage import ALPHA, total_tokens, usage_rollup
+from examlens.operators.usage import total_tokens, usage_rollup
 from examlens.session import shared_folder
 
-RATE_WINDOW = 128
-MAD_LIMIT = 4.0
-MAD_SCALE = 1.4826  # consistency constant of a normal distribution
-MIN_RATES = 5
-
 
 def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Each event once, with state bounded by the watermark."""
@@ -56,149 +41,6 @@ def windowed_usage(
     )
 
 
-RATE_STATE = StructType(
-    [
-        StructField("last_ts", DoubleType()),
-        StructField("request_ema", DoubleType()),
-        StructField("token_ema", DoubleType()),
-        StructField("samples", LongType()),
-        StructField("rates", ArrayType(DoubleType())),
-    ]
-)
-RATE_OUTPUT = StructType(
-    [
-        StructField("run", StringType()),
-        StructField("rate_samples", LongType()),
-        StructField("request_rate_ema", DoubleType()),
-        StructField("token_rate_ema", DoubleType()),
-        StructField("rate_median", DoubleType()),
-        StructField("rate_mad", DoubleType()),
-    ]
-)
-
-
-def spread(rates: list[float]) -> tuple[float | None, float | None]:
-    """Median and scaled median deviation of the kept rates; no deviation below five."""
-    if not rates:
-        return None, None
-    middle = statistics.median(rates)
-    if len(rates) < MIN_RATES:
-        return middle, None
-    return middle, MAD_SCALE * statistics.median([abs(rate - middle) for rate in rates])
-
-
-def _smoothed(current: float | None, sample: float) -> float:
-    return sample if current is None else (1 - ALPHA) * current + ALPHA * sample
-
-
-def _accepts(rate: float, rates: list[float]) -> bool:
-    middle, deviation = spread(rates)
-    if deviation is None:
-        return True
-    # a deviation of zero rejects every different rate
-    return abs(rate - middle) <= MAD_LIMIT * deviation
-
-
-class Rates:
-    """Rate state of one run; ``add`` takes its events in (ts, event_id) order.
-
-    Rates that lie far from the median of the last 128 accepted ones are skipped. Whether a
-    rate is accepted depends on all before it, so a run is a sequence by definition.
-    """
-
-    def __init__(self, stored: tuple | None = None):
-        self.last, self.requests, self.tokens, self.samples, rates = stored or (
-            None,
-            None,
-            None,
-            0,
-            [],
-        )
-        self.rates = list(rates or [])
-
-    def add(self, seconds: float, used: float, latency_ms: float) -> None:
-        if self.last is not None:
-            self.requests = _smoothed(self.requests, 1.0 / max(seconds - self.last, 1e-6))
-        self.last = float(seconds)
-        if not used > 0 or not latency_ms > 0:
-            return
-        rate = float(used) / (latency_ms / 1000.0)
-        if len(self.rates) >= MIN_RATES and not _accepts(rate, self.rates):
-            return
-        self.rates = [*self.rates, rate][-RATE_WINDOW:]
-        self.tokens = _smoothed(self.tokens, rate)
-        self.samples += 1
-
-    def stored(self) -> tuple:
-        return self.last, self.requests, self.tokens, self.samples, self.rates
-
-    def row(self, run: str) -> tuple:
-        return (run, self.samples, self.requests, self.tokens, *spread(self.rates))
-
-
-def _output(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=RATE_OUTPUT.names)
-
-
-def fold_trigger(
-    key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Fold the events that arrived for one run since the last trigger.
-
-    Size a trigger with ``maxFilesPerTrigger``: its events of one run are sorted in memory.
-    The state itself is one small row.
-    """
-    rates = Rates(state.get if state.exists else None)
-    arrived = pd.concat(list(batches), ignore_index=True).sort_values(["seconds", "event_id"])
-    for event in zip(arrived["seconds"], arrived["tokens"], arrived["latency_ms"]):
-        rates.add(*event)
-    state.update(rates.stored())
-    yield _output([rates.row(key[0])])
-
-
-def fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fold a sorted partition that holds whole runs, one Arrow batch at a time.
-
-    Only the state of the current run is kept, so memory does not grow with a run.
-    """
-    run, rates = None, Rates()
-    for batch in batches:
-        columns = (batch["run"], batch["seconds"], batch["tokens"], batch["latency_ms"])
-        for name, *event in zip(*columns):
-            if name != run:
-                if run is not None:
-                    yield _output([rates.row(run)])
-                run, rates = name, Rates()
-            rates.add(*event)
-    if run is not None:
-        yield _output([rates.row(run)])
-
-
-def _rate_columns(events: DataFrame) -> DataFrame:
-    return events.select(
-        F.col("run").cast("string").alias("run"),
-        F.col("ts").cast("double").alias("seconds"),
-        "event_id",
-        total_tokens().alias("tokens"),
-        "latency_ms",
-    )
-
-
-def rate_state(events: DataFrame) -> DataFrame:
-    """Smoothed request and token rates per run.
-
-    A table is sorted by run and time (an external, spilling sort) and folded in one pass.
-    A stream keeps one state row per run and gives an updated row per trigger.
-    """
-    prepared = _rate_columns(events)
-    if events.isStreaming:
-        return prepared.groupBy("run").applyInPandasWithState(
-            fold_trigger, RATE_OUTPUT, RATE_STATE, "update", GroupStateTimeout.NoTimeout
-        )
-    ordered = prepared.repartition("run").sortWithinPartitions("run", "seconds", "event_id")
-    return ordered.mapInPandas(fold_sorted, RATE_OUTPUT)
-
-
 def read_usage_stream(spark: SparkSession, schema: StructType, path: str, **options: Any) -> DataFrame:
     """JSON usage log as a stream of files."""
     return spark.readStream.schema(schema).options(**options).json(path)
