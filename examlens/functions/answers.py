@@ -131,17 +131,23 @@ def json_string_field(document: Column, name: str) -> Column:
     """A field of a JSON object when the text is exactly one object and the field a string.
 
     The text is parsed as the only element of an array, because the variant parser ignores
-    whatever follows a complete value and would accept text after the object.
+    whatever follows a complete value and would accept text after the object. The variant parser
+    refuses repeated keys and NaN; what it refuses is read by the lenient parser, for which the
+    last of repeated keys counts.
     """
-    whole = F.try_parse_json(
-        F.when(document.rlike(JSON_OBJECT), F.concat(F.lit("["), document, F.lit("]")))
-    )
+    listed = F.when(document.rlike(JSON_OBJECT), F.concat(F.lit("["), document, F.lit("]")))
+    whole = F.try_parse_json(listed)
+    lenient = F.from_json(listed, f"array<struct<`{name}`:string>>")
+    values = F.regexp_extract_all(document, F.lit(rf'"{name}"\s*:\s*(\S)'), F.lit(1))
+    last_is_text = F.try_element_at(values, F.lit(-1)) == '"'
+    of_lenient = F.when(whole.isNull() & (F.size(lenient) == 1) & last_is_text, lenient[0][name])
     field = F.try_variant_get(whole, f"$[0].{name}", "variant")
     alone = F.try_variant_get(whole, "$[1]", "variant").isNull()
-    return F.when(
+    of_variant = F.when(
         alone & (F.schema_of_variant(field) == "STRING"),
         F.try_variant_get(whole, f"$[0].{name}", "string"),
     )
+    return F.coalesce(of_variant, of_lenient)
 
 
 def extract_answer(text: Column | str) -> Column:

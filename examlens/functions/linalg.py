@@ -17,7 +17,8 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 Gram = Callable[[str, str], Column]
 
-# A pivot below this share of the raw scale counts as no variation.
+# A pivot below this share of the raw scale counts as no variation. Callers whose variables are
+# percentages, shares or years may leave the scale out; it is then one.
 SINGULAR = 1e-12
 
 
@@ -70,36 +71,44 @@ def design_conditioning(matrices: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"rank": ranks, "condition_number": conditions})
 
 
-def least_squares(gram: Gram, predictors: list[str], outcome: str) -> dict[str, Column]:
-    """Coefficient of every predictor; a predictor without variation gets 0."""
+def least_squares(
+    gram: Gram, predictors: list[str], outcome: str, scale: Callable[[str], Column] | None = None
+) -> dict[str, Column]:
+    """Coefficient of every predictor; a predictor without variation gets 0.
+
+    ``scale`` gives a variable's second moment before centring, in the same unit as its gram.
+    """
     if not predictors:
         return {}
     if len(predictors) == 1:
         (x,) = predictors
-        return {x: F.coalesce(F.try_divide(gram(x, outcome), _pivot(gram, x)), F.lit(0.0))}
+        return {x: F.coalesce(F.try_divide(gram(x, outcome), _pivot(gram, x, scale)), F.lit(0.0))}
     if len(predictors) == 2:
-        return _two_predictors(gram, *predictors, outcome)
+        return _two_predictors(gram, *predictors, outcome, scale)
     matrix = F.array(*[gram(a, b) for a in predictors for b in predictors])
     side = F.array(*[gram(a, outcome) for a in predictors])
     solved = solve_normal_equations(matrix, side)
     return {name: solved[i] for i, name in enumerate(predictors)}
 
 
-def _pivot(gram: Gram, name: str) -> Column:
+def _pivot(gram: Gram, name: str, scale: Callable[[str], Column] | None) -> Column:
     """The variable's own moment, or null when it is rounding noise around a constant."""
     value = gram(name, name)
-    return F.when(value > SINGULAR, value)
+    return F.when(value > (SINGULAR * scale(name) if scale else F.lit(SINGULAR)), value)
 
 
-def _two_predictors(gram: Gram, x: str, z: str, y: str) -> dict[str, Column]:
+def _two_predictors(
+    gram: Gram, x: str, z: str, y: str, raw: Callable[[str], Column] | None
+) -> dict[str, Column]:
     xx, zz, xz = gram(x, x), gram(z, z), gram(x, z)
     xy, zy = gram(x, y), gram(z, y)
     determinant = xx * zz - xz * xz
     regular = determinant > SINGULAR * xx * zz
     # rank one: the minimum-norm solution is A c / trace(A)^2
     trace = xx + zz
+    least = SINGULAR * (raw(x) + raw(z)) if raw else F.lit(SINGULAR)
     scale = F.coalesce(
-        F.try_divide(F.lit(1.0), F.when(trace > SINGULAR, trace * trace)), F.lit(0.0)
+        F.try_divide(F.lit(1.0), F.when(trace > least, trace * trace)), F.lit(0.0)
     )
     safe = F.when(regular, determinant)
     return {

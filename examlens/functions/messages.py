@@ -57,6 +57,10 @@ def is_object(value: Column) -> Column:
     return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
 
 
+# lists inside lists of message content that are followed
+MAX_DEPTH = 8
+
+
 def is_array(value: Column) -> Column:
     return F.startswith(F.schema_of_variant(value), F.lit("ARRAY"))
 
@@ -78,18 +82,17 @@ def _text(value: Column, path: str = "$") -> Column:
     )
 
 
-def flatten_content(content: Column | str, depth: int = 2) -> Column:
+def flatten_content(content: Column | str, depth: int = MAX_DEPTH) -> Column:
     """Plain text of a message content given as a variant.
 
     Strings stay; lists join their non-empty parts with line breaks; objects give their
-    ``text``, ``json`` or nested ``content``. Nested lists are followed ``depth`` levels.
-    JSON payloads are printed compactly.
+    ``text``, ``json`` or nested ``content``, at any depth up to ``depth`` lists; content
+    nested deeper is an error, never an empty text. JSON payloads are printed compactly.
     """
     content = col(content)
     nested = _field(content, "content")
     nested_text = _text(nested)
-    if depth > 0:
-        nested_text = F.coalesce(nested_text, F.when(is_array(nested), _joined(nested, depth - 1)))
+    nested_text = F.coalesce(nested_text, F.when(is_array(nested), _joined(nested, depth - 1)))
     of_object = F.coalesce(
         _text(content, "$.text"),
         F.to_json(_field(content, "json")),
@@ -105,6 +108,8 @@ def flatten_content(content: Column | str, depth: int = 2) -> Column:
 
 
 def _joined(parts: Column, depth: int) -> Column:
+    if depth < 0:
+        return F.raise_error(F.lit("message content is nested too deeply")).cast("string")
     items = F.try_variant_get(parts, "$", "array<variant>")
     texts = F.transform(items, lambda item: _part_text(item, depth))
     return F.array_join(F.filter(texts, lambda text: text.isNotNull() & (text != "")), "\n")
@@ -112,12 +117,9 @@ def _joined(parts: Column, depth: int) -> Column:
 
 def _part_text(item: Column, depth: int) -> Column:
     nested = _field(item, "content")
-    nested_text = _text(nested)
-    has_nested = is_string(nested)
-    if depth > 0:
-        is_list = is_array(nested)
-        nested_text = F.when(is_list, _joined(nested, depth - 1)).otherwise(nested_text)
-        has_nested = has_nested | is_list
+    is_list = is_array(nested)
+    nested_text = F.when(is_list, _joined(nested, depth - 1)).otherwise(_text(nested))
+    has_nested = is_string(nested) | is_list
     calls = F.to_json(F.coalesce(_field(item, "tool_calls"), _field(item, "arguments")))
     payload = _field(item, "json")
     of_object = (

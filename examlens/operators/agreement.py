@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from examlens.functions.common import count_if, share
 from examlens.functions.stats import pearson
+from examlens.operators import checks
 from examlens.operators.bootstrap import REPETITIONS, interval, item_draws
 from examlens.operators.panel import demeaned
 from examlens.operators.scoring import EXAM
@@ -34,13 +35,15 @@ def paired(
     """Rows of both runs side by side, matched on ids and never by position.
 
     Both sides are item tables, so this is the one large-large join: a shuffle on
-    (model, item). Skewed models stay spread, because the item id is part of the key.
+    (model, item). Skewed models stay spread, because the item id is part of the key. Every row
+    of ``second`` must have its counterpart in ``first``; what only ``first`` has is left out.
     """
     keys = keys or ["model", "item_id"]
     facts = ["multimodal"] if facts is None else facts
-    return _renamed(first, "first", keys, facts).join(
-        _renamed(second, "second", keys, []), keys, "inner"
+    joined = _renamed(second, "second", keys, []).join(
+        _renamed(first, "first", keys, [*facts, F.lit(True).alias("_paired")]), keys, "left"
     )
+    return checks.present(joined, F.col("_paired"), "row without a counterpart in the first run").drop("_paired")
 
 
 def difference_interval(

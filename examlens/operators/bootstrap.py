@@ -29,15 +29,21 @@ def cluster_draws(
 ) -> DataFrame:
     """Clusters drawn with replacement: ``(*by, rep, cluster, weight)``.
 
-    ``weight`` is how often a cluster was drawn in a replicate. Clusters are contest years,
-    so the list per group is short; everything after it is exploded and counted in parallel.
+    ``weight`` is how often a cluster was drawn in a replicate. Clusters are contest years, so
+    the list per group is short. Replicates are dealt to all tasks before anything is drawn:
+    one group's come from a range over the replicates, several groups' from an exchange.
     """
     by = by or []
     listed = frame.groupBy(*by).agg(F.sort_array(F.collect_set(cluster)).alias("_clusters"))
     size = F.size("_clusters")
-    reps = listed.select(
-        *by, "_clusters", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep")
-    )
+    if by:
+        reps = listed.select(
+            *by, "_clusters", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep")
+        ).repartition(*by, "rep")
+    else:
+        reps = frame.sparkSession.range(1, repetitions + 1).select(
+            listed.scalar().alias("_clusters"), F.col("id").cast("int").alias("rep")
+        )
     drawn = reps.select(
         *by,
         "rep",
@@ -115,12 +121,17 @@ def item_draws(
 
 
 def interval(
-    replicates: DataFrame, by: list[str], values: list[str], repetitions: int = REPETITIONS
+    replicates: DataFrame,
+    by: list[str],
+    values: list[str],
+    repetitions: int = REPETITIONS,
+    plain: list[str] | None = None,
 ) -> DataFrame:
     """Estimate (replicate 0) and percentile interval of every value column.
 
     Adds ``<v>``, ``<v>_ci_low``, ``<v>_ci_high`` and ``bootstrap_samples``, the number of
-    usable replicates; fewer than 95 % usable replicates is an error.
+    usable replicates; fewer than 95 % usable replicates is an error. ``plain`` columns keep
+    their replicate-0 value only.
     """
     aggregates = []
     for value in values:
@@ -131,6 +142,8 @@ def interval(
             bounds.alias(f"_bounds_{value}"),
             F.count(resampled).alias(f"_usable_{value}"),
         ]
+    plain = plain or []
+    aggregates += [F.max(F.when(F.col("rep") == 0, F.col(name))).alias(name) for name in plain]
     usable = F.least(*[F.col(f"_usable_{v}") for v in values]) if len(values) > 1 else F.col(
         f"_usable_{values[0]}"
     )
@@ -147,7 +160,7 @@ def interval(
     return (
         replicates.groupBy(*by)
         .agg(*aggregates)
-        .select(*columns, enough.cast("bigint").alias("bootstrap_samples"))
+        .select(*columns, enough.cast("bigint").alias("bootstrap_samples"), *plain)
     )
 
 

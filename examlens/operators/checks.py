@@ -16,13 +16,16 @@ def predicate_check(frame: DataFrame, name: str, condition: Column) -> DataFrame
     ).select(F.lit(name).alias("check"), "rows", "violations")
 
 
-def row_count_check(frame: DataFrame, name: str, expected: int) -> DataFrame:
-    """One row: distance between the actual and the expected row count."""
+def row_count_check(frame: DataFrame, name: str, expected: int | Column) -> DataFrame:
+    """One row: distance between the actual and the expected row count.
+
+    ``expected`` may be a scalar taken from another table.
+    """
     counted = frame.agg(F.count(F.lit(1)).alias("rows"))
     return counted.select(
         F.lit(name).alias("check"),
         "rows",
-        F.abs(F.col("rows") - F.lit(expected)).cast("bigint").alias("violations"),
+        F.abs(F.col("rows") - (expected if isinstance(expected, Column) else F.lit(expected))).cast("bigint").alias("violations"),
     )
 
 
@@ -51,20 +54,23 @@ def coverage_check(
 def require(checks: DataFrame, frame: DataFrame) -> DataFrame:
     """``frame``, or an error while it is computed when any check has a violation.
 
-    The single-row verdict is attached to every row and consumed by the filter, so no
-    separate job is run and nothing is collected.
+    The verdict is a scalar subquery of the filter: it runs once, beside the frame, and nothing
+    is collected.
     """
     failing = F.concat_ws(
         ", ", F.sort_array(F.collect_list(F.when(F.col("violations") > 0, F.col("check"))))
     )
-    verdict = checks.agg(failing.alias("_failing")).withColumn("_one", F.lit(1))
+    verdict = checks.agg(failing.alias("_failing")).scalar()
     guard = F.when(
-        F.col("_failing") != "",
-        F.raise_error(F.concat(F.lit("failed checks: "), F.col("_failing"))).cast("boolean"),
+        verdict != "", F.raise_error(F.concat(F.lit("failed checks: "), verdict)).cast("boolean")
     ).otherwise(F.lit(True))
-    return (
-        frame.withColumn("_one", F.lit(1))
-        .join(F.broadcast(verdict), "_one", "left")
-        .filter(guard)
-        .drop("_one", "_failing")
-    )
+    return frame.filter(guard)
+
+
+def present(frame: DataFrame, found: Column, message: str) -> DataFrame:
+    """``frame``, or an error while it is computed when ``found`` is null in a row.
+
+    After a left join, with a column of the right side that is never null there: a row without
+    a partner stops the run instead of vanishing.
+    """
+    return frame.filter(F.when(found.isNull(), F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)))

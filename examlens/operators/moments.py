@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlens.functions.linalg import Gram, least_squares, residual_moment
@@ -42,6 +42,51 @@ def cell_moments(
     )
 
 
+def centred_cells(frame: DataFrame, columns: list[str], keys: list[str], by: list[str]) -> DataFrame:
+    """The same table as ``cell_moments`` for columns less their mean over each ``by`` group.
+
+    Sums of squares of large values lose the digits in which the values differ. Here a cell's
+    mean and co-moments come from running updates that never form such sums, and the cells,
+    few rows, are moved to the group's mean. A column that is constant moves to exactly zero.
+    Slopes, correlations and r² do not depend on the shift; ``s_*`` are sums of deviations.
+    """
+
+    def mean(name: str, value: Column) -> Column:
+        x = F.col(name).cast("double")
+        return F.when(F.min(x) == F.max(x), F.min(x)).otherwise(value)
+
+    def double(name: str) -> Column:
+        return F.col(name).cast("double")
+
+    cells = frame.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        *[mean(c, F.avg(double(c))).alias(f"m_{c}") for c in columns],
+        *[F.covar_pop(double(a), double(b)).alias(f"c_{_pair(a, b)}") for a, b in pairs(columns)],
+    )
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+
+    def shift(name: str) -> Column:
+        m = F.col(f"m_{name}")
+        constant = F.min(m).over(group) == F.max(m).over(group)
+        return F.when(constant, m).otherwise(F.sum(F.col("n") * m).over(group) / F.sum("n").over(group))
+
+    moved = cells.select(
+        *keys,
+        "n",
+        *[(F.col(f"m_{c}") - shift(c)).alias(f"d_{c}") for c in columns],
+        *[f"c_{_pair(a, b)}" for a, b in pairs(columns)],
+    )
+    return moved.select(
+        *keys,
+        "n",
+        *[(F.col("n") * F.col(f"d_{c}")).alias(f"s_{c}") for c in columns],
+        *[
+            (F.col("n") * (F.col(f"c_{_pair(a, b)}") + F.col(f"d_{a}") * F.col(f"d_{b}"))).alias(f"q_{_pair(a, b)}")
+            for a, b in pairs(columns)
+        ],
+    )
+
+
 def moment_columns(columns: list[str]) -> list[str]:
     return ["n", *[f"s_{c}" for c in columns], *[f"q_{_pair(a, b)}" for a, b in pairs(columns)]]
 
@@ -57,6 +102,11 @@ def total_gram(first: str, second: str) -> Column:
     return F.col(f"t_{_pair(first, second)}")
 
 
+def scale(name: str) -> Column:
+    """Second moment of a variable around the origin of its sums, to judge rounding noise."""
+    return F.col(f"z_{name}")
+
+
 def within_gram(first: str, second: str) -> Column:
     """Centred around the means of the absorbed factor's groups (fixed effects)."""
     return F.col(f"w_{_pair(first, second)}")
@@ -98,6 +148,7 @@ def weighted_moments(
         *[f"s_{name}" for name in columns],
         *[f"w_{_pair(a, b)}" for a, b in pairs(columns)],
         *[raw_gram(a, b).alias(f"t_{_pair(a, b)}") for a, b in pairs(columns)],
+        *[F.col(f"q_{_pair(c, c)}").alias(f"z_{c}") for c in columns],
     )
 
 
@@ -105,7 +156,7 @@ class Fit:
     """Least-squares fit written against the columns of a moment row."""
 
     def __init__(self, gram: Gram, predictors: list[str], outcome: str):
-        self.coefficients = least_squares(gram, predictors, outcome)
+        self.coefficients = least_squares(gram, predictors, outcome, scale)
         explained = residual_moment(gram, self.coefficients, outcome, outcome)
         self.r2 = 1 - F.try_divide(explained, total_gram(outcome, outcome))
 

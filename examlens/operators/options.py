@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from examlens.functions.common import count_if, hash32, normalized_letter, share_where, strip
 from examlens.functions.scoring import LETTERS
+from examlens.operators import checks
 
 # Wording that ties an option to its letter, and the seed of the arm.
 LETTER_REFERENCE = (
@@ -128,7 +129,7 @@ def unmap_positions(
 
     Adds ``position``, the normalised choice as shown. A choice outside A-E (declined,
     unreadable) is kept. A missing choice stays missing; ``blank_is_first`` instead reads it
-    as the first position.
+    as the first position. An attempt whose item has no mapping row is an error.
     """
     position = normalized_letter(F.coalesce(F.col("predicted"), F.lit("")))
     sources = F.array(*[F.col(f"new_{x}_source") for x in LETTERS])
@@ -137,8 +138,11 @@ def unmap_positions(
     )
     if blank_is_first:
         shown = F.when(F.col("position") == "", F.lit(0)).otherwise(shown)
-    joined = attempts.withColumn("position", position).join(
-        mapping.select("item_id", *[f"new_{x}_source" for x in LETTERS]), "item_id"
+    listed = mapping.select("item_id", *[f"new_{x}_source" for x in LETTERS], F.lit(True).alias("_mapped"))
+    joined = checks.present(
+        attempts.withColumn("position", position).join(listed, "item_id", "left"),
+        F.col("_mapped"),
+        "attempt without a mapping row",
     )
     original = F.when(shown.isNotNull(), F.get(sources, shown)).otherwise(F.col("predicted"))
     return joined.select("model", "item_id", original.alias("predicted"), "position")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from examlens.functions.common import count_if
 from examlens.functions.stats import pearson
+from examlens.operators import checks
 from examlens.operators.scoring import EXAM
 from examlens.session import shared_folder
 
@@ -88,7 +89,11 @@ def lomo_deviations(scores: DataFrame, comparison: DataFrame) -> DataFrame:
 
 
 def build_panel(scores: DataFrame, human: DataFrame, composition: DataFrame) -> DataFrame:
-    """Long panel: every model series and their ensemble with outcome and composition."""
+    """Long panel: every model series and their ensemble with outcome and composition.
+
+    Exams without a human mean are not part of it; an exam without a composition, and one that
+    lacks one of the series, is an error.
+    """
     by_model = scores.select(*EXAM, F.col("model").alias("series"), "model_pct")
     # the ensemble row comes out of the same scan: every row also feeds the ensemble group
     series = (
@@ -96,7 +101,11 @@ def build_panel(scores: DataFrame, human: DataFrame, composition: DataFrame) ->
         .groupBy(*EXAM, "series")
         .agg(F.avg("model_pct").alias("model_pct"))
     )
-    return series.join(human, EXAM).join(composition, EXAM)
+    covered = series.join(human, EXAM).join(composition.withColumn("_composed", F.lit(True)), EXAM, "left")
+    panel = checks.present(covered, F.col("_composed"), "exam without a composition").drop("_composed")
+    complete = panel.groupBy(*EXAM).agg(F.count(F.lit(1)).alias("_series"))
+    shape = complete.agg(F.max("_series").alias("rows"), (F.max("_series") - F.min("_series")).alias("violations"))
+    return checks.require(shape.select(F.lit("every exam has every series").alias("check"), "rows", "violations"), panel)
 
 
 def add_mean_series(panel: DataFrame, name: str, members: list[str]) -> DataFrame:

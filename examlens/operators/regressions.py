@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from examlens.functions.common import Counted
 from examlens.functions.linalg import design_conditioning, least_squares, residual_moment
 from examlens.functions.stats import RANK_DIGITS, average_rank, pearson, two_sided_p
+from examlens.operators import checks
 from examlens.operators.bootstrap import (
     REPETITIONS,
     cluster_draws,
@@ -26,6 +27,7 @@ from examlens.operators.bootstrap import (
 from examlens.operators.moments import (
     Fit,
     cell_moments,
+    centred_cells,
     correlation,
     indicators,
     partial_correlation,
@@ -67,7 +69,7 @@ def outcome_regressions(
 ) -> DataFrame:
     """Human %max on each model series under four specifications."""
     columns = ["human_pct", "model_pct", *COMPOSITION]
-    cells = cell_moments(panel, columns, ["series", *EXAM])
+    cells = centred_cells(panel, columns, ["series", *EXAM], ["series"])
     draws = cluster_draws(panel, "year", seed, repetitions)
     moments = weighted_moments(cells, columns, ["series"], "exam", draws, "year")
     entries = []
@@ -99,11 +101,7 @@ def _with_r2(
     repetitions: int,
 ) -> DataFrame:
     """Intervals for ``resampled``; plain replicate-0 values for ``estimates``."""
-    bounds = interval(replicates, keys, resampled, repetitions)
-    if not estimates:
-        return bounds
-    plain = replicates.filter("rep = 0").select(*keys, *estimates)
-    return bounds.join(plain, keys)
+    return interval(replicates, keys, resampled, repetitions, estimates)
 
 
 def controlled_models(
@@ -227,7 +225,10 @@ def coefficient(
     """
     columns = [outcome, *predictors]
     keys = list(dict.fromkeys([*by, *([absorb] if absorb else []), cluster]))
-    cells = cell_moments(frame, columns, keys)
+    # values are counted from the least one: means of small numbers keep more digits
+    least = frame.agg(F.struct(*[F.min(F.col(c).cast("double")).alias(c) for c in columns])).scalar()
+    moved = {c: F.col(c).cast("double") - least[c] for c in columns if c not in keys}
+    cells = centred_cells(frame.withColumns(moved), columns, keys, by)
     draws = cluster_draws(frame, cluster, seed, repetitions, by)
     moments = weighted_moments(cells, columns, by, absorb, draws, cluster)
     fit = Fit(_gram(absorb is not None), predictors, outcome)
@@ -273,7 +274,7 @@ def pearson_intervals(
 ) -> DataFrame:
     """Pearson r with a cluster-bootstrap interval per group, from moments."""
     first, second = columns
-    cells = cell_moments(panel, list(columns), [*by, cluster])
+    cells = centred_cells(panel, list(columns), [*by, cluster], by)
     draws = cluster_draws(panel, cluster, seed, repetitions, by)
     moments = weighted_moments(cells, list(columns), by, None, draws, cluster)
     replicates = moments.select(
@@ -390,7 +391,7 @@ def slice_correlations(
     human = panel.filter(F.col("series") == ENSEMBLE).select(*EXAM, "human_pct")
     joined = slices.join(human, EXAM, "inner")
     columns = ["human_pct", "ensemble_accuracy"]
-    cells = cell_moments(joined, columns, ["slice", *EXAM])
+    cells = centred_cells(joined, columns, ["slice", *EXAM], ["slice"])
     draws = cluster_draws(joined, "year", seed, repetitions)
     moments = weighted_moments(cells, columns, ["slice"], "exam", draws, "year")
     fit = Fit(within_gram, ["human_pct"], "ensemble_accuracy")
@@ -568,7 +569,7 @@ def variance_decomposition(
     """Variance of each outcome explained by grade and visual share, and visual slopes."""
     frame = outcome_rows(panel).withColumn("trend", F.col("year").cast("double"))
     columns = ["value", *COMPOSITION, "trend"]
-    cells = cell_moments(frame, columns, ["outcome", *EXAM])
+    cells = centred_cells(frame, columns, ["outcome", *EXAM], ["outcome"])
     draws = cluster_draws(frame, "year", seed, repetitions)
     moments = weighted_moments(cells, columns, ["outcome"], "exam", draws, "year")
     visual = Fit(within_gram, ["multimodal_share"], "value")
@@ -671,20 +672,35 @@ def nonlinear_fits(
 
 
 def _optional_intervals(frame: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Percentile bounds of columns that some specifications do not have."""
-    bounds = {
-        v: F.percentile(
-            F.when(F.col("rep") > 0, F.col(v)), F.array(F.lit(0.025), F.lit(0.975))
-        )
-        for v in values
-    }
+    """Percentile bounds of columns that some specifications do not have.
+
+    A column that a specification has (its replicate 0 is not null) must be finite in 95 % of
+    the replicates; replicates that are not finite do not count.
+    """
+    drawn = F.col("rep") > 0
+    usable = {v: F.when(drawn & ~F.isnan(v) & (F.abs(v) != float("inf")), F.col(v)) for v in values}
+    aggregates = []
+    for v in values:
+        aggregates += [
+            F.percentile(usable[v], F.array(F.lit(0.025), F.lit(0.975))).alias(v),
+            F.count(usable[v]).alias(f"_usable_{v}"),
+            F.max(F.when(F.col("rep") == 0, F.col(v).isNotNull())).alias(f"_has_{v}"),
+        ]
+
+    def bound(v: str, side: int) -> Column:
+        enough = F.col(f"_usable_{v}") >= F.floor(0.95 * F.col("_replicates"))
+        return F.when(
+            F.col(f"_has_{v}") & ~enough,
+            F.raise_error(F.lit(f"too many invalid bootstrap samples of {v}")).cast("double"),
+        ).otherwise(F.col(v)[side])
+
     return (
         frame.groupBy(*keys)
-        .agg(*[b.alias(v) for v, b in bounds.items()])
+        .agg(F.count_if(drawn).alias("_replicates"), *aggregates)
         .select(
             *keys,
-            *[F.col(v)[0].alias(f"{v}_ci_low") for v in values],
-            *[F.col(v)[1].alias(f"{v}_ci_high") for v in values],
+            *[bound(v, 0).alias(f"{v}_ci_low") for v in values],
+            *[bound(v, 1).alias(f"{v}_ci_high") for v in values],
         )
     )
 
@@ -1030,7 +1046,9 @@ def cutoff_gap(
 def removal_rows(reference: DataFrame, blind: DataFrame) -> DataFrame:
     """Per item and model: correctness without images minus correctness with them."""
     before = reference.select("model", "item_id", F.col("answered_correctly").alias("_before"))
-    joined = blind.join(before, ["model", "item_id"])
+    joined = checks.present(
+        blind.join(before, ["model", "item_id"], "left"), F.col("_before"), "item without a reference run"
+    )
     effect = F.col("answered_correctly").cast("double") - F.col("_before").cast("double")
     return item_controls(joined).withColumn("removal_effect", effect)
 

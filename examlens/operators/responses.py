@@ -308,8 +308,16 @@ def latest_answers(parts: DataFrame, keys: list[str] | None = None, order: str =
     return parts.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*")
 
 
-def missing_items(items: DataFrame, answered: DataFrame) -> DataFrame:
-    """Items without an answer in any part, for a second part of the run."""
-    return items.join(answered.filter(F.col("error").isNull()).select("item_id"), "item_id", "left_anti")
+def missing_items(items: DataFrame, answered: DataFrame, runs: DataFrame) -> DataFrame:
+    """``model, item_id`` of every item that a run still lacks in all its parts.
+
+    ``runs`` holds the wanted ``model`` names, one row per run. A row with an error, or without
+    an answer, does not count as answered.
+    """
+    done = answered.filter(F.col("error").isNull() & F.col("predicted").isNotNull()).select("model", "item_id")
+    # the few runs become one list that every item unfolds: no join of items with runs
+    models = runs.agg(F.sort_array(F.collect_set("model"))).scalar()
+    wanted = items.select("item_id").withColumn("model", F.explode(models))
+    return wanted.join(done, ["model", "item_id"], "left_anti").select("model", "item_id")
 
 

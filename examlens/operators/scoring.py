@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from examlens.functions.common import CELL_ITEMS, Counted, count_if, normalized_letter
 from examlens.functions.scoring import DECLINED, LETTERS, PENALTY
+from examlens.operators import checks
 
 EXAM = ["year", "exam"]
 
@@ -23,10 +24,16 @@ def score_attempts(attempts: DataFrame, items: DataFrame) -> DataFrame:
     """Attempts scored against the answer key with the contest rule.
 
     A missing prediction counts as attempted and costs a quarter of the points; only the
-    literal ``DECLINED`` is free. The join is left, many-to-one on ``item_id``; which side is
-    broadcast is left to the optimizer, since the key table grows with the data.
+    literal ``DECLINED`` is free. The join is many-to-one on ``item_id``: a key table that
+    names an item twice, or an attempt without an item, is an error. Which side is broadcast is
+    left to the optimizer, since the key table grows with the data.
     """
-    joined = attempts.join(items, "item_id", "left")
+    unique = checks.require(checks.unique_key_check(items, "one key row per item", ["item_id"]), items)
+    joined = checks.present(
+        attempts.join(unique.withColumn("_keyed", F.lit(True)), "item_id", "left"),
+        F.col("_keyed"),
+        "attempt without a key row",
+    ).drop("_keyed")
     predicted = normalized_letter(F.coalesce(F.col("predicted"), F.lit("")))
     scored = (
         joined.withColumn("answer", normalized_letter("answer"))

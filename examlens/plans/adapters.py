@@ -25,18 +25,10 @@ _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; spread over the cores when it has fewer input splits than cores.
-
-    The test tables are single files with one row group, which is a single task however many
-    cores there are. Tables of many files are read as they are, without a shuffle.
-    """
+    """A test table, as its files are dealt."""
     known = (spark.sparkContext.applicationId, sf_dir, name)
     if known not in _TABLES:
-        frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        cores = spark.sparkContext.defaultParallelism
-        if frame.rdd.getNumPartitions() < cores:
-            frame = frame.repartition(cores, frame.columns[0])
-        _TABLES[known] = frame
+        _TABLES[known] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return _TABLES[known]
 
 

@@ -397,15 +397,17 @@ def u2(spark, sf_dir):
 @register(
     "c7_missing_items",
     oracle(
-        """SELECT item_id FROM items WHERE item_id NOT IN
-           (SELECT item_id FROM run_parts WHERE model = 'm1' AND finished_at = 1 AND error IS NULL)""",
+        """SELECT m.model, i.item_id FROM items i, (SELECT DISTINCT model FROM run_parts) m
+           WHERE NOT EXISTS (SELECT 1 FROM run_parts p WHERE p.model = m.model AND p.item_id = i.item_id
+                             AND p.finished_at = 1 AND p.error IS NULL AND p.predicted IS NOT NULL)""",
         "run_parts",
         "items",
     ),
 )
 def c7(spark, sf_dir):
-    first = ar.run_parts(spark, sf_dir).filter("model = 'm1' AND finished_at = 1")
-    return responses.missing_items(a.items(spark, sf_dir), first).select("item_id")
+    """What the first parts of all runs lack."""
+    parts = ar.run_parts(spark, sf_dir)
+    return responses.missing_items(a.items(spark, sf_dir), parts.filter("finished_at = 1"), parts.select("model"))
 
 
 # --- selection and prompts ---------------------------------------------------------------------------

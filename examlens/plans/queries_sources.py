@@ -339,7 +339,7 @@ def x1(spark, sf_dir):
     panel = a.panel(spark, sf_dir).select("series", "year", "exam", "model_pct")
     return round_doubles(
         bootstrap.callable_interval(
-            panel, lambda rows: rows["model_pct"].median(), ["series"], "year", 11, 200
+            panel, lambda rows: rows["model_pct"].median(), ["series"], "year", 11
         )
     )
 

@@ -36,17 +36,22 @@ def answer_key(items: DataFrame) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, root: str, catalogue: DataFrame) -> DataFrame:
-    """All runs of a folder in one scan, tagged from the catalogue by their folder name.
+    """The catalogue's runs in one scan, tagged by their folder name.
 
-    ``catalogue`` holds ``run_id, model, arm, wave`` for the wanted runs; it is a literal
-    table of a few rows per run, so it is broadcast.
+    ``catalogue`` holds ``run_id, model, arm, wave`` for the wanted runs, a row each; only their
+    folders are read, and a folder that does not exist is an error.
     """
+    paths = [f"{root}/{r.run_id}/results.parquet" for r in catalogue.select("run_id").distinct().collect()]
     # the known columns are read; files without the optional ones give null for them
-    runs = spark.read.schema(schemas.COMPACT_RUN).parquet(f"{root}/*/results.parquet")
+    runs = (
+        spark.read.schema(schemas.COMPACT_RUN).parquet(*paths)
+        if paths
+        else spark.createDataFrame([], schemas.COMPACT_RUN).withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
+    )
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/results\.parquet", 1)
     return (
         runs.withColumn("run_id", folder)
-        .join(F.broadcast(catalogue), "run_id")
+        .join(catalogue, "run_id")
         .withColumnRenamed("source_id", "item_id")
         .select(
             "run_id",

@@ -32,24 +32,33 @@ def write_like(frame: DataFrame, source: DataFrame, path: str) -> None:
 
 
 def write_run_logs(results: DataFrame, responses: DataFrame, folder: str) -> None:
-    """JSON lines: results, raw responses and failures."""
+    """JSON lines: results, raw responses and failures; failures come from the written results."""
     results.write.json(f"{folder}/results.jsonl", ignoreNullFields=False)
     responses.write.json(f"{folder}/raw_responses.jsonl", ignoreNullFields=False)
-    failures = results.filter(F.col("error").isNotNull()).select("id", "error", "warnings")
+    written = results.sparkSession.read.schema(results.schema).json(f"{folder}/results.jsonl")
+    failures = written.filter(F.col("error").isNotNull()).select("id", "error", "warnings")
     failures.write.json(f"{folder}/failures.jsonl", ignoreNullFields=False)
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """CSV with a header per table; the small result tables give one file each."""
+def write_tables(
+    tables: dict[str, DataFrame], folder: str, order: dict[str, list[Column | str]] | None = None
+) -> None:
+    """CSV with a header per table, as many files as the table has partitions.
+
+    ``order`` names the sort columns of a table; its files are then sorted as a whole, each
+    holding a range.
+    """
     for name, frame in tables.items():
-        frame.coalesce(1).write.csv(f"{folder}/{name}", header=True)
+        columns = (order or {}).get(name)
+        (frame.orderBy(*columns) if columns else frame).write.csv(f"{folder}/{name}", header=True)
 
 
 def metrics_tree(sections: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
     """One row with a JSON column ``metrics``: sections and fields in sorted order.
 
-    A section with a key column becomes an object of objects, one per key; a section
-    without one becomes the object of its first (only) row. The sections are result tables.
+    A section with a key column becomes an object of objects, one per key; a section without
+    one becomes the object of its row or, with several rows, the sorted list of them. The
+    sections are result tables.
     """
     parts = []
     for name, (frame, key) in sections.items():
@@ -58,8 +67,10 @@ def metrics_tree(sections: dict[str, tuple[DataFrame, str | None]]) -> DataFrame
             entries = F.sort_array(F.collect_list(F.struct(F.col(key).cast("string"), fields)))
             value: Column = F.map_from_entries(entries)
         else:
-            value = F.first(fields)
-        parts.append(frame.agg(F.to_json(value).alias("value")).withColumn("section", F.lit(name)))
+            rows_of = F.sort_array(F.collect_list(fields))
+            value = F.when(F.size(rows_of) == 1, F.to_json(rows_of[0])).otherwise(F.to_json(rows_of))
+        text = F.to_json(value) if key else value
+        parts.append(frame.agg(text.alias("value")).withColumn("section", F.lit(name)))
     rows = reduce(DataFrame.unionByName, parts)
     body = F.array_join(
         F.transform(
