@@ -140,7 +140,8 @@ def json_string_field(document: Column, name: str) -> Column:
     lenient = F.from_json(listed, f"array<struct<`{name}`:string>>")
     values = F.regexp_extract_all(document, F.lit(rf'"{name}"\s*:\s*(\S)'), F.lit(1))
     last_is_text = F.try_element_at(values, F.lit(-1)) == '"'
-    of_lenient = F.when(whole.isNull() & (F.size(lenient) == 1) & last_is_text, lenient[0][name])
+    refused = listed.isNotNull() & whole.isNull()
+    of_lenient = F.when(refused & (F.size(lenient) == 1) & last_is_text, lenient[0][name])
     field = F.try_variant_get(whole, f"$[0].{name}", "variant")
     alone = F.try_variant_get(whole, "$[1]", "variant").isNull()
     of_variant = F.when(

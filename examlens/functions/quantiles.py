@@ -86,8 +86,11 @@ def exact_quantiles(
     values = ranked.groupBy(*by, "name").agg(
         (at(lower) + fraction * (at(upper) - at(lower))).alias("value")
     )
+    found = F.when(F.col("value").isNotNull(), F.col("value")).otherwise(
+        F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+    )
     return values.groupBy(*by).agg(
-        *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names]
+        *[F.max(F.when(F.col("name") == n, found)).alias(n) for n in names]
     )
 
 

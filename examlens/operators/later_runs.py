@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from examlens.functions.common import count_if, share, share_where
 from examlens.functions.linalg import least_squares
+from examlens.operators import options
 from examlens.operators.bootstrap import REPETITIONS, cluster_draws, interval
 from examlens.operators.forecast import forecast_changes
 from examlens.operators.moments import cell_moments, weighted_moments, within_gram
@@ -14,6 +15,22 @@ from examlens.operators.regressions import spread_and_association
 from examlens.operators.scoring import EXAM
 
 
+def later_items(
+    repeat: DataFrame, reordered: DataFrame, mapping: DataFrame, fallback: DataFrame, base: str, fallback_name: str
+) -> DataFrame:
+    """Attempts of all later series in one table.
+
+    ``repeat`` and ``reordered`` are runs of the model ``base``, the second with reordered
+    options that ``mapping`` undoes; ``fallback`` gives the variants of another model's later
+    run. The series are named after the model and the arm.
+    """
+    again = repeat.filter(F.col("model") == base).withColumn("model", F.lit(f"{base}__repeat"))
+    arm = options.unmap_positions(reordered, mapping).withColumn("model", F.lit(f"{base}__option_order"))
+    return arm.unionByName(again, allowMissingColumns=True).unionByName(
+        fallback_variants(fallback, fallback_name), allowMissingColumns=True
+    )
+
+
 def fallback_variants(attempts: DataFrame, name: str) -> DataFrame:
     """A run three times: as parsed, with stated answers, and with fallback rows unparsed.
 

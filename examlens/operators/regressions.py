@@ -238,6 +238,35 @@ def coefficient(
     return _with_r2(replicates, by, ["coefficient"], ["r2"], repetitions)
 
 
+def residual_rows(
+    frame: DataFrame, outcome: str, predictors: list[str], absorb: str | None, by: list[str]
+) -> DataFrame:
+    """The rows with ``fitted`` and ``residual`` of a least-squares fit per group.
+
+    ``absorb`` names a factor whose levels get their own intercepts. Two aggregates give the
+    slopes and the means of every level, both small, and each row is joined to them.
+    """
+    columns = [outcome, *predictors]
+    level = [*by, *([absorb] if absorb else [])]
+    cells = centred_cells(frame, columns, level or [F.lit(0).alias("_all")], by)
+    fit = Fit(_gram(absorb is not None), predictors, outcome)
+    slopes = weighted_moments(cells, columns, by, absorb).select(
+        *by, F.struct(*[fit.coefficients[p].alias(p) for p in predictors]).alias("_b")
+    )
+    means = frame.groupBy(*level).agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("_m"))
+    line = F.col(f"_m.{outcome}")
+    for p in predictors:
+        line = line + F.col(f"_b.{p}") * (F.col(p) - F.col(f"_m.{p}"))
+    if by:
+        facts = means.join(slopes, by)
+    else:
+        facts = means.withColumn("_b", slopes.select("_b").scalar())
+    joined = frame.join(facts, level) if level else frame.withColumns(
+        {"_m": means.select("_m").scalar(), "_b": slopes.select("_b").scalar()}
+    )
+    return joined.withColumn("fitted", line).withColumn("residual", F.col(outcome) - F.col("fitted")).drop("_m", "_b")
+
+
 def pooled_correlations(panel: DataFrame) -> DataFrame:
     """Pearson and Spearman of every series with the human mean, with p-values."""
     ranked = panel.withColumns(

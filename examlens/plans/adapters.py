@@ -278,19 +278,13 @@ def fallback_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def later_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later series: a repeat, the unmapped option-order arm, and three fallback variants."""
-    repeat = (
-        repeat_attempts(spark, sf_dir)
-        .filter(F.col("model") == OPTION_ORDER_MODEL)
-        .withColumn("model", F.lit(f"{OPTION_ORDER_MODEL}__repeat"))
-    )
-    arm = options.unmap_positions(
-        order_attempts(spark, sf_dir), order_mapping(spark, sf_dir)
-    ).withColumn("model", F.lit(f"{OPTION_ORDER_MODEL}__option_order"))
-    variants = later_runs.fallback_variants(
-        fallback_attempts(spark, sf_dir), f"{FALLBACK_MODEL}__later"
-    )
-    return arm.unionByName(repeat, allowMissingColumns=True).unionByName(
-        variants, allowMissingColumns=True
+    return later_runs.later_items(
+        repeat_attempts(spark, sf_dir),
+        order_attempts(spark, sf_dir),
+        order_mapping(spark, sf_dir),
+        fallback_attempts(spark, sf_dir),
+        OPTION_ORDER_MODEL,
+        f"{FALLBACK_MODEL}__later",
     )
 
 

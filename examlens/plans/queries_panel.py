@@ -1111,3 +1111,19 @@ def e3_shifted(spark, sf_dir):
         F.round(1e9 * F.col("coefficient"), 4).alias("per_gigasecond"),
         F.round("r2", 9).alias("r2"),
     )
+
+
+@register(
+    "e3_residual_rows",
+    oracle(
+        """SELECT series, year, exam, round(human_pct - r, 6) AS fitted, round(r, 6) AS residual FROM (
+             SELECT *, y - x * sum(x * y) OVER (PARTITION BY series) / sum(x * x) OVER (PARTITION BY series) AS r
+             FROM (SELECT *, human_pct - avg(human_pct) OVER (PARTITION BY series, exam) AS y,
+                          model_pct - avg(model_pct) OVER (PARTITION BY series, exam) AS x FROM panel))""",
+        "panel",
+    ),
+)
+def e3_residuals(spark, sf_dir):
+    """Fitted values and residuals of the human mean on the model score, an intercept per exam."""
+    rows = reg.residual_rows(a.panel(spark, sf_dir), "human_pct", ["model_pct"], "exam", ["series"])
+    return round_doubles(rows.select("series", "year", "exam", "fitted", "residual"))

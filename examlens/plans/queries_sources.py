@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from examlens.functions.common import lookup
-from examlens.operators import bootstrap, forecast, options, scoring
+from examlens.operators import bootstrap, describe, forecast, options, scoring
 from examlens.operators.scoring import score_attempts
 from examlens.plans import adapters as a
 from examlens.plans import adapters_runs as ar
+from examlens.plans import reports
 from examlens.plans import oracle_runs  # noqa: F401  (adds its tables)
+from examlens.plans.oracle_stats import bounds, draws_sql, samples
 from examlens.plans.oracle_tables import oracle
-from examlens.plans.queries_forecast import _E
+from examlens.plans.queries_forecast import _E, _RECENT, _shared_sql
 from examlens.plans.queries_panel import _ENSEMBLE, MODEL_NAMES
 from examlens.plans.queries_responses import records
 from examlens.plans.queries_usage import cohort_documents, event_stream
@@ -89,7 +91,8 @@ def a5(spark, sf_dir):
 @register(
     "a6_option_mapping_csv",
     oracle(
-        "SELECT item_id::VARCHAR AS item_id, kept_order_reason, new_answer, new_A_source FROM order_mapping",
+        """SELECT item_id::VARCHAR AS item_id, kept_order_reason, new_answer, new_A_source, new_B_source, new_C_source,
+                  new_D_source, new_E_source FROM order_mapping""",
         "order_mapping",
     ),
 )
@@ -98,7 +101,7 @@ def a6(spark, sf_dir):
     mapping = a.order_mapping(spark, sf_dir).withColumnRenamed("item_id", "id")
     mapping.write.csv(path, header=True)
     return readers.read_option_mapping(spark, path).select(
-        "item_id", "kept_order_reason", "new_answer", "new_A_source"
+        "item_id", "kept_order_reason", "new_answer", *[f"new_{x}_source" for x in "ABCDE"]
     )
 
 
@@ -173,7 +176,8 @@ def a8(spark, sf_dir):
         """SELECT 'parquet' AS sink, count(*) AS rows, count(error) AS failures,
                   count(read) AS predictions FROM results
            UNION ALL SELECT 'results', count(*), count(error), count(read) FROM results
-           UNION ALL SELECT 'failures', count(error), count(error), 0 FROM results""",
+           UNION ALL SELECT 'failures', count(error), count(error), 0 FROM results
+           UNION ALL SELECT 'raw', count(*), 0, 0 FROM events""",
         "results",
     ),
 )
@@ -194,7 +198,13 @@ def a12_a13(spark, sf_dir):
         ).withColumn("sink", F.lit(name))
         for name, frame in [("parquet", written), ("results", lines), ("failures", failures)]
     ]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+    replies = spark.read.schema(raw.schema).json(f"{folder}/raw_responses.jsonl").agg(
+        F.count(F.lit(1)).cast("bigint").alias("rows"),
+        F.lit(0).cast("bigint").alias("failures"),
+        F.lit(0).cast("bigint").alias("predictions"),
+        F.lit("raw").alias("sink"),
+    )
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(replies)
 
 
 @register(
@@ -306,8 +316,10 @@ def a17(spark, sf_dir):
 def a4(spark, sf_dir):
     """Cohort documents written as files and scanned with their nested schema."""
     path = shared_folder(spark, "cohorts")
-    cohort_documents(spark, sf_dir).select(F.col("json").alias("value")).write.text(path)
-    cohorts = spark.read.schema(schemas.COHORT).json(path)
+    # one document per file, as cohort summaries are published
+    documents = cohort_documents(spark, sf_dir).select(F.col("json").alias("value"), F.get_json_object("json", "$.year").alias("of"))
+    documents.write.partitionBy("of").text(path)
+    cohorts = readers.read_cohorts(spark, f"{path}/*/part-*")
     total = F.aggregate(
         F.map_values("totals_by_grade"), F.lit(0).cast("bigint"), lambda acc, n: acc + n
     )
@@ -333,7 +345,17 @@ def b20(spark, sf_dir):
     return counted.withColumn("label", lookup(F.col("model"), LABELS))
 
 
-@register("x1_callable_bootstrap")
+@register(
+    "x1_callable_bootstrap",
+    oracle(
+        f"""SELECT series, {bounds('m', 'statistic')}, {samples('m')}
+            FROM (SELECT series, rep, median(model_pct) AS m FROM panel JOIN draws USING (series, year),
+                         range(0, weight::BIGINT) GROUP BY series, rep)
+            GROUP BY series""",
+        "panel",
+        extra={"draws": draws_sql("panel", "year", 11, ["series"])},
+    ),
+)
 def x1(spark, sf_dir):
     """Interval of a statistic given as a plain function: the median score per series."""
     panel = a.panel(spark, sf_dir).select("series", "year", "exam", "model_pct")
@@ -347,19 +369,149 @@ def x1(spark, sf_dir):
 @register(
     "x2_named_forecasters",
     oracle(
-        """SELECT 'per_grade' AS forecaster, series, count(*) AS n, round(avg(abs(error)), 6) AS mae
-           FROM errors WHERE specification = 'Model score' GROUP BY series""",
+        f"""SELECT forecaster, series, count(*) AS n, round(avg(abs(error)), 6) AS mae FROM (
+             SELECT 'per_grade' AS forecaster, series, error FROM errors WHERE specification = 'Model score'
+             UNION ALL SELECT 'recent_mean', series, observed - predicted FROM ({_RECENT})
+             UNION ALL SELECT 'shared_slope', series, error FROM ({_shared_sql('panel', ['model_pct'])}))
+            GROUP BY forecaster, series""",
         "panel",
         extra={**_E, **_ENSEMBLE},
     ),
 )
 def x2(spark, sf_dir):
-    errors = forecast.forecast(a.panel(spark, sf_dir), "per_grade", ["model_pct"])
+    """Every named forecaster that works on plain predictors, on one panel."""
+    panel = a.panel(spark, sf_dir)
+    errors = [
+        forecast.forecast(panel, name, ["model_pct"]).withColumn("forecaster", F.lit(name))
+        for name in ("per_grade", "recent_mean", "shared_slope")
+    ]
     return round_doubles(
-        errors.groupBy("series")
-        .agg(
-            F.count(F.lit(1)).cast("bigint").alias("n"),
-            F.avg(F.abs("error")).alias("mae"),
-        )
-        .withColumn("forecaster", F.lit("per_grade"))
+        errors[0].unionByName(errors[1]).unionByName(errors[2])
+        .groupBy("forecaster", "series")
+        .agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.avg(F.abs("error")).alias("mae"))
+    )
+
+
+@register(
+    "a1_a9_b12_item_scan",
+    oracle(
+        """SELECT exam, count(*) AS items, sum(points) AS points, count_if(has_associated_image) AS associated,
+                  count_if(has_option_image) AS option_images, count(DISTINCT answer) AS answers
+           FROM items GROUP BY exam""",
+        "items",
+    ),
+)
+def a1(spark, sf_dir):
+    """An item dataset written with images, validated, scanned for some columns, and flagged."""
+    path = shared_folder(spark, "items")
+    rows = a.items(spark, sf_dir)
+    image = F.lit(b"image")
+    stored = rows.select(
+        F.col("item_id").alias("id"),
+        "year",
+        F.col("exam").alias("group"),
+        "points",
+        "answer",
+        "multimodal",
+        F.when(F.col("has_associated_image"), F.array(image)).alias("associated_images_bin"),
+        *[F.when(F.col("has_option_image") & F.lit(x == "C"), image).alias(f"sol_{x}_image_bin") for x in "ABCDE"],
+    )
+    writers.conform(stored, schemas.ITEMS).write.parquet(path)
+    options_bin = [f"sol_{x}_image_bin" for x in "ABCDE"]
+    columns = ["id", "year", "group", "points", "answer", "multimodal", "associated_images_bin", *options_bin]
+    scanned = describe.image_flags(readers.read_items(spark, path, columns), options_bin)
+    key = readers.answer_key(scanned).join(
+        scanned.select(F.col("id").alias("item_id"), "has_associated_image", "has_option_image"), "item_id"
+    )
+    return key.groupBy("exam").agg(
+        F.count(F.lit(1)).cast("bigint").alias("items"),
+        F.sum("points").alias("points"),
+        F.count_if("has_associated_image").cast("bigint").alias("associated"),
+        F.count_if("has_option_image").cast("bigint").alias("option_images"),
+        F.count_distinct("answer").cast("bigint").alias("answers"),
+    )
+
+
+def _report_inputs(spark, sf_dir):
+    return reports.Inputs(
+        items=a.items(spark, sf_dir),
+        attempts=a.attempts(spark, sf_dir),
+        adjustments=a.adjustments(spark, sf_dir),
+        human=a.human(spark, sf_dir),
+        reference_model=a.REFERENCE_MODEL,
+        grades=a.GRADES,
+    )
+
+
+def _tree_rows(spark, sections):
+    """A metrics tree written, read back and unfolded to rows of section, entry, field, value."""
+    path = shared_folder(spark, "metrics")
+    writers.write_metrics(writers.metrics_tree(sections), path)
+    tree = spark.read.text(path).select(
+        F.from_json("value", "map<string,map<string,map<string,double>>>").alias("m")
+    )
+    return (
+        tree.select(F.explode("m").alias("section", "entries"))
+        .select("section", F.explode("entries").alias("entry", "fields"))
+        .select("section", "entry", F.explode("fields").alias("field", "value"))
+        .select("section", "entry", "field", F.round("value", 6).alias("value"))
     )
+
+
+@register(
+    "g41_diagnostics_metrics",
+    oracle(
+        """SELECT section, entry, field, round(value, 6) AS value FROM (
+             SELECT 'contest_totals' AS section, model AS entry,
+                    unnest(['forms', 'possible_points', 'contest_points']) AS field,
+                    unnest([count(*)::DOUBLE, sum(possible_points)::DOUBLE, sum(total_score)::DOUBLE]) AS value
+             FROM scores WHERE complete_exam GROUP BY model
+             UNION ALL
+             SELECT 'image_subtype', model || ' / ' || s, unnest(['items', 'accuracy', 'decline_rate']),
+                    unnest([count(*)::DOUBLE, avg(answered_correctly::INT)::DOUBLE, avg(declined::INT)::DOUBLE])
+             FROM (SELECT *, CASE WHEN has_associated_image AND has_option_image THEN 'Question diagram and image answers'
+                          WHEN has_associated_image THEN 'Question diagram only'
+                          WHEN has_option_image THEN 'Image answers only' ELSE 'Text-only' END AS s FROM scored)
+             GROUP BY model, s)""",
+        "scores",
+    ),
+)
+def g41_diagnostics(spark, sf_dir):
+    """Metrics of the first report: contest totals and image subtypes of every model."""
+    inputs = _report_inputs(spark, sf_dir)
+    return _tree_rows(spark, reports.metrics_sections(reports.diagnostics_metrics(inputs, reports.prepare(inputs))))
+
+
+@register(
+    "g41_surrogate_metrics",
+    oracle(
+        """SELECT section, entry, field, round(value, 6) AS value FROM (
+             SELECT 'forecast_errors' AS section, series || ' / ' || specification AS entry,
+                    unnest(['predictions', 'mae']) AS field,
+                    unnest([count(*)::DOUBLE, avg(abs(error))::DOUBLE]) AS value
+             FROM errors GROUP BY series, specification)""",
+        "panel",
+        extra={**_E, **_ENSEMBLE},
+    ),
+)
+def g41_surrogate(spark, sf_dir):
+    """Metrics of the second report: forecast errors of every series and specification."""
+    return _tree_rows(spark, reports.metrics_sections(reports.surrogate_metrics(a.panel(spark, sf_dir))))
+
+
+@register(
+    "g41_robustness_metrics",
+    oracle(
+        """SELECT section, entry, field, round(value, 6) AS value FROM (
+             SELECT 'rerun_agreement' AS section, model AS entry, unnest(['items', 'same_outcome']) AS field,
+                    unnest([count(*)::DOUBLE, avg((a.answered_correctly = b.answered_correctly)::INT)::DOUBLE]) AS value
+             FROM scored a JOIN scored_repeat b USING (model, item_id) GROUP BY model)""",
+        "scored",
+        "scored_repeat",
+    ),
+)
+def g41_robustness(spark, sf_dir):
+    """Metrics of the third report: agreement of every model with its repeat."""
+    inputs = _report_inputs(spark, sf_dir)
+    repeat = score_attempts(a.repeat_attempts(spark, sf_dir), inputs.items)
+    return _tree_rows(spark, reports.metrics_sections(reports.robustness_metrics(a.scored(spark, sf_dir), repeat)))

@@ -1,8 +1,8 @@
 """Whole reports: every table of an analysis as one dictionary of lazy DataFrames.
 
-The item rows are scored, reduced to cells and written once; exam scores, panel and every
-table start from those small results, so a report scans the attempts a single time however
-many tables it has. ``sources.writers`` puts a report on disk.
+The item rows are scored, reduced to cells and written once; exam scores, panel and every table
+start from those small results. The attempts are read once for the cells and once for the list
+of evaluated items, and again by comparisons of runs, whatever the number of tables. ``sources.writers`` puts a report on disk.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from examlens.operators import (
 )
 from examlens.operators import panel as panels
 from examlens.operators.bootstrap import REPETITIONS
-from examlens.operators.scoring import EXAM
 
 
 @dataclass(frozen=True)
@@ -221,6 +220,43 @@ def later(
     }
 
 
+def metrics_sections(tables: dict[str, tuple[DataFrame, list[str], list[str]]]) -> dict[str, tuple[DataFrame, str]]:
+    """Sections of a metrics tree from result tables: (table, naming columns, value columns)."""
+    return {
+        section: (frame.select(F.concat_ws(" / ", *keys).alias("entry"), *values), "entry")
+        for section, (frame, keys, values) in tables.items()
+    }
+
+
+def diagnostics_metrics(inputs: Inputs, base: Base) -> dict[str, tuple[DataFrame, list[str], list[str]]]:
+    """Contest totals of complete forms and results by image subtype, every model and subtype."""
+    totals = base.scores.filter("complete_exam").groupBy("model").agg(
+        F.count(F.lit(1)).alias("forms"),
+        F.sum("possible_points").alias("possible_points"),
+        F.sum("total_score").alias("contest_points"),
+    )
+    subtypes = describe.accuracy_table(describe.with_conditions(base.cells), ["model", "image_subtype"])
+    subtypes = subtypes.withColumnRenamed("abstention_rate", "decline_rate")
+    return {
+        "contest_totals": (totals, ["model"], ["forms", "possible_points", "contest_points"]),
+        "image_subtype": (subtypes, ["model", "image_subtype"], ["items", "accuracy", "decline_rate"]),
+    }
+
+
+def surrogate_metrics(panel: DataFrame) -> dict[str, tuple[DataFrame, list[str], list[str]]]:
+    """Forecast errors per series and specification."""
+    errors = forecast.forward_errors(panel).groupBy("series", "specification").agg(
+        F.count(F.lit(1)).alias("predictions"), F.avg(F.abs("error")).alias("mae")
+    )
+    return {"forecast_errors": (errors, ["series", "specification"], ["predictions", "mae"])}
+
+
+def robustness_metrics(scored: DataFrame, repeat: DataFrame) -> dict[str, tuple[DataFrame, list[str], list[str]]]:
+    """Agreement of the repeat with the first run, per model."""
+    again = agreement.agreement(agreement.paired(scored, repeat), ["model"])
+    return {"rerun_agreement": (again, ["model"], ["items", "same_outcome"])}
+
+
 def run_tables(results: DataFrame, by: list[str]) -> dict[str, DataFrame]:
     """The report of one or more runs."""
     return {
@@ -230,8 +266,3 @@ def run_tables(results: DataFrame, by: list[str]) -> dict[str, DataFrame]:
         "warnings": run_report.warning_counts(results, by),
         "rows_with_warnings": run_report.rows_with_warnings(results, by),
     }
-
-
-def covered(panel: DataFrame) -> DataFrame:
-    """Exams of a panel, to restrict other tables with a semi join."""
-    return panel.select(*EXAM).distinct()

@@ -159,3 +159,18 @@ def test_ordered_tables(spark, tmp_path):
     files = sorted((tmp_path / "t").glob("part-*.csv"))
     values = [int(x) for f in files for x in f.read_text().split()[1:]]
     assert values == list(range(1000))
+
+
+def test_residuals_equal_a_dummy_fit(spark):
+    rng = np.random.default_rng(6)
+    n = 300
+    frame = pd.DataFrame({"g": rng.choice(["a", "b"], n), "f": rng.choice(["u", "v", "w"], n), "x": rng.normal(size=n) + 1e5, "z": rng.normal(size=n)})
+    frame["y"] = 2 * frame.x - frame.z + (frame.f == "u") * 5 + rng.normal(size=n)
+    got = regressions.residual_rows(spark.createDataFrame(frame.reset_index()), "y", ["x", "z"], "f", ["g"]).toPandas()
+    got = got.set_index("index").sort_index()
+    for _, part in frame.groupby("g"):
+        design = np.column_stack([part.x - 1e5, part.z, *[(part.f == level).astype(float) for level in "uvw"]])
+        beta = np.linalg.lstsq(design, part.y, rcond=None)[0]
+        assert got.residual.loc[part.index].to_numpy() == pytest.approx((part.y - design @ beta).to_numpy(), abs=1e-6)
+    one = regressions.residual_rows(spark.createDataFrame(frame), "y", ["x"], None, [])
+    assert one.agg(F.sum("residual").alias("s")).first().s == pytest.approx(0, abs=1e-4)
