@@ -89,6 +89,16 @@ def main() -> None:
     start = time.perf_counter()
     repeat, blind = a.repeat_attempts(spark, SF_DIR), a.blind_attempts(spark, SF_DIR)
     run_all(reports.robustness(inputs, base, repeat, blind, 14, 26))
+    # the published job contains the tables of the later runs
+    run_all(
+        reports.later(
+            a.later_panel(spark, SF_DIR),
+            a.later_scored(spark, SF_DIR),
+            base.scored,
+            a.order_mapping(spark, SF_DIR),
+            [a.OPTION_ORDER_MODEL, *(f"{a.OPTION_ORDER_MODEL}__{arm}" for arm in ("repeat", "option_order"))],
+        )
+    )
     timings["report_robustness"] = round(time.perf_counter() - start, 3)
     print(
         json.dumps(

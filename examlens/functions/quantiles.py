@@ -59,7 +59,7 @@ def exact_quantiles(
             ]
         ).alias("_brackets"),
     )
-    placed = known.join(packed, by) if by else _attach(known, packed)
+    placed = known.join(packed, by) if by else known.withColumn("_brackets", packed.scalar())
     marked = placed.select(
         *by,
         "_v",
@@ -92,12 +92,3 @@ def exact_quantiles(
     return values.groupBy(*by).agg(
         *[F.max(F.when(F.col("name") == n, found)).alias(n) for n in names]
     )
-
-
-def _attach(frame: DataFrame, single: DataFrame) -> DataFrame:
-    """Join a one-row frame."""
-    return (
-        frame.withColumn("_one", F.lit(1))
-        .join(F.broadcast(single.withColumn("_one", F.lit(1))), "_one")
-        .drop("_one")
-    )

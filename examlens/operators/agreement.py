@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from examlens.functions.common import count_if, share
+from examlens.functions.common import CELL_ITEMS, Counted
 from examlens.functions.stats import pearson
 from examlens.operators import checks
 from examlens.operators.bootstrap import REPETITIONS, interval, item_draws
@@ -46,19 +46,45 @@ def paired(
     return checks.present(joined, F.col("_paired"), "row without a counterpart in the first run").drop("_paired")
 
 
+def _with_changes(pairs: DataFrame) -> DataFrame:
+    """Whether letter and points of both runs agree, unless the rows already say so."""
+    if "same_letter" in pairs.columns:
+        return pairs
+    return pairs.withColumns(
+        {
+            "same_letter": F.col("predicted_normalized_first") == F.col("predicted_normalized_second"),
+            "changed_points": F.col("awarded_points_first") != F.col("awarded_points_second"),
+        }
+    )
+
+
+def pair_cells(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Paired rows counted per combination of everything the pair tables look at.
+
+    A few rows per group, combined map side: several tables then start from one join of two
+    item tables.
+    """
+    flags = [f"{name}_{side}" for name in ("answered_correctly", "declined") for side in ("first", "second")]
+    return (
+        _with_changes(pairs)
+        .groupBy(*by, *flags, "same_letter", "changed_points", "multimodal")
+        .agg(F.count(F.lit(1)).alias(CELL_ITEMS))
+    )
+
+
 def difference_interval(
     pairs: DataFrame, by: list[str], seed: int, repetitions: int = REPETITIONS
 ) -> DataFrame:
     """Accuracy difference in points (second minus first) with an item-bootstrap interval.
 
     A paired difference is -1, 0 or 1, so items are resampled on their three-cell table.
+    ``pairs`` are paired rows or their cells.
     """
     difference = F.col("answered_correctly_second").cast("int") - F.col(
         "answered_correctly_first"
     ).cast("int")
-    cells = pairs.groupBy(*by, difference.alias("difference")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    items = Counted(pairs)
+    cells = items.frame.groupBy(*by, difference.alias("difference")).agg(items.rows().alias("_n"))
     drawn = item_draws(cells, "_n", seed, repetitions, by)
     means = drawn.groupBy(*by, "rep").agg(
         (100 * F.sum(F.col("weight") * F.col("difference")) / F.sum("weight")).alias("difference_pp")
@@ -67,17 +93,18 @@ def difference_interval(
 
 
 def paired_comparison(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Accuracies, difference, lost and gained items, decline rates."""
+    """Accuracies, difference, lost and gained items, decline rates, of rows or cells."""
+    items = Counted(pairs)
     first, second = F.col("answered_correctly_first"), F.col("answered_correctly_second")
-    return pairs.groupBy(*by).agg(
-        F.count(F.lit(1)).cast("bigint").alias("items"),
-        share(first).alias("accuracy_reference"),
-        share(second).alias("accuracy_treated"),
-        (100 * F.avg(second.cast("double") - first.cast("double"))).alias("difference_pp"),
-        count_if(first & ~second).alias("lost"),
-        count_if(~first & second).alias("gained"),
-        share(F.col("declined_first")).alias("decline_rate_reference"),
-        share(F.col("declined_second")).alias("decline_rate_treated"),
+    return items.frame.groupBy(*by).agg(
+        items.rows().alias("items"),
+        items.share(first).alias("accuracy_reference"),
+        items.share(second).alias("accuracy_treated"),
+        (100 * (items.share(second) - items.share(first))).alias("difference_pp"),
+        items.count_if(first & ~second).alias("lost"),
+        items.count_if(~first & second).alias("gained"),
+        items.share(F.col("declined_first")).alias("decline_rate_reference"),
+        items.share(F.col("declined_second")).alias("decline_rate_treated"),
     )
 
 
@@ -85,25 +112,22 @@ def agreement(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Same outcome, Cohen's kappa, same letter and the items whose result changed.
 
     Wrong and declined answers score differently, so points can change where correctness
-    does not.
+    does not. ``pairs`` are paired rows or their cells.
     """
+    items = Counted(_with_changes(pairs))
     first, second = F.col("answered_correctly_first"), F.col("answered_correctly_second")
     changed = first != second
-    grouped = pairs.groupBy(*by).agg(
-        F.count(F.lit(1)).cast("bigint").alias("items"),
-        share(first).alias("accuracy_first"),
-        share(second).alias("accuracy_second"),
-        (100 * F.avg(second.cast("double") - first.cast("double"))).alias("difference_pp"),
-        share(first == second).alias("same_outcome"),
-        share(
-            F.col("predicted_normalized_first") == F.col("predicted_normalized_second")
-        ).alias("same_letter"),
-        count_if(F.col("awarded_points_first") != F.col("awarded_points_second")).alias(
-            "changed_points"
-        ),
-        count_if(changed & ~F.col("multimodal")).alias("changed_text_only"),
-        count_if(changed & F.col("multimodal")).alias("changed_multimodal"),
-        count_if(F.col("multimodal")).alias("multimodal_items"),
+    grouped = items.frame.groupBy(*by).agg(
+        items.rows().alias("items"),
+        items.share(first).alias("accuracy_first"),
+        items.share(second).alias("accuracy_second"),
+        (100 * (items.share(second) - items.share(first))).alias("difference_pp"),
+        items.share(first == second).alias("same_outcome"),
+        items.share(F.col("same_letter")).alias("same_letter"),
+        items.count_if(F.col("changed_points")).alias("changed_points"),
+        items.count_if(changed & ~F.col("multimodal")).alias("changed_text_only"),
+        items.count_if(changed & F.col("multimodal")).alias("changed_multimodal"),
+        items.count_if(F.col("multimodal")).alias("multimodal_items"),
     )
     return grouped.withColumn("kappa", kappa("same_outcome", "accuracy_first", "accuracy_second"))
 

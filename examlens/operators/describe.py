@@ -181,13 +181,8 @@ def exam_composition(items: DataFrame) -> DataFrame:
 
 def with_decades(exam_data: DataFrame) -> DataFrame:
     """Year in decades around the mean year of the frame's exams (``year_per_decade``)."""
-    mean_year = exam_data.agg(F.avg("year").alias("_mean_year")).withColumn("_one", F.lit(1))
-    return (
-        exam_data.withColumn("_one", F.lit(1))
-        .join(F.broadcast(mean_year), "_one")
-        .withColumn("year_per_decade", (F.col("year") - F.col("_mean_year")) / 10)
-        .drop("_one", "_mean_year")
-    )
+    mean_year = exam_data.agg(F.avg("year")).scalar()
+    return exam_data.withColumn("year_per_decade", (F.col("year") - mean_year) / 10)
 
 
 def yearly_composition(composition: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ are rows, never separate jobs. ``panel`` is the long panel of ``operators.panel`
 
 from __future__ import annotations
 
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -925,8 +924,13 @@ def pooled_statistics(comparison: DataFrame, lomo: DataFrame) -> DataFrame:
             "all_oos_r2_negative"
         )
     )
-    one = [f.withColumn("_one", F.lit(1)) for f in (signs, fits, deviations, negative)]
-    return reduce(lambda left, right: left.join(right, "_one"), one).drop("_one")
+    # every part is one row: the others are scalars of the first
+    parts = [
+        f.select(F.struct(*f.columns).alias("part")).scalar()[name].alias(name)
+        for f in (fits, deviations, negative)
+        for name in f.columns
+    ]
+    return signs.select("*", *parts)
 
 
 def trend_lines(panel: DataFrame) -> DataFrame:

@@ -160,9 +160,12 @@ def robustness(
         ),
         "cells",
     )
-    again = agreement.paired(base.scored, repeat_scored)
-    ablation = agreement.paired(base.scored, blind_scored)
     keys = ["model"]
+    # one join of item rows per pair of runs; the tables start from the written cells
+    again, ablation = (
+        panels.materialize(agreement.pair_cells(agreement.paired(base.scored, run), keys), "pairs")
+        for run in (repeat_scored, blind_scored)
+    )
     return {
         "recent_mean_increment": forecast.recent_mean_increment(panel, reps),
         "ceiling_checks": regressions.ceiling_checks(

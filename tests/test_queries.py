@@ -132,6 +132,16 @@ def test_reports(spark, small_dir, tmp_path):
             26,
         ),
     }
+    later = reports.later(
+        a.later_panel(spark, small_dir),
+        a.later_scored(spark, small_dir),
+        base.scored,
+        a.order_mapping(spark, small_dir),
+        [a.OPTION_ORDER_MODEL, *(f"{a.OPTION_ORDER_MODEL}__{arm}" for arm in ("repeat", "option_order"))],
+        40,
+    )
+    assert later["exam_score_agreement"].count() == 3 and later["run_agreement"].count() == 18
+    assert later["option_positions"].count() == 5 and later["later_runs"].count() >= 6
     assert tables["forward_prediction_pooled"].count() == 20
     assert tables["ablation_pairs"].count() == 4
     assert all(frame.columns for frame in tables.values())
