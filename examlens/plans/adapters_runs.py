@@ -25,7 +25,9 @@ TAILS = {
     5: "\nIch entscheide mich, nicht zu antworten.",
     6: "",
 }
-WHOLE = {3: '{"answer":"D","reason":"r"}', 7: ""}
+# kinds whose whole text is one JSON object around the turn's text: plain (3), and with a repeated
+# key and a number that is none (7)
+AROUND = {3: ('{"answer":"D",', "}"), 7: ('{"answer":"A",', ',"answer":"E","v":NaN}')}
 
 
 def response_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +35,10 @@ def response_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit(None).cast("string")
     for number, tail in TAILS.items():
         text = F.when(kind == number, F.concat("text", F.lit(tail))).otherwise(text)
-    for number, whole in WHOLE.items():
-        text = F.when(kind == number, F.lit(whole)).otherwise(text)
+    reason = F.to_json(F.struct(F.col("text").alias("reason")))
+    inner = F.substr(reason, F.lit(2), F.length(reason) - 2)
+    for number, (before, after) in AROUND.items():
+        text = F.when(kind == number, F.concat(F.lit(before), inner, F.lit(after))).otherwise(text)
     return (
         table(spark, sf_dir, "conversations")
         .filter(F.col("role") == "assistant")
@@ -51,8 +55,10 @@ TABLES["responses"] = (
     "SELECT conv_id, turn, CASE conv_id % 8 "
     + " ".join(f"WHEN {k} THEN text || {_quoted(v)}" for k, v in TAILS.items())
     + " "
-    + " ".join(f"WHEN {k} THEN {_quoted(v)}" for k, v in WHOLE.items())
-    + " END AS text FROM conversations WHERE role = 'assistant'",
+    + " ".join(
+        f"WHEN {k} THEN {_quoted(x)} || substr(j, 2, length(j) - 2) || {_quoted(y)}" for k, (x, y) in AROUND.items()
+    )
+    + " END AS text FROM (SELECT *, to_json({'reason': text})::VARCHAR AS j FROM conversations WHERE role = 'assistant')",
 )
 
 # --- raw provider responses -------------------------------------------------------------------

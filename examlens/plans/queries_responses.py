@@ -78,7 +78,12 @@ _EXTRACTED = f"""SELECT *, CASE
     oracle(
         f"SELECT conv_id, turn, predicted, rationale, warning FROM ({_EXTRACTED})",
         "responses",
-        extra={"texts": "SELECT * FROM responses"},
+        # of repeated keys the last counts, and NaN does no harm: as if the object were this one
+        extra={
+            "texts": """SELECT r.conv_id, r.turn, CASE WHEN r.conv_id % 8 = 7
+                               THEN to_json({'answer': 'E', 'reason': c.text})::VARCHAR ELSE r.text END AS text
+                        FROM responses r JOIN conversations c USING (conv_id, turn)"""
+        },
     ),
 )
 def i1(spark, sf_dir):
@@ -546,3 +551,15 @@ def a11(spark, sf_dir):
         F.decode(messages.coerce_bytes("raw", "text"), "utf-8").alias("text"),
         F.when(kept.isNotNull(), F.size(kept)).alias("kept"),
     )
+
+
+@register("i8_nested_content", oracle("SELECT conv_id, turn, text FROM conversations"))
+def i8_nested(spark, sf_dir):
+    """Every turn's text put one to six content lists deep and read back."""
+    turns = a.table(spark, sf_dir, "conversations")
+    inner = F.to_json(F.struct(F.col("text").alias("text")))
+    levels = F.pmod(F.col("conv_id"), F.lit(6)).cast("int")
+    document = F.concat(
+        F.repeat(F.lit('[{"content":'), levels), F.lit("["), inner, F.lit("]"), F.repeat(F.lit("}]"), levels)
+    )
+    return turns.select("conv_id", "turn", messages.flatten_content(F.parse_json(document)).alias("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from examlens.functions.common import lookup
+from examlens.functions.common import lookup, ordinal
 from examlens.operators import bootstrap, describe, forecast, options, scoring
 from examlens.operators.scoring import score_attempts
 from examlens.plans import adapters as a
@@ -245,7 +245,8 @@ def a14(spark, sf_dir):
 def a15(spark, sf_dir):
     folder = shared_folder(spark, "tables")
     totals = scoring.contest_totals(a.scores(spark, sf_dir)).select("model", "forms", "contest_points")
-    writers.write_tables({"contest_totals": totals}, folder)
+    order = {"contest_totals": [ordinal(F.col("model"), MODEL_NAMES), "model"]}
+    writers.write_tables({"contest_totals": totals}, folder, order)
     return spark.read.schema(totals.schema).csv(f"{folder}/contest_totals", header=True)
 
 
