@@ -101,16 +101,12 @@ def formatted(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     convs = conversations(turns)
     one = convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("_a"))
     two = convs.select(F.col("conv_id").alias("_r"), F.col("turns").alias("_b"))
-    # pairs without a partner carry their own id in the join key, so that nulls do not meet in one task
-    spare = F.when(F.col("rejected_id").isNull(), F.col("chosen_id"))
+    # pairs without a partner have a key of their own, so that they do not meet in one task as nulls
+    alone = F.concat(F.lit("none:"), F.col("chosen_id").cast("string"))
     both = (
-        pairs.select("chosen_id", "rejected_id", spare.alias("_spare"))
+        pairs.select("chosen_id", "rejected_id", F.coalesce(F.col("rejected_id").cast("string"), alone).alias("_key"))
         .join(one, "chosen_id")
-        .join(
-            two.withColumn("_none", F.lit(None).cast(convs.schema["conv_id"].dataType)),
-            (F.col("rejected_id") == F.col("_r")) & F.col("_spare").eqNullSafe(F.col("_none")),
-            "left",
-        )
+        .join(two.withColumn("_key", F.col("_r").cast("string")), "_key", "left")
     )
 
     def open_until(t: Column) -> Column:
