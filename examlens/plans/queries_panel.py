@@ -609,10 +609,11 @@ def e12(spark, sf_dir):
                    {bounds('beta', 'effect_per_10pp_human')}, {samples('beta')},
                    round(max(r2_full) FILTER (WHERE rep = 0), 6) AS r2,
                    round(max(partial_r) FILTER (WHERE rep = 0), 6) AS partial_correlation,
-                   CASE specification WHEN 'Raw' THEN 2 WHEN 'Grade fixed effects' THEN 6
-                        WHEN 'Grade FE + visual share' THEN 7 ELSE 8 END::BIGINT AS parameters,
-                   CASE specification WHEN 'Raw' THEN 2 WHEN 'Grade fixed effects' THEN 6
-                        WHEN 'Grade FE + visual share' THEN 7 ELSE 8 END::BIGINT AS rank
+                   -- an intercept per exam or one, the human mean, and the listed covariates
+                   (1 + CASE WHEN fixed_effects = 'none' THEN 1 ELSE (SELECT count(DISTINCT exam) FROM e) END
+                    + CASE WHEN covariates = 'none' THEN 0 ELSE len(string_split(covariates, ', ')) END)::BIGINT AS parameters,
+                   (1 + CASE WHEN fixed_effects = 'none' THEN 1 ELSE (SELECT count(DISTINCT exam) FROM e) END
+                    {' '.join(f"+ (list_contains(string_split(covariates, ', '), '{c}') AND (SELECT max(v) FROM (SELECT var_pop({c}) AS v FROM e GROUP BY exam)) > 0)::INT" for c in _COLUMNS[2:])})::BIGINT AS rank
             FROM ({_fit_rows(['rep'], 'model_pct', 'human_pct', 10)})
             GROUP BY specification, covariates, fixed_effects""",
         "panel",
