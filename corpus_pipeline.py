@@ -17,8 +17,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Similarity 0.8 of five-word shingles, as bits of a 256-bit fingerprint: texts with that Jaccard
 #: similarity have cosine 0.89 and differ in 39 bits on average, unrelated ones in 128. 48 allows
 #: for the spread, as 16 does in the first 64 bits, beyond which a pair is not looked at further
-#: (10 are expected). Measured on the test tables, pairs of different texts are linked with 0.85
-#: similarity or more in 99 %, between 0.8 and 0.85 in about 85 to 90 %, unrelated ones never.
+#: (10 are expected). Measured on 14,000 documents of check_s, pairs of different texts are linked
+#: with similarity 0.85 or more in 100 %, from 0.8 to 0.85 in 95 %, from 0.7 to 0.8 in 76 %, from
+#: 0.6 to 0.7 in 13 %, from 0.5 to 0.6 in 8 %; of 4 million random pairs none below 0.59.
 WORDS, PARTS, FIRST_RADIUS, WHOLE_RADIUS = 5, 4, 16, 48
 
 

@@ -72,7 +72,8 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit_windows(rows: np.ndarray, target: np.ndarray, languages: list[str], epochs: int = 6, batch: int = 48) -> Network:
-    """Adam on the cross-entropy. Max-pooling sends a gradient to one span per filter only."""
+    """Adam on the cross-entropy, its rate falling to zero; max-pooling sends a gradient to one
+    span per filter only."""
     rng = np.random.default_rng(3)
     n_out, total = max(1, len(languages)), FILTERS * len(WIDTHS)
 
@@ -89,7 +90,7 @@ def fit_windows(rows: np.ndarray, target: np.ndarray, languages: list[str], epoc
     )
     parameters = [net.table, *net.filters, net.bias, net.out, net.out_bias]
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
-    step = 0
+    step, last = 0, epochs * -(-len(target) // batch)
     for _ in range(epochs if len(languages) > 1 else 0):
         order = rng.permutation(len(target))
         for at in range(0, len(order), batch):
@@ -111,10 +112,11 @@ def fit_windows(rows: np.ndarray, target: np.ndarray, languages: list[str], epoc
                 np.add.at(table, rows[chosen][sample, places], down)
             gradients = [table, *filters, back.sum(0), hidden.T @ error, error.sum(0)]
             step += 1
+            rate = 0.01 * (1 - (step - 1) / last)
             for p, g, m, v in zip(parameters, gradients, first, second):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                p -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return net
 
 
