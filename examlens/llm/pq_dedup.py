@@ -6,12 +6,12 @@ first by table look-ups of its distance to the members' codes, then, where the c
 open, by the exact cosine.
 
 - Near enough: (|x - c|^2 - |x - c0|^2) / (2 |c - c0|), c0 being the centroid nearest to x, is
-  the distance from x to the plane beyond which c is nearer. A neighbour at distance r can only
-  lie beyond planes within r. In d dimensions a step of length r moves it towards a given plane
-  by r / sqrt(d) typically; lists within ``MARGIN`` times that are probed, from both vectors of a
-  pair. Vectors displaced to cosine 0.95 in random directions were all found with a margin of 2
-  (10,000 pairs, 64 dimensions). ``margin=inf`` probes all lists within r and loses nothing, at
-  the price of most lists in high dimensions.
+  the distance from x to the plane beyond which c is nearer. Two vectors at distance r in the
+  lists of c0 and c lie on either side of that plane, and their distances to it sum to r at
+  most, so one of them is within r / 2. All lists within r / 2 are probed, from both vectors of
+  a pair: nothing is lost, however the vectors are spread. A finite ``margin`` also limits the
+  probes to that many steps of r / sqrt(d), typical of random directions in d dimensions, and
+  may lose pairs that differ in few directions.
 - The look-up test loses nothing: |x - y| >= |x - code(y)| - |y - code(y)|, and the second term
   is kept with the code.
 """
@@ -32,7 +32,8 @@ from examlens.llm.components import components, forest
 #: Vectors of the fitting sample at most; members of a list on average; lists at most.
 SAMPLE, LIST_ROWS, MAX_LISTS = 16_384, 256, 2_048
 SUBSPACES, CODES = 16, 64
-MARGIN = 2.5
+#: No limit on the probes but the exact one.
+MARGIN = float("inf")
 #: Members and queries of a list that one group compares.
 TILE = 4_096
 #: Slack for rounding in the bounds; the decision itself is the exact cosine.
@@ -148,7 +149,7 @@ def links(
     fitting = _unit(np.array([r.v for r in picked if len(r.v) == width]))
     index = spark.sparkContext.broadcast(Index(fitting, max(1, min(MAX_LISTS, len(fitting), total // list_rows))))
     radius = float(np.sqrt(max(0.0, 2 - 2 * least_cosine)))
-    reach = radius * min(1.0, margin / np.sqrt(width))
+    reach = radius * min(0.5, margin / np.sqrt(width))
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per vector and probed list; the vector's own list comes with home = true."""

@@ -85,6 +85,22 @@ def test_recall_on_the_given_vectors(spark, small_dir):
     assert sum(r.n_links >= 1 for r in got) >= 0.99 * len(rows)
 
 
+@pytest.mark.parametrize("directions", [2, 4, 8])
+def test_links_of_vectors_spread_over_few_directions(spark, directions):
+    """A hot group that varies in few of 64 dimensions, besides scattered vectors: all links are found."""
+    rng = np.random.default_rng(directions)
+    basis = np.linalg.qr(rng.standard_normal((64, directions)))[0].T
+    centre = rng.standard_normal(64) / 8
+    hot = centre + 0.45 * rng.standard_normal((1000, directions)) @ basis / np.sqrt(directions)
+    x = np.concatenate([hot, rng.standard_normal((1000, 64))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in pq_dedup.links(frame, list_rows=20).collect()}
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    assert want.sum() > 10_000
+    assert [got[i] for i in range(len(x))] == want.tolist()
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pq_dedup.links(empty).count() == 0
