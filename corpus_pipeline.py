@@ -14,13 +14,11 @@ from examlens.llm import bpe_tree, pareto_mix, quality_fm, simhash_tiles, site_l
 from examlens.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Similarity 0.8 of five-word shingles, as bits of a 256-bit fingerprint: texts with that Jaccard
-#: similarity have cosine 0.89 and differ in 39 bits on average, unrelated ones in 128. 48 allows
-#: for the spread, as 16 does in the first 64 bits, beyond which a pair is not looked at further
-#: (10 are expected). Measured on 14,000 documents of check_s, pairs of different texts are linked
-#: with similarity 0.85 or more in 100 %, from 0.8 to 0.85 in 95 %, from 0.7 to 0.8 in 76 %, from
-#: 0.6 to 0.7 in 13 %, from 0.5 to 0.6 in 8 %; of 4 million random pairs none below 0.59.
-WORDS, PARTS, FIRST_RADIUS, WHOLE_RADIUS = 5, 4, 16, 48
+#: Near duplicates have five-word shingle sets of Jaccard similarity 0.8 or more, which is checked.
+#: Candidates come from 256-bit fingerprints of the sets: at 0.8 they differ in 39 bits on average
+#: (10 of the first 64), in the worst case of five shingles in 48 (12). The radii leave four
+#: standard deviations and more above these; unrelated texts differ in 128 (32).
+WORDS, LEAST_SIMILARITY, PARTS, FIRST_RADIUS, WHOLE_RADIUS = 5, 0.8, 4, 24, 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +40,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id.
 
+    Texts are near duplicates if their five-word shingles have similarity 0.8 or more, or if a
+    chain of such texts joins them.
+
     Of rows that repeat an id one stays, the least by content. Rows without an id cannot be told
     apart and stay.
     """
     slim = docs.select(*COLUMNS)
-    grouped = simhash_tiles.groups(
+    grouped = simhash_tiles.near_duplicates(
         slim.where(F.col("doc_id").isNotNull()),
         words=WORDS,
+        least=LEAST_SIMILARITY,
         radius=FIRST_RADIUS,
         parts=PARTS,
         whole_radius=WHOLE_RADIUS,

@@ -24,6 +24,8 @@ SEED = 42
 TILE_ROWS, MAX_TILES = 16_384, 512
 #: Rows of two tiles that are compared at once, small enough for the processor's cache.
 BLOCK = 512
+#: Edges that a task holds before it reduces them to a forest.
+EDGES = 4_000_000
 #: Fixed multiplier and shifts of a 64-bit mixer, for further words of a fingerprint.
 MIX, SHIFTS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), (30, 27, 31)
 GOLDEN = 0x9E3779B97F4A7C15
@@ -48,7 +50,10 @@ def fingerprint(text: str, words: int, parts: int = 1) -> bytes:
 
     Words after the first come from the same shingle hashes, mixed anew.
     """
-    hashes = shingle_hashes(text, words)
+    return _bits(shingle_hashes(text, words), parts)
+
+
+def _bits(hashes: np.ndarray, parts: int) -> bytes:
     out = []
     for part in range(parts):
         h = hashes
@@ -77,13 +82,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(hashed, f"doc_id {ids}, fingerprint binary")
 
 
-def _near(left: np.ndarray, right: np.ndarray, radius: int, whole_radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of two sorted tiles within the radius. Columns are the words of the fingerprints.
+def _blocks(
+    left: np.ndarray, right: np.ndarray, radius: int, whole_radius: int, same: bool, parts: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of two sorted tiles within the radius and their distances, a pair of blocks at a time.
 
-    Blocks of rows whose population counts (of both halves of the first word) leave more than
-    the radius between them are skipped. The first word decides which pairs are compared whole.
+    The first ``parts`` columns are the words of the fingerprints. Blocks of rows whose population
+    counts (of both halves of the first word) leave more than the radius between them are skipped.
+    The first word decides which pairs are compared whole.
     """
-    a, b = [], []
     halves = [np.bitwise_count(t[:, :1] >> np.array([32, 0], np.uint64) & np.uint64(2**32 - 1)).astype(int) for t in (left, right)]
     cut = [[slice(i, i + BLOCK) for i in range(0, len(t), BLOCK)] for t in (left, right)]
     low, high = ([np.array([f(h[s], axis=0) for s in c]) for h, c in zip(halves, cut)] for f in (np.min, np.max))
@@ -97,22 +104,66 @@ def _near(left: np.ndarray, right: np.ndarray, radius: int, whole_radius: int, s
             x, y = x + s.start, y + t.start
             if same:
                 x, y = x[x < y], y[x < y]
-            if left.shape[1] > 1 and len(x):
-                total = sum(np.bitwise_count(left[x, k] ^ right[y, k]).astype(int) for k in range(left.shape[1]))
-                x, y = x[total <= whole_radius], y[total <= whole_radius]
-            a.append(x)
-            b.append(y)
+            total = np.bitwise_count(left[x, 0] ^ right[y, 0]).astype(int)
+            for k in range(1, parts):
+                total += np.bitwise_count(left[x, k] ^ right[y, k])
+            if parts > 1:
+                near = total <= whole_radius
+                x, y, total = x[near], y[near], total[near]
+            if len(x):
+                yield x, y, total
+
+
+def _near(left: np.ndarray, right: np.ndarray, radius: int, whole_radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two sorted tiles within the radius; all columns are words of the fingerprints."""
+    found = [(x, y) for x, y, _ in _blocks(left, right, radius, whole_radius, same, left.shape[1])]
     empty = np.zeros(0, int)
-    return np.concatenate([empty, *a]), np.concatenate([empty, *b])
+    return np.concatenate([empty, *(x for x, _ in found)]), np.concatenate([empty, *(y for _, y in found)])
+
+
+def _spanning(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the edges, a forest of least weight that joins the same rows; ties fall by chance, not to one hub."""
+    order = np.lexsort((np.random.default_rng(3).random(len(left)), weight))
+    left, right, weight = left[order], right[order], weight[order]
+    label, chosen, open_ = np.arange(n), [], np.arange(len(left))
+    while True:
+        a, b = label[left[open_]], label[right[open_]]
+        apart = a != b
+        open_, a, b = open_[apart], a[apart], b[apart]
+        if not len(open_):
+            break
+        best = np.full(n, len(open_))
+        for side in (a, b):
+            np.minimum.at(best, side, np.arange(len(open_)))
+        pick = np.unique(best[best < len(open_)])
+        chosen.append(open_[pick])
+        child, parent = forest(n, a[pick], b[pick])
+        moved = np.arange(n)
+        moved[child] = parent
+        label = moved[label]
+    kept = np.concatenate([np.zeros(0, int), *chosen])
+    return left[kept], right[kept], weight[kept]
 
 
 def _words(raw: bytes, parts: int) -> np.ndarray:
     return np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, parts)
 
 
-def near_links(prints: DataFrame, radius: int, parts: int = 1, whole_radius: int = 0, tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_links(
+    prints: DataFrame,
+    radius: int,
+    parts: int = 1,
+    whole_radius: int = 0,
+    tile_rows: int = TILE_ROWS,
+    extra: int = 0,
+    pairs_of: str = "forest",
+) -> DataFrame:
     """``left, right`` fingerprints: a forest that joins all fingerprints within the radius.
 
+    Fingerprints may be followed by ``extra`` 64-bit words that do not count as distance. With
+    ``pairs_of="near"`` every edge of the forest is itself a pair within the radius, the nearest
+    that join the rows; ``pairs_of="apart"`` gives all pairs whose last words differ.
+
     ``prints`` holds distinct fingerprints. Their population counts, at most 33 * 33 numbers,
     go to the driver, which cuts the sorted order into tiles of about equal size (a count that
     alone exceeds a tile is split by hash) and lists the tile pairs to compare: at most
@@ -150,7 +201,7 @@ def near_links(prints: DataFrame, radius: int, parts: int = 1, whole_radius: int
     where = spark.createDataFrame(places or [(0, 0, 0, 1)], "h int, l int, tile int, spread int")
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:
-        rows = _words(b"".join(table.column("fingerprint").to_pylist()), parts)
+        rows = _words(b"".join(table.column("fingerprint").to_pylist()), parts + extra)
         high, low = table.column("h").to_numpy(), table.column("l").to_numpy()
         order = np.lexsort((high, high + low))
         return pa.table({"tile": pa.array([key[0].as_py()], pa.int32()), "rows": pa.array([rows[order].astype(">u8").tobytes()], pa.binary())})
@@ -171,18 +222,37 @@ def near_links(prints: DataFrame, radius: int, parts: int = 1, whole_radius: int
         .repartition(max(1, min(len(pairs), max(4 * spark.sparkContext.defaultParallelism, len(pairs) // 8))))
     )
 
+    def chosen(left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of both tiles, the right ones numbered after the left ones, that are linked."""
+        n, shift = (len(left), 0) if same else (len(left) + len(right), len(left))
+        if pairs_of == "forest":
+            i, j = _near(left[:, :parts], right[:, :parts], radius, whole_radius, same)
+            yield forest(n, i, j + shift)
+            return
+        kept = [np.zeros(0, int)] * 3
+        wait, waiting = [], 0
+        for x, y, total in _blocks(left, right, radius, whole_radius, same, parts):
+            if pairs_of == "apart":
+                other = left[x, -1] != right[y, -1]
+                yield x[other], y[other] + shift
+                continue
+            wait.append((x, y + shift, total))
+            waiting += len(x)
+            if waiting > EDGES:
+                kept, wait, waiting = _spanning(n, *map(np.concatenate, zip(kept, *wait))), [], 0
+        if pairs_of == "near":
+            yield _spanning(n, *map(np.concatenate, zip(kept, *wait)))[:2]
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 a, b, x, y = (batch.column(c)[k].as_py() for c in ("a", "b", "left_rows", "right_rows"))
-                left, right = _words(x, parts), _words(y, parts)
-                i, j = _near(left, right, radius, whole_radius, a == b)
-                rows = left if a == b else np.concatenate([left, right])
-                child, parent = forest(len(rows), i, j if a == b else j + len(left))
-                raw = rows.astype(">u8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([raw[r].tobytes() for r in side], pa.binary()) for side in (child, parent)], names=["left", "right"]
-                )
+                left, right = _words(x, parts + extra), _words(y, parts + extra)
+                raw = (left if a == b else np.concatenate([left, right])).astype(">u8")
+                for ends in chosen(left, right, a == b):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([raw[r].tobytes() for r in side], pa.binary()) for side in ends], names=["left", "right"]
+                    )
 
     return jobs.mapInArrow(compared, "left binary, right binary")
 
@@ -220,3 +290,83 @@ def groups(
     return prints.join(graded, "fingerprint").select(
         "doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id"
     )
+
+
+def _sets(docs: DataFrame, words: int, parts: int, whole: bool) -> DataFrame:
+    """``doc_id, fingerprint`` and, if ``whole``, ``shingles``: the sorted distinct hashes as bytes.
+
+    Here the fingerprint comes from distinct shingles and ends with 128 bits that stand for their
+    set, so that texts have equal ones only if they have the same shingles.
+    """
+    ids = docs.schema["doc_id"].dataType.simpleString()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, 256):
+                b = whole_batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column("text")]
+                prints = [_bits(h, parts) + xxhash.xxh128_digest(h.tobytes()) for h in sets]
+                columns = [b.column("doc_id"), pa.array(prints, pa.binary())]
+                if whole:
+                    columns.append(pa.array([h.tobytes() for h in sets], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fingerprint", "shingles"][: len(columns)])
+
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return slim.mapInArrow(hashed, f"doc_id {ids}, fingerprint binary" + ", shingles binary" * whole)
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, parts: int, least: float) -> DataFrame:
+    """``a, b``: least ids of those pairs of classes whose sets of shingles have the similarity.
+
+    Texts are read again, one for each class that stands in a pair.
+    """
+    ends = pairs.select(F.col("left").alias("fingerprint")).union(pairs.select("right")).distinct()
+    named = classes.join(ends, "fingerprint", "left_semi")
+    texts = docs.select("doc_id", "text").join(named.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = _sets(texts, words, parts, True).dropDuplicates(["fingerprint"])
+    sets = written(sets.join(named, "fingerprint").select("fingerprint", "least", "shingles"), "shingles")
+    ids = classes.schema["least"].dataType.simpleString()
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column("x"), b.column("y")):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both / max(1, len(x) + len(y) - both) >= least)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    sides = [sets.select(F.col("fingerprint").alias(k), F.col("least").alias(i), F.col("shingles").alias(v)) for k, i, v in ("lax", "rby")]
+    joined = pairs.select(F.col("left").alias("l"), F.col("right").alias("r")).join(sides[0], "l").drop("l").join(sides[1], "r")
+    return joined.select("a", "b", "x", "y").mapInArrow(checked, f"a {ids}, b {ids}")
+
+
+def near_duplicates(
+    docs: DataFrame, words: int, least: float, radius: int, parts: int, whole_radius: int, tile_rows: int = TILE_ROWS
+) -> DataFrame:
+    """``doc_id, component_id``: texts linked by the similarity of their sets of shingles.
+
+    Fingerprints only find the candidates, as in ``groups``; a link is a pair of texts whose
+    Jaccard similarity, counted over 64-bit hashes of the shingles, is ``least`` at least. Texts
+    with the same set are one node. First the nearest candidates that would join all are checked,
+    as many as there are nodes at most; then every candidate pair that these links leave in
+    different components. So a large group of near copies does not become all its pairs. Rows
+    without an id must not be among ``docs``.
+    """
+    prints = written(_sets(docs, words, parts, False), "fingerprints")
+    classes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "classes")
+
+    def near(frame: DataFrame, extra: int, pairs_of: str) -> DataFrame:
+        found = near_links(frame.select("fingerprint"), radius, parts, whole_radius, tile_rows, extra, pairs_of)
+        key = (parts + 2) * 8
+        pairs = found.select(*[F.substring(c, 1, key).alias(c) for c in ("left", "right")])
+        return written(_similar(written(pairs, "candidates"), classes, docs, words, parts, least), "similar")
+
+    first = near(classes, 2, "near")
+    roots = components(first, "a", "b").withColumnRenamed("node", "least")
+    label = F.unhex(F.lpad(F.hex(F.xxhash64(F.coalesce("root", "least"))), 16, "0"))
+    labelled = classes.join(roots, "least", "left").select(F.concat("fingerprint", label).alias("fingerprint"))
+    links = first.union(near(labelled, 3, "apart"))
+    roots = components(links, "a", "b").withColumnRenamed("node", "least")
+    graded = classes.join(roots, "least", "left").select("fingerprint", F.coalesce("root", "least").alias("component_id"))
+    return prints.join(graded, "fingerprint").select("doc_id", "component_id")

@@ -146,6 +146,49 @@ def test_stages_on_odd_rows(spark, folder, rows):
     assert tokens == mixed
 
 
+def test_near_duplicates_have_the_similarity(spark):
+    """Edited texts of all lengths, a large group of near copies and repeated passages, against brute-force Jaccard."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(5000)]
+
+    def some(n):
+        return [words[k] for k in rng.integers(0, len(words), n)]
+
+    texts = []
+    for length in (8, 12, 16, 40, 100, 300):
+        for _ in range(12):
+            base = some(length)
+            texts.append(base)
+            for edits in (1, 2, 3, 5, 8):
+                if edits < length / 4:
+                    edited = list(base)
+                    for at in rng.choice(length, edits, replace=False):
+                        edited[at] = some(1)[0]
+                    texts.append(edited)
+            texts += [base[: int(length * 0.85)], base + some(max(1, length // 6))]
+    hot = some(60)
+    texts += [[*hot[:k], *some(1), *hot[k + 1 :]] for k in rng.integers(0, 60, 80)]
+    passage = some(12)
+    texts += [passage * 8 + some(30) for _ in range(4)] + [[], some(2)]
+    rows = [(int(i), " ".join(t), "en", "s", 0) for i, t in zip(rng.permutation(len(texts)), texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    sets = {}
+    for i, text, *_ in rows:
+        parts = text.split()
+        sets[i] = {tuple(parts[k : k + 5]) for k in range(max(1, len(parts) - 4))}
+    root, pairs = {i: i for i in sets}, [(a, b) for a in sets for b in sets if a < b]
+    near = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    for _ in range(len(root)):
+        before = dict(root)
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    got = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
+    assert got == {i for i, r in root.items() if i == r} and len(got) < len(rows) - 150
+
+
 def test_empty_tables_pass_through(spark, no_docs, tmp_path):
     path = str(tmp_path)
     no_docs.write.parquet(f"{path}/documents.parquet")
