@@ -51,23 +51,34 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute: its name, and its value in double, single or no quotes.
+ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?|\"[^\"]*\"|'[^']*'")
+#: Words that mark noise inside an article whatever the element holds.
+ADS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense)(?:$|[\s_-])")
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
 
-def _is_noise(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is dropped whole by its name, or by what its class, id or role say."""
+def _is_noise(name: str, attributes: str, in_article: bool) -> bool | None:
+    """Whether an element is dropped whole by its name, or by what its class, id or role say.
+
+    Inside an article these words drop no heading or paragraph, advertisements aside; for other
+    blocks they leave it open (None), and the share of links decides.
+    """
     if name in DROPPED or name == "header" and not in_article:
         return True
-    noise = NOISE if in_article else PAGE_NOISE
     if not attributes or name in ("html", "body", "article", "main"):
         return False
+    found: dict[str, str] = {}
     for key, *values in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), "".join(values).lower()
-        if key in ("class", "id", "role") and noise.search(value):
-            return True
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+        found.setdefault(key.lower(), "".join(values).lower())
+    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
+        return True
+    marks = [found[k] for k in ("class", "id", "role") if k in found]
+    if not in_article:
+        return any(PAGE_NOISE.search(m) for m in marks)
+    if "class" in found and ADS.search(found["class"]):
+        return True
+    return None if name in BLOCKS - PROSE and any(NOISE.search(m) for m in marks) else False
 
 
 class Page:
@@ -82,7 +93,10 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         self._run: list[str] = []
         self._run_node = 0
+        self._suspects: list[int] = []
         self._read(html)
+        if self._suspects:
+            self._drop_suspects()
         n = len(self.parent)
         self.tags, self.link_tags = [0] * n, [0] * n
         for k in range(n - 1, 0, -1):
@@ -93,6 +107,21 @@ class Page:
                 self.tags[p] += self.tags[k] + 1
                 self.link_tags[p] += self.link_tags[k] + (self.names[k] == "a")
 
+    def _drop_suspects(self) -> None:
+        """Leaves out blocks marked as noise inside an article if links make up most of them."""
+        chars, links = self.chars[:], self.link_chars[:]
+        for k in range(len(chars) - 1, 0, -1):
+            chars[self.parent[k]] += chars[k]
+            links[self.parent[k]] += links[k]
+        gone = [False] * len(chars)
+        for k in self._suspects:
+            gone[k] = 2 * links[k] > chars[k]
+        for k in range(1, len(chars)):
+            gone[k] = gone[k] or gone[self.parent[k]]
+            if gone[k]:
+                self.chars[k] = self.link_chars[k] = 0
+        self.blocks = [(k, text) for k, text in self.blocks if not gone[k]]
+
     def _break(self, node: int) -> None:
         """Ends the block that is being read; the next one belongs to ``node``."""
         text = " ".join("".join(self._run).split())
@@ -174,7 +203,10 @@ class Page:
             if not quiet and name in BLOCKS:
                 self._break(node)
             stack.append(node)
-            if not quiet and _is_noise(name, found[4], is_open["article"] + is_open["main"] > 0):
+            noise = not quiet and _is_noise(name, found[4], is_open["article"] + is_open["main"] > 0)
+            if noise is None:
+                self._suspects.append(node)
+            if noise:
                 if self._run and name not in BLOCKS:
                     self._run.append(" ")
                 quiet = len(stack)

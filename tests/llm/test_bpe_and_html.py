@@ -144,3 +144,19 @@ def test_all_pages(spark, small_dir):
     assert len(got) == len(pages)
     for r in got:
         assert r.text == brute_article(pages[r.page_id]) and r.n_chars == len(r.text)
+
+
+def test_article_text_is_not_noise_by_its_attributes():
+    """Names inside other attributes' values, and headings, paragraphs and sections named by common words."""
+    body = "A long paragraph of real article text that goes on for a while and holds no link at all. " * 3
+    page = f"""<html><body><main><p>{body}</p>
+        <p data-hidden="false">first kept</p><p title="the hidden room">second kept</p>
+        <p>A sentence with enough plain words around its two links, so that they are not most of it: <a href="/tours/hidden-gems.html">third kept</a> and <a href="/x?id=search">fourth kept</a></p>
+        <h2 id="related-work">fifth kept</h2><p class="notice">sixth kept</p>
+        <section id="social-impact"><p>seventh kept. {body}</p></section>
+        <div class="related"><a href="/a">gone one</a> <a href="/b">gone two</a></div>
+        <p hidden>gone three</p><div class="ad">gone four</div></main></body></html>"""
+    text = html_density.main_text(page)
+    for word in ("first", "second", "third", "fourth", "fifth", "sixth", "seventh"):
+        assert f"{word} kept" in text
+    assert "gone" not in text
