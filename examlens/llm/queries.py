@@ -14,11 +14,14 @@ from examlens.llm import (
     langid_cnn,
     minhash_bins,
     pareto_mix,
+    piece_rounds,
     pq_dedup,
     preference,
     quality_fm,
     simhash_tiles,
     site_lines,
+    turn_repair,
+    whitening,
 )
 from examlens.llm.common import once
 
@@ -199,3 +202,42 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the boilerplate lines of its source."""
     return site_lines.without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
+
+
+@register("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of every vector."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with planted faults, by the checksum of ``conv_id:turn``, and ``times`` a row stands.
+
+    A missing id or turn is one space in the checksum; a missing role or text becomes one space.
+    """
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    fault = F.crc32(key) % 20
+    text = F.coalesce("text", F.lit(" "))
+    return turns.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("times"),
+    )
+
+
+@register("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every damaged conversation."""
+    repaired = turn_repair.repair(damaged(table(spark, sf_dir, "conversations")), times_col="times")
+    lines = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    digest = F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256")
+    return repaired.select("*", digest).drop("repaired")
+
+
+@register("op13_sentence_pieces")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and of the text they decode to."""
+    model = piece_rounds.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_rounds.encode(table(spark, sf_dir, "documents"), model, digests=True)
