@@ -21,6 +21,7 @@ from examlens.llm import (
     simhash_tiles,
     site_lines,
     turn_repair,
+    turn_repair_sql,
     whitening,
 )
 from examlens.llm.common import once
@@ -227,7 +228,7 @@ def damaged(turns: DataFrame) -> DataFrame:
     )
 
 
-@register("op12_conversation_repair")
+@register("op12_conversation_repair", turn_repair_sql.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and repaired text of every damaged conversation."""
     repaired = turn_repair.repair(damaged(table(spark, sf_dir, "conversations")), times_col="times")

@@ -30,6 +30,7 @@ PRIME, BASE = (1 << 61) - 1, 0x1F3D5B79A1C2E3F1 % ((1 << 61) - 1)
 #: States of the programme, and from which of them a user turn may follow.
 START, SYSTEM, USER, ASSISTANT = range(4)
 BEFORE_USER = (START, SYSTEM, ASSISTANT)
+INITIALS = {SYSTEM: "s", USER: "u", ASSISTANT: "a"}
 #: Conversations that a task turns into one batch of results.
 BATCH = 1024
 
@@ -154,7 +155,7 @@ def cheapest_edits(rows: list[Row], trails: Trails | None = None) -> tuple[int,
             more = TRUNCATED if row.truncated else 0
             moves = [*((k, USER) for k in BEFORE_USER), (USER, ASSISTANT), (START, SYSTEM)]
             for before, after in moves:
-                if row.initial == " sua"[after or 0] or after == SYSTEM and row.initial == "s":
+                if row.initial == INITIALS[after]:
                     offer(new, after, best[before], more, "K")
                 if after != SYSTEM:
                     offer(new, after, best[before], REROLE + more, "R")

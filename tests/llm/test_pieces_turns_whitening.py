@@ -6,6 +6,7 @@ import random
 import zlib
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -280,6 +281,8 @@ def test_repair_equals_the_contract(spark, turns, tmp_path):
     frame.write.parquet(f"{path}/conversations.parquet")
     got = {r.conv_id: tuple(r)[1:] for r in q.op12(spark, path).collect()}
     assert got == told(turns)
+    twin = duckdb.sql(q.ORACLES["op12_conversation_repair"].replace("FROM conversations", f"FROM '{path}/conversations.parquet/*.parquet'"))
+    assert {r[0]: r[1:] for r in twin.fetchall()} == got
 
 
 def test_repaired_turns_are_legal(spark, turns):
