@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from examlens.functions.common import hash32, once
+
 
 def pearson(first: Column, second: Column) -> Column:
     """Pearson r as an aggregate; null when a side is constant (``corr`` would raise)."""
@@ -60,3 +62,58 @@ def two_sided_p(r: Column, n: Column) -> Column:
     )
     mass = F.when(odd, odd_mass).otherwise(sine * series)
     return F.when(df >= 1, 1 - mass)
+
+
+def hashed_uniform(*parts: Column) -> Column:
+    """A number between 0 and 1, never either, from the hash that any engine computes alike."""
+    return (hash32(*parts).cast("double") + 0.5) / float(2**32)
+
+
+#: How far from its mean a binomial is looked at: standard deviations, and steps more. What lies
+#: beyond is less than the distance of two hashed uniforms.
+REACH, MARGIN = 6.5, 8
+
+
+def binomial_quantile(trials: Column, chance: Column, uniform: Column) -> Column:
+    """Least number of successes whose distribution function exceeds ``uniform``.
+
+    Probabilities follow from their neighbours' ratio, within ``REACH`` standard deviations of
+    the mean, so the work grows with the square root of the trials. Where that begins at zero
+    successes the first probability is known; elsewhere all are summed first. ``chance`` lies
+    strictly between 0 and 1.
+    """
+
+    def found(b: Column) -> Column:
+        ks = F.when(b["high"] > b["low"], F.sequence(b["low"], b["high"] - 1)).otherwise(F.array().cast("array<bigint>"))
+
+        def next_weight(s: Column, k: Column) -> Column:
+            return s["w"] * (b["n"] - k).cast("double") / (k + 1).cast("double") * b["odds"]
+
+        def add(s: Column, k: Column) -> Column:
+            return F.struct(next_weight(s, k).alias("w"), (s["t"] + next_weight(s, k)).alias("t"))
+
+        first = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("t"))
+        total = F.when(b["low"] == 0, F.pow(1 - b["p"], -b["n"])).otherwise(F.aggregate(ks, first, add, lambda s: s["t"]))
+
+        def pass_by(target: Column) -> Column:
+            def step(s: Column, k: Column) -> Column:
+                below = F.when(s["t"] <= target, s["c"] + 1).otherwise(s["c"])
+                w = next_weight(s, k)
+                return F.struct(w.alias("w"), (s["t"] + w).alias("t"), below.alias("c"))
+
+            counted = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("t"), F.lit(0).cast("bigint").alias("c"))
+            return F.aggregate(ks, counted, step, lambda s: s["c"])
+
+        return b["low"] + once(b["u"] * total, pass_by)
+
+    mean = trials * chance
+    reach = REACH * F.sqrt(mean * (1 - chance)) + MARGIN
+    bounds = F.struct(
+        trials.alias("n"),
+        chance.alias("p"),
+        (chance / (1 - chance)).alias("odds"),
+        uniform.alias("u"),
+        F.greatest(F.floor(mean - reach), F.lit(0)).cast("bigint").alias("low"),
+        F.least(F.ceil(mean + reach), trials).cast("bigint").alias("high"),
+    )
+    return once(bounds, found)

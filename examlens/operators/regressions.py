@@ -22,6 +22,7 @@ from examlens.operators.bootstrap import (
     cluster_draws,
     interval,
     item_draws,
+    row_correlation_interval,
 )
 from examlens.operators.moments import (
     Fit,
@@ -386,9 +387,9 @@ def iid_correlation_interval(
     seed: int,
     repetitions: int = REPETITIONS,
 ) -> DataFrame:
-    """Row bootstrap of a Pearson correlation: every (year, exam) row is its own cluster."""
-    keyed = frame.withColumn("_row", F.concat_ws("|", F.format_string("%05d", "year"), "exam"))
-    return pearson_intervals(keyed, by, "_row", seed, repetitions, columns)
+    """Row bootstrap of a Pearson correlation: every (year, exam) row is drawn by itself."""
+    keyed = frame.withColumn("_year", F.format_string("%05d", "year"))
+    return row_correlation_interval(keyed, by, columns, ["_year", "exam"], seed, repetitions)
 
 
 def per_grade_correlations(

@@ -165,7 +165,7 @@ def oracle(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
         visit(name)
     parts = [f"{name} AS ({TABLES[name][1]})" for name in ordered]
     parts += [f"{name} AS ({sql})" for name, sql in (extra or {}).items()]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
 def rounded(*names: str, digits: int = 6) -> str:

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from examlens.operators import checks, describe, moments, panel as panels, regressions as reg
+from examlens.operators.bootstrap import row_correlation_interval
 from examlens.operators.scoring import score_attempts
 from examlens.plans import adapters as a
 from examlens.plans.oracle_stats import (
     bounds,
     draws_sql,
+    item_draws_sql,
     eliminate,
     moments_sql,
     pair,
+    pairs,
+    poisson_sql,
     samples,
 )
 from examlens.plans.oracle_tables import oracle, rounded
@@ -379,9 +383,7 @@ def e19_slices(spark, sf_dir):
 @register(
     "e7_iid_correlation_ci",
     oracle(
-        f"""SELECT exam, series, {bounds('r', 'pearson_r')}, {samples('r')}
-            FROM (SELECT exam, series, rep, {_T_CORR.replace('human_pct', 'human_difficulty').replace('model_pct', 'model_difficulty')} AS r FROM m)
-            GROUP BY exam, series""",
+        f"SELECT exam, series, {bounds('r', 'pearson_r')}, {samples('r')} FROM p GROUP BY exam, series",
         "scores",
         "human",
         extra={
@@ -390,11 +392,7 @@ def e19_slices(spark, sf_dir):
                            human_difficulty, reference_difficulty AS model_difficulty FROM comparison
                     UNION ALL SELECT printf('%05d', year) || '|' || exam, exam, 'ensemble',
                            human_difficulty, ensemble_difficulty FROM comparison""",
-            "draws": draws_sql("d", "k", 3000, ["exam", "series"]),
-            "m": moments_sql(
-                "d", ["human_difficulty", "model_difficulty"], ["exam", "series"], None,
-                cluster="k", draw_keys=["exam", "series"],
-            ),
+            "p": poisson_sql("d", "exam, series", "k", "human_difficulty", "model_difficulty", 3000),
         },
     ),
 )
@@ -409,6 +407,24 @@ def e7(spark, sf_dir):
     )
 
 
+_FACT_REPETITIONS = 40
+
+
+@register(
+    "e7_fact_row_bootstrap",
+    f"""WITH p AS ({poisson_sql('lineitem', 'l_returnflag', "l_orderkey || '|' || l_linenumber", 'l_quantity', 'l_extendedprice', 3100, _FACT_REPETITIONS)})
+        SELECT l_returnflag, {bounds('r', 'pearson_r')}, {samples('r')} FROM p GROUP BY l_returnflag""",
+)
+def e7_fact(spark, sf_dir):
+    """Row bootstrap of price against quantity over all order lines."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return round_doubles(
+        row_correlation_interval(
+            lines, ["l_returnflag"], ("l_quantity", "l_extendedprice"), ["l_orderkey", "l_linenumber"], 3100, _FACT_REPETITIONS
+        )
+    )
+
+
 # --- calibration, early/late, headline statistics --------------------------------------------
 
 _LONG_DIFFICULTY = """SELECT year, exam, 'reference' AS series, human_difficulty AS h,
@@ -978,6 +994,17 @@ def e16_trend(spark, sf_dir):
 
 
 _PERIOD_START = 14
+_PERIOD_TABLES = {
+    "e": f"""SELECT *, later * model_pct AS model_x_later FROM (SELECT *, (year >= {_PERIOD_START})::INT::DOUBLE AS later,
+             CASE WHEN year < {_PERIOD_START} THEN 'before {_PERIOD_START}'
+                  ELSE '{_PERIOD_START} onward' END AS period
+             FROM panel WHERE series = 'ensemble')""",
+    "pdraws": draws_sql("e", "year", 6430, ["period"]),
+    "mp": moments_sql("e", ["human_pct", "model_pct"], ["period"], "exam", "pdraws", draw_keys=["period"]),
+    "draws": draws_sql("e", "year", 6430),
+    "mi": moments_sql("e", ["human_pct", "model_pct", "later", "model_x_later"], [], "exam"),
+    **_two_way_sql("e", [], "model_pct", "human_pct"),
+}
 
 
 @register(
@@ -997,15 +1024,7 @@ _PERIOD_START = 14
             GROUP BY "check", units""",
         "panel",
         extra={
-            "e": f"""SELECT *, later * model_pct AS model_x_later FROM (SELECT *, (year >= {_PERIOD_START})::INT::DOUBLE AS later,
-                     CASE WHEN year < {_PERIOD_START} THEN 'before {_PERIOD_START}'
-                          ELSE '{_PERIOD_START} onward' END AS period
-                     FROM panel WHERE series = 'ensemble')""",
-            "pdraws": draws_sql("e", "year", 6430, ["period"]),
-            "mp": moments_sql("e", ["human_pct", "model_pct"], ["period"], "exam", "pdraws", draw_keys=["period"]),
-            "draws": draws_sql("e", "year", 6430),
-            "mi": moments_sql("e", ["human_pct", "model_pct", "later", "model_x_later"], [], "exam"),
-            **_two_way_sql("e", [], "model_pct", "human_pct"),
+            **_PERIOD_TABLES,
         },
     ),
 )
@@ -1015,7 +1034,103 @@ def e16_periods(spark, sf_dir):
     )
 
 
-@register("e16_exposure_checks")
+_RECENT_KEYS = "after_cutoff, subtype, exam, points_tier"
+_GAP_NAMES = ["after_cutoff", *_DUMMIES, "outcome"]
+
+
+def _gap_tables(model: str | None, seed: int) -> dict[str, str]:
+    """The draws over the design cells of the recent items and their moments, as table ``gm``."""
+    where = f"AND model = '{model}'" if model else ""
+    return {
+        "recent": f"""SELECT model, (year = 26)::INT::DOUBLE AS after_cutoff, subtype, exam, points_tier,
+                correct AS outcome, count(*)::BIGINT AS _n FROM controls WHERE year >= {_PERIOD_START} {where} GROUP BY ALL""",
+        **item_draws_sql("recent", "model", f"{_RECENT_KEYS}, outcome", seed),
+        "sampled": f"""SELECT model, rep, after_cutoff, {_DUMMY_COLUMNS}, sum(weight) AS w,
+                sum(weight * outcome) / sum(weight) AS outcome
+                FROM drawn JOIN placed USING (model, idx) GROUP BY model, rep, {_RECENT_KEYS} HAVING sum(weight) > 0""",
+        "gm": f"""SELECT model, rep, {', '.join(f'sq_{pair(x, y)} - s_{x} * s_{y} / n AS t_{pair(x, y)}' for x, y in pairs(_GAP_NAMES))}
+                FROM (SELECT model, rep, sum(w) AS n, {', '.join(f'sum(w * {c}) AS s_{c}' for c in _GAP_NAMES)},
+                      {', '.join(f'sum(w * {x} * {y}) AS sq_{pair(x, y)}' for x, y in pairs(_GAP_NAMES))}
+                      FROM sampled GROUP BY model, rep)""",
+    }
+
+
+def _gap_sql() -> str:
+    fit = eliminate("gm", ["model", "rep"], "t", _GAP_NAMES, _DUMMIES)
+    return f"""SELECT model, {bounds('c', 'estimate')}, {samples('c')} FROM (SELECT model, rep,
+        100 * e_{pair('after_cutoff', 'outcome')} / e_after_cutoff__after_cutoff AS c FROM ({fit})) GROUP BY model"""
+
+
+_PERIOD_CHECKS = f"""SELECT 'Grade-FE association, contests ' || period AS check, rep,
+                     10 * w_human_pct__model_pct / w_model_pct__model_pct AS b FROM mp
+              UNION ALL SELECT 'Grade + year FE association, all contests', rep, 10 * w_x__y / w_x__x FROM m2
+              UNION ALL SELECT 'Change in grade-FE association from {_PERIOD_START} on (interaction)', rep,
+                     10 * e_human_pct__model_x_later / e_model_x_later__model_x_later
+              FROM ({eliminate('mi', ['rep'], 'w', ['human_pct', 'model_pct', 'later', 'model_x_later'], ['model_pct', 'later'])})"""
+_REMOVAL_DUMMIES, _REMOVAL_COLUMNS = _dummy_sql({name: _FACTORS[name] for name in ("exam", "points_tier")})
+
+
+def _cells_sql(source: str, value: str, dummies: str) -> str:
+    return f"""SELECT model, year, decade, {dummies}, count(*)::DOUBLE AS w, avg({value}) AS {value}
+        FROM {source} GROUP BY model, year, decade, subtype, exam, points_tier"""
+
+
+def _trend_tables(prefix: str, source: str, value: str, dummies: list[str], columns: str, seed: int) -> dict[str, str]:
+    return {
+        f"{prefix}cells": _cells_sql(source, value, columns),
+        f"{prefix}draws": draws_sql(f"{prefix}cells", "year", seed, ["model"]),
+        f"{prefix}m": moments_sql(
+            f"{prefix}cells", ["decade", *dummies, value], ["model"], None, f"{prefix}draws", draw_keys=["model"], weight="w"
+        ),
+    }
+
+
+def _check_sql(check: str, estimates: str, source: str) -> str:
+    return f"""SELECT '{check}' AS check, model AS series, units, estimate, estimate_ci_low, estimate_ci_high, 'pp' AS unit
+        FROM ({estimates}) JOIN (SELECT model, count(*) AS units FROM {source} GROUP BY model) USING (model)"""
+
+
+_RECENT = f"(SELECT model FROM controls WHERE year >= {_PERIOD_START} AND model = '{a.REFERENCE_MODEL}')"
+
+
+@register(
+    "e16_exposure_checks",
+    oracle(
+        " UNION ALL ".join(
+            [
+                _check_sql("Accuracy per later decade, at equal composition", _trend_sql("", "model", _DUMMIES, "correct", "tm"), "controls"),
+                _check_sql(
+                    f"Accuracy on 26 minus {_PERIOD_START}-25 items, at equal composition (item bootstrap)", _gap_sql(), _RECENT
+                ),
+                _check_sql(
+                    "Image-removal effect per later decade",
+                    _trend_sql("", "model", _REMOVAL_DUMMIES, "removal_effect", "rm"),
+                    "removal",
+                ),
+                f"""SELECT "check", 'ensemble' AS series, units, {bounds('b', 'estimate')}, 'per 10 pp model %max' AS unit
+                    FROM ({_PERIOD_CHECKS}) JOIN (SELECT unnest(['Grade-FE association, contests ' || period,
+                        'Grade + year FE association, all contests',
+                        'Change in grade-FE association from {_PERIOD_START} on (interaction)']) AS check,
+                        count(*) AS units FROM e GROUP BY 1) USING ("check") GROUP BY "check", units""",
+            ]
+        ),
+        "scored",
+        "scored_blind",
+        "panel",
+        extra={
+            "controls": _CONTROLS_SQL,
+            **_trend_tables("t", "controls", "correct", _DUMMIES, _DUMMY_COLUMNS, 6400),
+            **_gap_tables(a.REFERENCE_MODEL, 6410),
+            "removal": """SELECT b.*, b.answered_correctly::INT::DOUBLE - f.answered_correctly::INT::DOUBLE AS removal_effect,
+                    b.year / 10.0::DOUBLE AS decade,
+                    (b.has_associated_image::INT)::VARCHAR || (b.has_option_image::INT)::VARCHAR AS subtype,
+                    b.question_points::INT::VARCHAR AS points_tier
+                    FROM scored_blind b JOIN scored f USING (model, item_id)""",
+            **_trend_tables("r", "removal", "removal_effect", _REMOVAL_DUMMIES, _REMOVAL_COLUMNS, 6420),
+            **_PERIOD_TABLES,
+        },
+    ),
+)
 def e16(spark, sf_dir):
     """All exposure checks as one table, with the removal effect of the blind run."""
     blind = score_attempts(a.blind_attempts(spark, sf_dir), a.items(spark, sf_dir))
@@ -1033,7 +1148,15 @@ def e16(spark, sf_dir):
     )
 
 
-@register("e10_cutoff_gap_item_bootstrap")
+@register(
+    "e10_cutoff_gap_item_bootstrap",
+    oracle(
+        f"""SELECT g.*, units FROM ({_gap_sql()}) g JOIN (SELECT model, sum(_n)::BIGINT AS units FROM recent GROUP BY model)
+            USING (model)""",
+        "scored",
+        extra={"controls": _CONTROLS_SQL, **_gap_tables(None, 6410)},
+    ),
+)
 def e10(spark, sf_dir):
     cells = _cells(spark, sf_dir)
     return round_doubles(reg.cutoff_gap(cells, ["model"], 26, _PERIOD_START, _FACTORS))

@@ -9,7 +9,7 @@ from examlens.operators import bootstrap, later_runs, options, scoring
 from examlens.plans import adapters as a
 from examlens.plans import oracle_runs  # noqa: F401  (adds its tables)
 from examlens.plans.oracle_runs import mapping_sql
-from examlens.plans.oracle_stats import bounds, draws_sql, moments_sql
+from examlens.plans.oracle_stats import bounds, draws_sql, item_draws_sql, moments_sql, samples
 from examlens.plans.oracle_tables import oracle, rounded
 from examlens.plans.queries_forecast import _change_sql, _errors_sql, _shared_sql
 from examlens.operators.forecast import FORECASTS
@@ -71,7 +71,26 @@ def g21(spark, sf_dir):
     )
 
 
-@register("e9_paired_difference_ci")
+def _difference_sql(keys: str, seed: int) -> tuple[str, dict[str, str]]:
+    """Item-bootstrap interval of the accuracy difference of the paired rows ``p``."""
+    tables = {
+        "cells_": f"""SELECT {keys}, answered_correctly_second::INT - answered_correctly_first::INT AS difference,
+                count(*) AS _n FROM p GROUP BY ALL""",
+        **item_draws_sql("cells_", keys, "difference", seed),
+    }
+    body = f"""SELECT {keys}, {bounds('m', 'difference_pp')}, {samples('m')} FROM (
+            SELECT {keys}, rep, 100 * sum(weight * difference) / sum(weight) AS m
+            FROM drawn JOIN placed USING ({keys}, idx) GROUP BY {keys}, rep) GROUP BY {keys}"""
+    return body, tables
+
+
+_DIFFERENCE_BODY, _DIFFERENCE_TABLES = _difference_sql("comparison, model", 5500)
+
+
+@register(
+    "e9_paired_difference_ci",
+    oracle(_DIFFERENCE_BODY, "scored", "scored_repeat", "scored_blind", extra={**_PAIRS, **_DIFFERENCE_TABLES}),
+)
 def e9(spark, sf_dir):
     return round_doubles(
         ag.difference_interval(comparison_pairs(spark, sf_dir), ["comparison", "model"], 5500)
@@ -425,7 +444,15 @@ def i18(spark, sf_dir):
     return options.shuffle_audit(options.option_mapping(shuffled_texts(spark, sf_dir)))
 
 
-@register("e9_subset_difference_ci")
+_SUBSET_BODY, _SUBSET_TABLES = _difference_sql("subset, first, second", 7300)
+
+
+@register(
+    "e9_subset_difference_ci",
+    oracle(
+        _SUBSET_BODY, "later_base", "order_mapping", extra={"r": _RUN_PAIRS_SQL, "p": _SUBSETS_SQL, **_SUBSET_TABLES}
+    ),
+)
 def e9_subsets(spark, sf_dir):
     placed = run_pairs(spark, sf_dir).join(
         a.order_mapping(spark, sf_dir).select(
