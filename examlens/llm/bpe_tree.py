@@ -199,12 +199,13 @@ class Coder:
 
 
 def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, decoded: bool = False
 ) -> DataFrame:
     """``doc_id, n_tokens, ids`` per document (ids as an array of integers); no shuffle.
 
     With ``digests`` the ids are decoded again, and the columns ``ids_sha256`` (of the ids as
-    little-endian unsigned 32-bit numbers) and ``decoded_sha256`` replace ``ids``. A missing
+    little-endian unsigned 32-bit numbers) and ``decoded_sha256`` replace ``ids``; with ``decoded``
+    the ids stay and ``decoded_sha256``, of the bytes they decode to, stands beside them. A missing
     text is empty and has no tokens. Rows are independent: repeated rows stay, other columns are
     not read. The vocabulary, some 50,000 entries, is broadcast; batches are cut by their bytes.
     """
@@ -220,14 +221,16 @@ def encode(
                 blobs = [coder.encode(t.as_py()) for t in b.column("text")]
                 counts = pa.array([len(x) // 4 for x in blobs], pa.int64())
                 if digests:
-                    back = [hashlib.sha256(coder.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in blobs]
-                    more = [pa.array([hashlib.sha256(x).hexdigest() for x in blobs], pa.string()), pa.array(back, pa.string())]
-                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    more, names = [pa.array([hashlib.sha256(x).hexdigest() for x in blobs], pa.string())], ["ids_sha256"]
                 else:
                     ends = np.cumsum([0, *(len(x) // 4 for x in blobs)]).astype(np.int32)
                     values = pa.array(np.frombuffer(b"".join(blobs), "<u4").astype(np.int32))
-                    more, names = [pa.ListArray.from_arrays(ends, values)], ["doc_id", "n_tokens", "ids"]
+                    more, names = [pa.ListArray.from_arrays(ends, values)], ["ids"]
+                if digests or decoded:
+                    back = [hashlib.sha256(coder.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in blobs]
+                    more, names = [*more, pa.array(back, pa.string())], [*names, "decoded_sha256"]
+                names = ["doc_id", "n_tokens", *names]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), counts, *more], names=names)
 
-    kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
+    kinds = ("ids_sha256 string" if digests else "ids array<int>") + ", decoded_sha256 string" * (digests or decoded)
     return slim.mapInArrow(coded, f"doc_id {ids}, n_tokens long, {kinds}")

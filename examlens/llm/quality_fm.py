@@ -177,7 +177,8 @@ def fit(
 
     ``metadata`` names numeric columns that join the statistics. Whole texts become sparse
     vectors on the executors; the driver receives ``train_rows`` vectors of at most ``BUCKETS``
-    entries. Documents that share an id all take part, in the order of their content.
+    entries. Ids may be of any type; documents that share an id all take part, in the order of their
+    content.
     """
     slim = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -191,16 +192,16 @@ def fit(
             for i, label, text, extra in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "text", "extra"))):
                 part, stats = features(text, extra)
                 at = np.flatnonzero(part)
-                out.append((i, label, at.astype(np.int32).tobytes(), part[at].tobytes(), stats.tobytes()))
+                out.append((str(i), label, at.astype(np.int32).tobytes(), part[at].tobytes(), stats.tobytes()))
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), *[pa.binary()] * 3))],
+                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), *[pa.binary()] * 3))],
                 names=["doc_id", "label", "at", "value", "stats"],
             )
 
     rows = (
         training_rows(slim, labels, id_col, label_col, train_rows)
-        .mapInArrow(vectors, "doc_id long, label double, at binary, value binary, stats binary")
+        .mapInArrow(vectors, "doc_id string, label double, at binary, value binary, stats binary")
         .collect()
     )
     rows.sort(key=lambda r: (r.doc_id, r.label, bytes(r.stats), bytes(r["at"])))

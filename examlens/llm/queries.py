@@ -26,6 +26,9 @@ from examlens.llm import (
 )
 from examlens.llm.common import once
 
+#: Columns besides the text that the quality classifier may see.
+METADATA = ("n_chars",)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -46,9 +49,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @register("op1_quality_classifier")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality score of every document; the model sees texts and labels only."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_fm.score(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels")))
+    """Quality score of every document; the model sees texts, their length column and labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = quality_fm.fit(docs, table(spark, sf_dir, "labels"), metadata=METADATA)
+    return quality_fm.score(docs, machine, metadata=METADATA)
 
 
 @register("op2_document_fingerprints")

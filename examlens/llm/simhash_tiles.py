@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ TILE_ROWS, MAX_TILES = 16_384, 512
 BLOCK = 512
 #: Edges that a task holds before it reduces them to a forest.
 EDGES = 4_000_000
+#: Sets compared at once, columns of their 0/1 matrices, and bytes of hashes in a tile of sets.
+SETS, COLUMNS, TILE_BYTES = 512, 8192, 1 << 24
 #: Fixed multiplier and shifts of a 64-bit mixer, for further words of a fingerprint.
 MIX, SHIFTS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), (30, 27, 31)
 GOLDEN = 0x9E3779B97F4A7C15
@@ -84,8 +87,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _blocks(
     left: np.ndarray, right: np.ndarray, radius: int, whole_radius: int, same: bool, parts: int
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of two sorted tiles within the radius and their distances, a pair of blocks at a time.
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of two sorted tiles within the radius, a pair of blocks at a time.
 
     The first ``parts`` columns are the words of the fingerprints. Blocks of rows whose population
     counts (of both halves of the first word) leave more than the radius between them are skipped.
@@ -104,45 +107,24 @@ def _blocks(
             x, y = x + s.start, y + t.start
             if same:
                 x, y = x[x < y], y[x < y]
-            total = np.bitwise_count(left[x, 0] ^ right[y, 0]).astype(int)
-            for k in range(1, parts):
-                total += np.bitwise_count(left[x, k] ^ right[y, k])
             if parts > 1:
-                near = total <= whole_radius
-                x, y, total = x[near], y[near], total[near]
+                total = np.bitwise_count(left[x, 0] ^ right[y, 0]).astype(int)
+                for k in range(1, parts):
+                    total += np.bitwise_count(left[x, k] ^ right[y, k])
+                x, y = x[total <= whole_radius], y[total <= whole_radius]
             if len(x):
-                yield x, y, total
-
-
-def _near(left: np.ndarray, right: np.ndarray, radius: int, whole_radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of two sorted tiles within the radius; all columns are words of the fingerprints."""
-    found = [(x, y) for x, y, _ in _blocks(left, right, radius, whole_radius, same, left.shape[1])]
-    empty = np.zeros(0, int)
-    return np.concatenate([empty, *(x for x, _ in found)]), np.concatenate([empty, *(y for _, y in found)])
-
-
-def _spanning(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the edges, a forest of least weight that joins the same rows; ties fall by chance, not to one hub."""
-    order = np.lexsort((np.random.default_rng(3).random(len(left)), weight))
-    left, right, weight = left[order], right[order], weight[order]
-    label, chosen, open_ = np.arange(n), [], np.arange(len(left))
-    while True:
-        a, b = label[left[open_]], label[right[open_]]
-        apart = a != b
-        open_, a, b = open_[apart], a[apart], b[apart]
-        if not len(open_):
-            break
-        best = np.full(n, len(open_))
-        for side in (a, b):
-            np.minimum.at(best, side, np.arange(len(open_)))
-        pick = np.unique(best[best < len(open_)])
-        chosen.append(open_[pick])
-        child, parent = forest(n, a[pick], b[pick])
-        moved = np.arange(n)
-        moved[child] = parent
-        label = moved[label]
-    kept = np.concatenate([np.zeros(0, int), *chosen])
-    return left[kept], right[kept], weight[kept]
+                yield x, y
+
+
+def _joined(n: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A forest that joins the rows that the found pairs join; holds ``EDGES`` pairs and a block's at most."""
+    kept, wait, waiting = (np.zeros(0, int), np.zeros(0, int)), [], 0
+    for x, y in found:
+        wait.append((x, y))
+        waiting += len(x)
+        if waiting > EDGES:
+            kept, wait, waiting = forest(n, *map(np.concatenate, zip(kept, *wait))), [], 0
+    return forest(n, *map(np.concatenate, zip(kept, *wait)))
 
 
 def _words(raw: bytes, parts: int) -> np.ndarray:
@@ -156,13 +138,10 @@ def near_links(
     whole_radius: int = 0,
     tile_rows: int = TILE_ROWS,
     extra: int = 0,
-    pairs_of: str = "forest",
 ) -> DataFrame:
     """``left, right`` fingerprints: a forest that joins all fingerprints within the radius.
 
-    Fingerprints may be followed by ``extra`` 64-bit words that do not count as distance. With
-    ``pairs_of="near"`` every edge of the forest is itself a pair within the radius, the nearest
-    that join the rows; ``pairs_of="apart"`` gives all pairs whose last words differ.
+    Fingerprints may be followed by ``extra`` 64-bit words that do not count as distance.
 
     ``prints`` holds distinct fingerprints. Their population counts, at most 33 * 33 numbers,
     go to the driver, which cuts the sorted order into tiles of about equal size (a count that
@@ -222,37 +201,18 @@ def near_links(
         .repartition(max(1, min(len(pairs), max(4 * spark.sparkContext.defaultParallelism, len(pairs) // 8))))
     )
 
-    def chosen(left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Rows of both tiles, the right ones numbered after the left ones, that are linked."""
-        n, shift = (len(left), 0) if same else (len(left) + len(right), len(left))
-        if pairs_of == "forest":
-            i, j = _near(left[:, :parts], right[:, :parts], radius, whole_radius, same)
-            yield forest(n, i, j + shift)
-            return
-        kept = [np.zeros(0, int)] * 3
-        wait, waiting = [], 0
-        for x, y, total in _blocks(left, right, radius, whole_radius, same, parts):
-            if pairs_of == "apart":
-                other = left[x, -1] != right[y, -1]
-                yield x[other], y[other] + shift
-                continue
-            wait.append((x, y + shift, total))
-            waiting += len(x)
-            if waiting > EDGES:
-                kept, wait, waiting = _spanning(n, *map(np.concatenate, zip(kept, *wait))), [], 0
-        if pairs_of == "near":
-            yield _spanning(n, *map(np.concatenate, zip(kept, *wait)))[:2]
-
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 a, b, x, y = (batch.column(c)[k].as_py() for c in ("a", "b", "left_rows", "right_rows"))
                 left, right = _words(x, parts + extra), _words(y, parts + extra)
                 raw = (left if a == b else np.concatenate([left, right])).astype(">u8")
-                for ends in chosen(left, right, a == b):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([raw[r].tobytes() for r in side], pa.binary()) for side in ends], names=["left", "right"]
-                    )
+                shift = 0 if a == b else len(left)
+                pairs = ((i, j + shift) for i, j in _blocks(left, right, radius, whole_radius, a == b, parts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([raw[r].tobytes() for r in side], pa.binary()) for side in _joined(len(raw), pairs)],
+                    names=["left", "right"],
+                )
 
     return jobs.mapInArrow(compared, "left binary, right binary")
 
@@ -315,58 +275,155 @@ def _sets(docs: DataFrame, words: int, parts: int, whole: bool) -> DataFrame:
     return slim.mapInArrow(hashed, f"doc_id {ids}, fingerprint binary" + ", shingles binary" * whole)
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, parts: int, least: float) -> DataFrame:
-    """``a, b``: least ids of those pairs of classes whose sets of shingles have the similarity.
-
-    Texts are read again, one for each class that stands in a pair.
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes every two sets share: products of 0/1 matrices, some columns at a time."""
+    flat = [np.concatenate(side) if side else np.zeros(0, np.uint64) for side in (left, right)]
+    rows = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    known, at = np.unique(np.concatenate(flat), return_inverse=True)
+    places = [at[: len(flat[0])], at[len(flat[0]) :]]
+    both = np.bincount(places[0], minlength=len(known)).astype(bool) & np.bincount(places[1], minlength=len(known)).astype(bool)
+    column = np.cumsum(both) - 1
+    total = np.zeros((len(left), len(right)), np.float64)
+    sorted_sides = []
+    for r, c in zip(rows, places):
+        r, c = r[both[c]], column[c[both[c]]]
+        order = np.argsort(c, kind="stable")
+        sorted_sides.append((r[order], c[order]))
+    for low in range(0, int(both.sum()), COLUMNS):
+        dense = []
+        for (r, c), side in zip(sorted_sides, (left, right)):
+            a, b = np.searchsorted(c, [low, low + COLUMNS])
+            matrix = np.zeros((len(side), COLUMNS), np.float32)
+            matrix[r[a:b], c[a:b] - low] = 1
+            dense.append(matrix)
+        total += dense[0] @ dense[1].T  # whole numbers up to COLUMNS are exact
+    return total
+
+
+def similar_forest(sets: list[np.ndarray], least: float, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A forest that joins the sets whose Jaccard similarity is ``least`` at least.
+
+    With ``first``, only pairs of one of the first so many sets and one of the others count. Every
+    pair is compared unless its sizes rule it out or links that were found join it already: before
+    all others, sets are compared with the first of their block, which joins most of a group of
+    near copies.
     """
-    ends = pairs.select(F.col("left").alias("fingerprint")).union(pairs.select("right")).distinct()
-    named = classes.join(ends, "fingerprint", "left_semi")
-    texts = docs.select("doc_id", "text").join(named.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = _sets(texts, words, parts, True).dropDuplicates(["fingerprint"])
-    sets = written(sets.join(named, "fingerprint").select("fingerprint", "least", "shingles"), "shingles")
-    ids = classes.schema["least"].dataType.simpleString()
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both / max(1, len(x) + len(y) - both) >= least)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+    n = len(sets)
+    size = np.array([len(x) for x in sets], float)
+    sides = (np.arange(n), np.arange(n)) if first is None else (np.arange(first), np.arange(first, n))
+    cut = [[side[np.argsort(size[side], kind="stable")][i : i + SETS] for i in range(0, len(side), SETS)] for side in sides]
+    label = np.arange(n)
+
+    def compare(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal label
+        if min(size[x].max(), size[y].max()) < least * max(size[x].min(), size[y].min()):
+            return
+        if label[x].min() == label[x].max() == label[y].min() == label[y].max():
+            return
+        shared = _shared_counts([sets[k] for k in x], [sets[k] for k in y])
+        whole = size[x][:, None] + size[y] - shared
+        i, j = np.nonzero(shared >= least * np.maximum(whole, 1))
+        linked, root = forest(n, np.append(x[i], np.arange(n)), np.append(y[j], label))
+        label = np.arange(n)
+        label[linked] = root
+
+    for a in cut[0]:
+        for b in cut[1]:
+            compare(a[:1], b)
+    for a in cut[0]:
+        for b in cut[1]:
+            if first is not None or a[0] <= b[0] or size[a[0]] != size[b[0]]:
+                compare(a, b)
+    linked = np.flatnonzero(label != np.arange(n))
+    return linked, label[linked]
+
+
+def _similar(groups: DataFrame, docs: DataFrame, words: int, parts: int, least: float, tile_bytes: int) -> DataFrame:
+    """``a, b``: a forest of links between texts of one candidate group that have the similarity.
+
+    ``groups`` has ``least`` (the id whose text stands for a class of equal sets) and ``root`` of
+    every class that has a candidate. Texts are read again, one for each class. Groups share tiles
+    of about ``tile_bytes`` of hashes; a larger group is dealt to several tiles, which are compared
+    pair by pair. A task holds two tiles, and returns no more links than it has sets.
+    """
+    ids = groups.schema["least"].dataType.simpleString()
+    texts = docs.select("doc_id", "text").join(groups.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
+    # rows that repeat an id may differ in text: the one whose set is the class's is among them
+    sets = _sets(texts, words, parts, True).join(groups.withColumnRenamed("fingerprint", "_f"), F.col("doc_id") == F.col("least"))
+    sets = sets.where(F.col("fingerprint") == F.col("_f")).dropDuplicates(["fingerprint"]).select("root", "least", "shingles")
+    sets = written(sets, "shingles")
+    sizes = sets.groupBy("root").agg(F.sum(F.octet_length("shingles") + 64).alias("bytes"))
+    sizes = written(sizes.withColumn("tiles", F.ceil(F.col("bytes") / tile_bytes).cast("int")), "groups")
+    small = sizes.where("tiles = 1").agg(F.sum("bytes")).first()[0] or 0
+    bins = max(1, -(-small // tile_bytes))
+    own = F.pmod(F.xxhash64("least"), F.col("tiles")).cast("int")
+    placed = sets.join(sizes.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root")).select(
+        "root", "least", "shingles", "tiles", own.alias("own"), F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).alias("bin")
+    )
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
+        F.when(F.col("bin").isNull(), F.col("root")).alias("hot"),
+        F.col("bin"),
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
+        "root",
+        "least",
+        "shingles",
+        "own",
+    )
 
-    sides = [sets.select(F.col("fingerprint").alias(k), F.col("least").alias(i), F.col("shingles").alias(v)) for k, i, v in ("lax", "rby")]
-    joined = pairs.select(F.col("left").alias("l"), F.col("right").alias("r")).join(sides[0], "l").drop("l").join(sides[1], "r")
-    return joined.select("a", "b", "x", "y").mapInArrow(checked, f"a {ids}, b {ids}")
+    def checked(key: tuple, table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(v, np.uint64) for v in table.column("shingles").to_pylist()]
+        names = table.column("least")
+        # rows of the first tile come first; of a shared tile, rows of one group together
+        root = pa.compute.dictionary_encode(table.column("root").combine_chunks()).indices.to_numpy()
+        order = np.lexsort((table.column("own").to_numpy(), root))
+        ends = np.append(np.flatnonzero(np.diff(root[order])) + 1, len(order))
+        links, begin = [], 0
+        across = key[2].as_py() != key[3].as_py()
+        for end in ends.tolist():
+            rows = order[begin:end]
+            begin = end
+            if len(rows) < 2:
+                continue
+            first = int((table.column("own").to_numpy()[rows] == key[2].as_py()).sum()) if across else None
+            a, b = similar_forest([sets[k] for k in rows], least, first)
+            links.append((rows[a], rows[b]))
+        sides = [np.concatenate([np.zeros(0, int), *side]) for side in (zip(*links) if links else ([], []))]
+        return pa.table({"a": names.take(pa.array(sides[0])), "b": names.take(pa.array(sides[1]))})
+
+    return dealt.groupBy("hot", "bin", "i", "j").applyInArrow(checked, f"a {ids}, b {ids}")
 
 
 def near_duplicates(
-    docs: DataFrame, words: int, least: float, radius: int, parts: int, whole_radius: int, tile_rows: int = TILE_ROWS
+    docs: DataFrame,
+    words: int,
+    least: float,
+    radius: int,
+    parts: int,
+    whole_radius: int,
+    tile_rows: int = TILE_ROWS,
+    tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
     """``doc_id, component_id``: texts linked by the similarity of their sets of shingles.
 
-    Fingerprints only find the candidates, as in ``groups``; a link is a pair of texts whose
-    Jaccard similarity, counted over 64-bit hashes of the shingles, is ``least`` at least. Texts
-    with the same set are one node. First the nearest candidates that would join all are checked,
-    as many as there are nodes at most; then every candidate pair that these links leave in
-    different components. So a large group of near copies does not become all its pairs. Rows
-    without an id must not be among ``docs``.
+    Fingerprints only find the candidates, as in ``groups``: they are joined to candidate groups.
+    A link is a pair of texts of one group whose Jaccard similarity, counted over 64-bit hashes of
+    the shingles, is ``least`` at least; all pairs of a group are looked at, in the tasks that hold
+    their sets. No pair leaves a task, only forests do. Texts with the same set are one node.
+    Missing texts are empty, and alike. Rows without an id must not be among ``docs``.
     """
     prints = written(_sets(docs, words, parts, False), "fingerprints")
     classes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "classes")
-
-    def near(frame: DataFrame, extra: int, pairs_of: str) -> DataFrame:
-        found = near_links(frame.select("fingerprint"), radius, parts, whole_radius, tile_rows, extra, pairs_of)
-        key = (parts + 2) * 8
-        pairs = found.select(*[F.substring(c, 1, key).alias(c) for c in ("left", "right")])
-        return written(_similar(written(pairs, "candidates"), classes, docs, words, parts, least), "similar")
-
-    first = near(classes, 2, "near")
-    roots = components(first, "a", "b").withColumnRenamed("node", "least")
-    label = F.unhex(F.lpad(F.hex(F.xxhash64(F.coalesce("root", "least"))), 16, "0"))
-    labelled = classes.join(roots, "least", "left").select(F.concat("fingerprint", label).alias("fingerprint"))
-    links = first.union(near(labelled, 3, "apart"))
+    named = classes.select("fingerprint", "least")
+    found = near_links(named.select("fingerprint"), radius, parts, whole_radius, tile_rows, 2)
+    candidates = (
+        found.join(named.select(F.col("fingerprint").alias("left"), F.col("least").alias("a")), "left")
+        .join(named.select(F.col("fingerprint").alias("right"), F.col("least").alias("b")), "right")
+        .select("a", "b")
+    )
+    roots = written(components(candidates, "a", "b"), "candidates")
+    members = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "least")
+    links = _similar(members.join(named, "least"), docs, words, parts, least, tile_bytes)
     roots = components(links, "a", "b").withColumnRenamed("node", "least")
     graded = classes.join(roots, "least", "left").select("fingerprint", F.coalesce("root", "least").alias("component_id"))
     return prints.join(graded, "fingerprint").select("doc_id", "component_id")

@@ -1,9 +1,12 @@
 """Quality classifier and language identification: held-out accuracy, inputs, odd rows."""
 
+import random
 from zlib import crc32
 
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from examlens.llm import langid_cnn, quality_fm
 from examlens.llm import queries as q
@@ -114,3 +117,16 @@ def test_training_gradient_lowers_the_loss():
     target = (np.arange(200) + 1) % 2
     net = langid_cnn.fit_windows(rows, target, ["a", "b"])
     assert (net.log_probabilities(rows).argmax(1) == target).mean() > 0.97
+
+
+def test_ids_of_any_type(spark):
+    """Text ids: the same model and scores as with numbers."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["good", "bad", "word"]) for _ in range(12)), i % 2) for i in range(60)]
+    numbers = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    texts = numbers.withColumn("doc_id", F.col("doc_id").cast("string"))
+    got = [
+        {str(r.doc_id): round(r.score, 6) for r in quality_fm.score(docs, quality_fm.fit(docs, docs)).collect()}
+        for docs in (numbers, texts)
+    ]
+    assert set(got[0]) == set(got[1]) and len(got[1]) == 60

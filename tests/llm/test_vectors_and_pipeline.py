@@ -1,5 +1,6 @@
 """Embedding near-duplicates against all pairs; the pipeline's stages; registration."""
 
+import hashlib
 import sys
 from collections import defaultdict
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
-from examlens.llm import pq_dedup
+from examlens.llm import pq_dedup, simhash_tiles
 
 
 def brute_links(rows, least=0.95):
@@ -143,6 +144,8 @@ def test_stages_on_odd_rows(spark, folder, rows):
     for r in seen["byte_bpe"].collect():
         tokens[r.doc_id] += 1
         assert r.n_tokens == len(r.ids)
+    by_id = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in seen["source_mix"].collect()}
+    assert all(r.decoded_sha256 == by_id[r.doc_id] for r in seen["byte_bpe"].collect())
     assert tokens == mixed
 
 
@@ -187,6 +190,46 @@ def test_near_duplicates_have_the_similarity(spark):
             break
     got = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
     assert got == {i for i, r in root.items() if i == r} and len(got) < len(rows) - 150
+    # groups dealt to many tiles, and fingerprints too
+    tiled = simhash_tiles.near_duplicates(
+        docs, 5, 0.8, corpus_pipeline.FIRST_RADIUS, corpus_pipeline.PARTS, corpus_pipeline.WHOLE_RADIUS, tile_rows=100, tile_bytes=8000
+    )
+    assert {r.doc_id: r.component_id for r in tiled.collect()} == root
+
+
+@pytest.mark.parametrize("first", [None, 700])
+def test_a_large_group_of_near_copies(monkeypatch, first):
+    """2,000 edited copies of a text, at similarities around the limit, against all pairs."""
+    monkeypatch.setattr(simhash_tiles, "SETS", 128)
+    monkeypatch.setattr(simhash_tiles, "COLUMNS", 64)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = []
+    for k in range(2000):
+        changed = base[: 40 + k % 21].copy()
+        at = rng.choice(len(changed), rng.integers(0, 9), replace=False)
+        changed[at] = rng.integers(0, 2**63, len(at)).astype(np.uint64)
+        sets.append(np.unique(changed))
+    sets[5] = np.zeros(0, np.uint64)
+    known = {h: k for k, h in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    matrix = np.zeros((len(sets), len(known)), np.float32)
+    for k, one in enumerate(sets):
+        matrix[k, [known[h] for h in one.tolist()]] = 1
+    shared = matrix @ matrix.T
+    size = matrix.sum(1)
+    near = shared >= 0.8 * np.maximum(size[:, None] + size - shared, 1)
+    if first:
+        near[:first, :first] = near[first:, first:] = False
+    label = np.arange(len(sets))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(sets)).min(1))
+        if (new == label).all():
+            break
+        label = new
+    linked, root = simhash_tiles.similar_forest(sets, 0.8, first)
+    got = np.arange(len(sets))
+    got[linked] = root
+    assert (got == label).all() and 1 < len(set(label.tolist())) < 1900
 
 
 def test_empty_tables_pass_through(spark, no_docs, tmp_path):
@@ -207,7 +250,7 @@ def test_rejected_documents_go(spark, small_dir):
 
 def test_registered():
     queries = entry_module.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in queries) == 1
     assert queries["pipeline"] is corpus_pipeline.run and len(corpus_pipeline.STAGES) == 5
 
