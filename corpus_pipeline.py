@@ -14,7 +14,8 @@ from examlens.llm import bpe_tree, pareto_mix, quality_fm, simhash_tiles, site_l
 from examlens.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near duplicates have five-word shingle sets of Jaccard similarity 0.8 or more, which is checked.
+#: Near duplicates have five-word shingle sets of Jaccard similarity 0.8 or more, which is checked
+#: for all pairs of a candidate group.
 #: Candidates come from 256-bit fingerprints of the sets: at 0.8 they differ in 39 bits on average
 #: (10 of the first 64), in the worst case of five shingles in 48 (12). The radii leave four
 #: standard deviations and more above these; unrelated texts differ in 128 (32).
@@ -24,15 +25,19 @@ WORDS, LEAST_SIMILARITY, PARTS, FIRST_RADIUS, WHOLE_RADIUS = 5, 0.8, 4, 24, 80
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts (score 0.5 or more), in one pass over the texts.
 
-    Labels come from the table ``labels``. Missing texts are scored as empty ones; repeated rows
-    go or stay together.
+    Labels come from the table ``labels``; ``n_chars`` is metadata. Missing texts are scored as empty
+    ones, a missing count as zero; repeated rows go or stay together.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_fm.accepted(docs.select(*COLUMNS), quality_fm.fit(docs.select("doc_id", "text"), labels))
+    machine = quality_fm.fit(docs.select("doc_id", "text", "n_chars"), labels, metadata=["n_chars"])
+    return quality_fm.accepted(docs.select(*COLUMNS), machine, metadata=["n_chars"])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source; ``n_chars`` counted anew."""
+    """All documents, without the boilerplate lines of their source; ``n_chars`` counted anew.
+
+    Missing texts stay missing and have no count; a missing source is a source; repeated rows stay.
+    """
     cut = site_lines.without_boilerplate(docs.select(*COLUMNS))
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
@@ -66,7 +71,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a document stands there as often as it is taken, up to twice.
 
-    Documents are told apart by id and content; equal rows are taken together.
+    Documents are told apart by id and content; equal rows are taken together. Missing texts and
+    texts without words have size 0; a missing source is a source, the last.
     """
     slim = docs.select(*COLUMNS)
     copies = (
@@ -85,9 +91,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` of every document of the mix."""
+    """``doc_id, n_tokens, ids`` of every document of the mix, and the digest of what the ids decode to.
+
+    A missing text is empty; documents taken twice stand twice.
+    """
     ranks = bpe_tree.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe_tree.encode(docs, ranks, public_tokenizers.PATTERN)
+    return bpe_tree.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True)
 
 
 STAGES = [
