@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from examlens.operators import checks, describe, moments, panel as panels, regressions as reg
+from examlens.operators import checks, describe, moments, panel as panels, ranks, regressions as reg
 from examlens.operators.bootstrap import row_correlation_interval
 from examlens.operators.scoring import score_attempts
 from examlens.plans import adapters as a
@@ -425,6 +425,22 @@ def e7_fact(spark, sf_dir):
     )
 
 
+@register(
+    "e2_fact_spearman",
+    f"""WITH l AS (SELECT 'all' AS lines, l_extendedprice::DOUBLE AS x, l_quantity::DOUBLE AS y FROM lineitem
+              UNION ALL SELECT l_returnflag, l_extendedprice::DOUBLE, l_quantity::DOUBLE FROM lineitem),
+        r AS (SELECT lines, rank() OVER (PARTITION BY lines ORDER BY x) + (count(*) OVER (PARTITION BY lines, x) - 1) / 2.0 AS rx,
+                     rank() OVER (PARTITION BY lines ORDER BY y) + (count(*) OVER (PARTITION BY lines, y) - 1) / 2.0 AS ry FROM l)
+        SELECT lines, count(*) AS rows, round(corr(rx, ry), 9) AS spearman_rho FROM r GROUP BY lines""",
+)
+def e2_fact(spark, sf_dir):
+    """Rank correlation of price and quantity over all order lines, and by return flag."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    every = ranks.spearman(lines, [], "l_extendedprice", "l_quantity").select(F.lit("all").alias("lines"), "rows", "spearman_rho")
+    flagged = ranks.spearman(lines, ["l_returnflag"], "l_extendedprice", "l_quantity")
+    return round_doubles(every.unionByName(flagged.withColumnRenamed("l_returnflag", "lines")), 9)
+
+
 # --- calibration, early/late, headline statistics --------------------------------------------
 
 _LONG_DIFFICULTY = """SELECT year, exam, 'reference' AS series, human_difficulty AS h,
