@@ -57,10 +57,6 @@ def is_object(value: Column) -> Column:
     return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
 
 
-# lists inside lists of message content that are followed
-MAX_DEPTH = 8
-
-
 def is_array(value: Column) -> Column:
     return F.startswith(F.schema_of_variant(value), F.lit("ARRAY"))
 
@@ -82,54 +78,58 @@ def _text(value: Column, path: str = "$") -> Column:
     )
 
 
-def flatten_content(content: Column | str, depth: int = MAX_DEPTH) -> Column:
+def flatten_content(content: Column | str) -> Column:
     """Plain text of a message content given as a variant.
 
     Strings stay; lists join their non-empty parts with line breaks; objects give their
-    ``text``, ``json`` or nested ``content``, at any depth up to ``depth`` lists; content
-    nested deeper is an error, never an empty text. JSON payloads are printed compactly.
+    ``text``, ``json`` or nested ``content``, lists in lists to any depth. JSON payloads are
+    printed compactly.
     """
     content = col(content)
     nested = _field(content, "content")
-    nested_text = _text(nested)
-    nested_text = F.coalesce(nested_text, F.when(is_array(nested), _joined(nested, depth - 1)))
-    of_object = F.coalesce(
-        _text(content, "$.text"),
-        F.to_json(_field(content, "json")),
-        nested_text,
-        F.to_json(content),
-    )
+    of_object = F.coalesce(_text(content, "$.text"), F.to_json(_field(content, "json")), _text(nested))
+    listed = F.when(is_array(content), content).when(is_object(content) & of_object.isNull() & is_array(nested), nested)
     return (
         F.when(content.isNull() | F.is_variant_null(content), F.lit(""))
         .when(is_string(content), F.try_variant_get(content, "$", "string"))
-        .when(is_array(content), _joined(content, depth))
-        .otherwise(of_object)
+        .when(listed.isNotNull(), _joined(listed))
+        .otherwise(F.coalesce(of_object, F.to_json(content)))
     )
 
 
-def _joined(parts: Column, depth: int) -> Column:
-    if depth < 0:
-        return F.raise_error(F.lit("message content is nested too deeply")).cast("string")
-    items = F.try_variant_get(parts, "$", "array<variant>")
-    texts = F.transform(items, lambda item: _part_text(item, depth))
+def _joined(parts: Column) -> Column:
+    """Texts of a list's parts in order. Each step opens the lists that are still closed, one level.
+
+    A document has no more levels than opening brackets, so that many steps are enough.
+    """
+    printed = F.to_json(parts)
+    steps = F.length(printed) - F.length(F.replace(printed, F.lit("["), F.lit("")))
+    closed = F.array(F.struct(parts.alias("list"), F.lit(None).cast("string").alias("text")))
+
+    def open_lists(nodes: Column, _step: Column) -> Column:
+        def opened(node: Column) -> Column:
+            items = F.try_variant_get(node["list"], "$", "array<variant>")
+            return F.when(node["list"].isNull(), F.array(node)).otherwise(F.transform(items, _part_of))
+
+        return F.flatten(F.transform(nodes, opened))
+
+    nodes = F.aggregate(F.sequence(F.lit(1), steps), closed, open_lists)
+    texts = F.transform(nodes, lambda node: node["text"])
     return F.array_join(F.filter(texts, lambda text: text.isNotNull() & (text != "")), "\n")
 
 
-def _part_text(item: Column, depth: int) -> Column:
+def _part_of(item: Column) -> Column:
+    """A part of a list: its text, or the list that it holds."""
     nested = _field(item, "content")
-    is_list = is_array(nested)
-    nested_text = F.when(is_list, _joined(nested, depth - 1)).otherwise(_text(nested))
-    has_nested = is_string(nested) | is_list
+    payload, text = _field(item, "json"), _text(item, "$.text")
+    holds = is_object(item) & payload.isNull() & text.isNull() & is_array(nested)
     calls = F.to_json(F.coalesce(_field(item, "tool_calls"), _field(item, "arguments")))
-    payload = _field(item, "json")
-    of_object = (
-        F.when(payload.isNotNull(), F.to_json(payload))
-        .when(_text(item, "$.text").isNotNull(), _text(item, "$.text"))
-        .when(F.coalesce(has_nested, F.lit(False)), nested_text)
-        .otherwise(calls)
-    )
-    return F.when(is_string(item), F.try_variant_get(item, "$", "string")).when(
-        is_object(item), of_object
+    of_object = F.coalesce(F.to_json(payload), text, _text(nested), calls)
+    return F.struct(
+        F.when(holds, nested).alias("list"),
+        F.when(is_string(item), F.try_variant_get(item, "$", "string"))
+        .when(is_object(item) & ~F.coalesce(holds, F.lit(False)), of_object)
+        .alias("text"),
     )
 
 

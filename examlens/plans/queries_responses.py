@@ -555,10 +555,10 @@ def a11(spark, sf_dir):
 
 @register("i8_nested_content", oracle("SELECT conv_id, turn, text FROM conversations"))
 def i8_nested(spark, sf_dir):
-    """Every turn's text put one to six content lists deep and read back."""
+    """Every turn's text put one to fifty content lists deep and read back."""
     turns = a.table(spark, sf_dir, "conversations")
     inner = F.to_json(F.struct(F.col("text").alias("text")))
-    levels = F.pmod(F.col("conv_id"), F.lit(6)).cast("int")
+    levels = F.pmod(F.col("conv_id"), F.lit(50)).cast("int")
     document = F.concat(
         F.repeat(F.lit('[{"content":'), levels), F.lit("["), inner, F.lit("]"), F.repeat(F.lit("}]"), levels)
     )

@@ -1,5 +1,8 @@
 """Shifted regressions, join guards, lenient JSON, nested content, coverage per run."""
 
+import json
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -130,12 +133,50 @@ def test_nested_content(spark, levels):
     assert objects
 
 
-def test_content_nested_too_deeply_is_an_error(spark):
-    text = '"x"'
-    for _ in range(40):
-        text = f'[{{"content": {text}}}]'
-    frame = spark.createDataFrame([(text,)], "c string").select(F.parse_json("c").alias("v"))
-    assert "nested too deeply" in failing(frame.select(flatten_content("v").alias("t")))
+def plain_text(content, top=True):
+    """The rules of flattened content as a plain recursion."""
+    if content is None:
+        return "" if top else None
+    if isinstance(content, str):
+        return content
+    if isinstance(content, list):
+        return "\n".join(t for t in (plain_text(c, False) for c in content) if t) if top else None
+    if not isinstance(content, dict):
+        return json.dumps(content) if top else None
+    nested, calls = content.get("content"), content.get("tool_calls", content.get("arguments"))
+    payload, text = content.get("json"), content.get("text")
+    held = nested if isinstance(nested, str) else plain_text(nested) if isinstance(nested, list) else None
+    payload = None if payload is None else json.dumps(payload, separators=(",", ":"))
+    text = text if isinstance(text, str) else None
+    choices = [text, payload, held, json.dumps(content, separators=(",", ":"))]
+    if not top:
+        choices = [payload, text, held, None if calls is None else json.dumps(calls, separators=(",", ":"))]
+    return next((c for c in choices if c is not None), None)
+
+
+def random_content(rng, depth):
+    """Content with lists up to fifty levels deep and brackets inside texts."""
+    kind = rng.random()
+    if depth and kind < 0.75:
+        parts = [random_content(rng, 0) for _ in range(rng.randrange(2))]
+        parts.insert(rng.randrange(len(parts) + 1), {"content": random_content(rng, depth - 1)})
+        return parts
+    leaf = rng.choice(["one [", "two ]", "", "three"])
+    return rng.choice([leaf, {"text": leaf}, {"content": leaf}, {"json": [1, [2]]}, {"tool_calls": [{"a": leaf}]}, None, [], {"content": []}])
+
+
+def test_content_of_any_depth(spark):
+    rng = random.Random(8)
+    contents = [random_content(rng, rng.randrange(51)) for _ in range(150)]
+    deep = "x"
+    for _ in range(50):
+        deep = [{"content": deep}, "y"]
+    contents.append(deep)
+    frame = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(contents)], "i int, c string")
+    got = {r.i: r.t for r in frame.select("i", flatten_content(F.parse_json("c")).alias("t")).collect()}
+    for i, c in enumerate(contents):
+        assert got[i] == plain_text(c), json.dumps(c)[:300]
+    assert got[150] == "x" + "\ny" * 50
 
 
 def test_missing_items_per_run(spark):
