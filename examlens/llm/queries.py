@@ -192,10 +192,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     l AS (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line,
                  generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
     k AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
-    n AS (SELECT source, key, count(DISTINCT text) AS n FROM k WHERE key <> '' GROUP BY source, key),
-    h AS (SELECT source, count(DISTINCT text) AS pages FROM d GROUP BY source),
+    u AS (SELECT DISTINCT rid, source, key FROM k WHERE key <> ''),
+    w AS (SELECT *, (('0x' || substr(md5(key), 1, 8))::BIGINT::DOUBLE + 1) / length(key)::DOUBLE AS p0,
+                    (('0x' || substr(md5(key), 9, 8))::BIGINT::DOUBLE + 1) / length(key)::DOUBLE AS p1 FROM u),
+    f AS (SELECT rid, min(source) AS source, min_by(key, p0, 2) AS f0, min_by(key, p1, 2) AS f1 FROM w GROUP BY rid),
+    n AS (SELECT w.source, key, count(DISTINCT CASE WHEN f0[1] <> key THEN f0[1] ELSE coalesce(f0[2], key) END) AS n0,
+                 count(DISTINCT CASE WHEN f1[1] <> key THEN f1[1] ELSE coalesce(f1[2], key) END) AS n1
+          FROM w JOIN f USING (rid) GROUP BY w.source, key),
+    h AS (SELECT source, count(DISTINCT f0[1]) AS h0, count(DISTINCT f1[1]) AS h1 FROM f GROUP BY source),
     bad AS (SELECT n.source, n.key FROM n JOIN h ON n.source IS NOT DISTINCT FROM h.source
-            WHERE n.n >= {site_lines.LEAST_PAGES} AND n.n > {site_lines.RATIO}::DOUBLE * h.pages),
+            WHERE least(n0, n1) >= {site_lines.LEAST_PAGES} AND n0 > {site_lines.RATIO}::DOUBLE * h0
+              AND n1 > {site_lines.RATIO}::DOUBLE * h1),
     m AS (SELECT k.*, bad.key IS NOT NULL AS b FROM k LEFT JOIN bad
           ON bad.key = k.key AND bad.source IS NOT DISTINCT FROM k.source),
     g AS (SELECT rid, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT b) AS kept, count(*) FILTER (b) AS dropped

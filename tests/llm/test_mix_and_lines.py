@@ -1,5 +1,7 @@
 """Source mix, line dedup and preference rows against brute force."""
 
+import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -79,15 +81,23 @@ def test_mix_of_nothing(spark, no_docs):
 
 
 def brute_lines(rows, ratio, least):
+    """Unlike pages per line: the picked lines that stand beside it, counted twice independently."""
     strip = " \t\n\r\x0b\x0c"
-    pages, n = defaultdict(set), defaultdict(set)
+    pages, beside = [defaultdict(set), defaultdict(set)], [defaultdict(set), defaultdict(set)]
     for r in rows:
-        if r[1] is not None:
-            pages[r[3]].add(r[1])
-            for line in r[1].split("\n"):
-                if line.strip(strip):
-                    n[r[3], line.strip(strip)].add(r[1])
-    bad = {k for k, v in n.items() if len(v) >= least and len(v) > ratio * len(pages[k[0]])}
+        lines = {x.strip(strip) for x in (r[1] or "").split("\n")} - {""}
+        for k in range(2):
+            picked = sorted((((int(hashlib.md5(x.encode()).hexdigest()[8 * k : 8 * k + 8], 16) + 1) / len(x)), x) for x in lines)
+            names = [x for _, x in picked]
+            if names:
+                pages[k][r[3]].add(names[0])
+            for x in names:
+                beside[k][r[3], x].add(next((y for y in names if y != x), x))
+    bad = {
+        key
+        for key in beside[0]
+        if all(len(beside[k][key]) >= least and len(beside[k][key]) > ratio * len(pages[k][key[0]]) for k in range(2))
+    }
     out = []
     for r in rows:
         lines = None if r[1] is None else r[1].split("\n")
@@ -115,6 +125,35 @@ def test_copies_of_a_page_are_not_boilerplate(spark):
     assert got[3] == "unique 3" and got[110] == "a copied page\nwith two lines"
 
 
+def test_near_copies_in_a_small_source_keep_their_body(spark):
+    rng = random.Random(12)
+
+    def sentence(n):
+        return " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+
+    bodies = [(sentence(60), sentence(45)) for _ in range(8)]
+    rows = [(i, f"{sentence(6)}\n{sentence(50)}\n{sentence(40)}\nHome | About", "h") for i in range(40)]
+    rows += [(100 + 5 * b + k, f"headline {b} {k} {sentence(4)}\n{x}\n{y}", "h" if b < 2 else f"s{b}") for b, (x, y) in enumerate(bodies) for k in range(5)]
+    rows += [(500 + i, f"{sentence(30)}\n{sentence(30)}", f"s{i % 6 + 2}") for i in range(60)]
+    got = {r.doc_id: r for r in site_lines.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].dropped_lines == 1 and "About" not in got[i].text for i in range(40))
+    assert all(got[r[0]].text == r[1] for r in rows[40:])
+
+
+def test_rare_boilerplate_and_tiny_sites(spark):
+    """A newsletter line on 8 % of 1,200 pages, and a footer on all four pages of a host."""
+    rng = random.Random(13)
+
+    def sentence(n):
+        return " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+
+    rows = [(i, f"{sentence(20)}\n{sentence(20)}" + "\nSign up for our newsletter" * (i < 100), "big") for i in range(1200)]
+    rows += [(2000 + i, f"{sentence(20)}\nImprint", "tiny") for i in range(4)]
+    got = {r.doc_id: r for r in site_lines.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i for i, r in got.items() if r.dropped_lines} == {*range(100), *range(2000, 2004)}
+    assert not any("newsletter" in r.text or "Imprint" in r.text for r in got.values())
+
+
 def render(turns):
     return "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
 
