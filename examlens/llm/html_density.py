@@ -38,47 +38,71 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words in class, id or role that mark what is not article, as whole words of the value.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|comment-?list|disqus|respond|cookies?|consent|gdpr|notice|"
-    r"popup|modal|overlay|newsletter|subscribe|promo\w*|sponsor\w*|related|recommend\w*|share|sharing|social|sidebar|"
-    r"side-?bar|widgets?|menu|nav|navbar|navigation|footer|masthead|toolbar|pagination|pager|skip-?link|"
-    r"complementary|contentinfo|search|login|signup)(?:$|[\s_-])"
+#: Words of a class or id for what is no article: adverts and readers' comments, and others.
+READERS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored comment comments disqus replies respond".split()
 )
-PAGE_NOISE = re.compile(NOISE.pattern.replace("(?:ads?|", "(?:header|top-?bar|ads?|", 1))
+NOISE = READERS | frozenset(
+    "banner breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription "
+    "promo promos promotion related recommended recommendations share sharing social sidebar widget widgets menu nav navbar "
+    "navigation footer masthead toolbar pagination pager skip skiplink search login signup signin complementary contentinfo dialog".split()
+)
+#: The same for parts of a page outside its article.
+OUTSIDE = NOISE | {"header", "topbar"}
+#: Words for the shape or place of a block, which may stand beside the words above.
+LAYOUT = frozenset(
+    "area article bar block blog body bottom box button buttons center closed col column container content count element entry "
+    "footer form frame global group header icons inline inner item items js left level lg link links list main md media message "
+    "middle module new open outer page panel policy position post row right root row section site slot sm sticky tab text the "
+    "thread title top unit view visible wrap wrapper zone".split()
+)
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))*+)(?:>|\Z)",
     re.S,
 )
 #: One attribute: its name, and its value in double, single or no quotes.
 ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?|\"[^\"]*\"|'[^']*'")
-#: Words that mark noise inside an article whatever the element holds.
-ADS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense)(?:$|[\s_-])")
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+
+
+def _says(mark: str, words: frozenset) -> bool:
+    """Whether a class or id has a name that consists of such words, layout words and numbers only.
+
+    ``comment-list`` and ``ad-1`` do; ``related-work`` names a topic.
+    """
+    for name in mark.split():
+        parts = [p.lower() for p in PARTS.findall(name)]
+        if any(p in words for p in parts) and all(p in words or p in LAYOUT or p.isdigit() for p in parts):
+            return True
+    return False
 
 
 def _is_noise(name: str, attributes: str, in_article: bool) -> bool | None:
     """Whether an element is dropped whole by its name, or by what its class, id or role say.
 
-    Inside an article these words drop no heading or paragraph, advertisements aside; for other
-    blocks they leave it open (None), and the share of links decides.
+    None leaves a marked block to what it holds. Headings are never marked; paragraphs only as
+    adverts or readers' comments.
     """
     if name in DROPPED or name == "header" and not in_article:
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body", "main"):
         return False
     found: dict[str, str] = {}
     for key, *values in ATTRIBUTE.findall(attributes):
-        found.setdefault(key.lower(), "".join(values).lower())
-    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-        return True
-    marks = [found[k] for k in ("class", "id", "role") if k in found]
-    if not in_article:
-        return any(PAGE_NOISE.search(m) for m in marks)
-    if "class" in found and ADS.search(found["class"]):
+        found.setdefault(key.lower(), "".join(values))
+    style = found.get("style", "").lower().replace(" ", "")
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style:
         return True
-    return None if name in BLOCKS - PROSE and any(NOISE.search(m) for m in marks) else False
+    if name in HEADINGS:
+        return False
+    words = READERS if name in ("p", "article") else NOISE if in_article else OUTSIDE
+    marked = any(_says(found[k], words) for k in ("class", "id") if k in found)
+    if not marked and (name == "p" or found.get("role", "").lower() not in ROLES):
+        return False
+    return None if name in BLOCKS else True
 
 
 class Page:
@@ -108,15 +132,17 @@ class Page:
                 self.link_tags[p] += self.link_tags[k] + (self.names[k] == "a")
 
     def _drop_suspects(self) -> None:
-        """Leaves out blocks marked as noise inside an article if links make up most of them."""
-        chars, links = self.chars[:], self.link_chars[:]
-        for k in range(len(chars) - 1, 0, -1):
-            chars[self.parent[k]] += chars[k]
-            links[self.parent[k]] += links[k]
-        gone = [False] * len(chars)
+        """Leaves out the marked blocks, unless one holds the page's first heading or its ``main`` element."""
+        n = len(self.parent)
+        holds = [name == "main" for name in self.names]
+        if "h1" in self.names:
+            holds[self.names.index("h1")] = True
+        for k in range(n - 1, 0, -1):
+            holds[self.parent[k]] = holds[self.parent[k]] or holds[k]
+        gone = [False] * n
         for k in self._suspects:
-            gone[k] = 2 * links[k] > chars[k]
-        for k in range(1, len(chars)):
+            gone[k] = not holds[k]
+        for k in range(1, n):
             gone[k] = gone[k] or gone[self.parent[k]]
             if gone[k]:
                 self.chars[k] = self.link_chars[k] = 0
@@ -196,6 +222,8 @@ class Page:
             self.names.append(name)
             self.chars.append(0)
             self.link_chars.append(0)
+            if name in ("svg", "math") and found[4].endswith("/"):
+                continue
             if name in RAW:
                 end = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(html, at)
                 at = end.end() if end else len(html)

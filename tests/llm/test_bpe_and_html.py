@@ -160,3 +160,43 @@ def test_article_text_is_not_noise_by_its_attributes():
     for word in ("first", "second", "third", "fourth", "fifth", "sixth", "seventh"):
         assert f"{word} kept" in text
     assert "gone" not in text
+
+
+BODY = "A long paragraph of real article text that goes on for a while and holds no link at all. " * 3
+GOES = [
+    '<section class="comments"><h3>gone</h3><p>gone Nice post, thanks Bob!</p></section>',
+    '<div id="comments">gone</div>',
+    '<p class="comment">gone</p>',
+    '<article class="comment"><p>gone</p></article>',
+    '<ul class="commentList"><li>gone</li></ul>',
+    '<div class="newsletter">gone</div>',
+    '<div id="ad-1">gone BUY SHOES NOW</div>',
+    '<div class="cookie-notice">gone</div>',
+    '<div class="share-buttons"><a href=/s>gone</a></div>',
+    '<div role="complementary">gone</div>',
+    '<span class="ad">gone</span>',
+]
+STAYS = [
+    f'<p class="notice">stays {BODY}</p>',
+    '<h2 id="related-work">stays</h2>',
+    f'<section id="social-impact"><p>stays {BODY}</p></section>',
+    f'<div class="search-methods"><p>stays {BODY}</p></div>',
+    f'<svg class="i"/><p>stays {BODY}</p>',
+    f"<p><a href=x title=it's>stays</a> {BODY}</p><p>don't {BODY}</p>",
+]
+
+
+@pytest.mark.parametrize("element", ["article", "main", "div"])
+def test_notices_and_comments_go_and_prose_stays(element):
+    """The same inside and outside of an article element, one block at a time and all together."""
+    for blocks in [*[[b] for b in GOES + STAYS], GOES + STAYS]:
+        inner = "".join(f"{b}<p>between {BODY}</p>" for b in blocks)
+        text = html_density.main_text(f"<body><{element}><h1>Title</h1><p>first {BODY}</p>{inner}</{element}></body>")
+        assert "gone" not in text and "Bob" not in text, blocks
+        assert text.count("stays") == sum(b.count("stays") for b in blocks), blocks
+        assert text.startswith("Title\nfirst") and text.count("between") == len(blocks)
+
+
+def test_a_marked_block_around_the_page_stays():
+    page = f'<body><div class="widget"><h1>Title</h1><p>{BODY}</p></div><div class="widget"><p>gone</p></div></body>'
+    assert html_density.main_text(page) == f"Title\n{BODY.strip()}"
