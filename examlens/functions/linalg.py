@@ -13,7 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType
+
+from examlens.functions.common import once
 
 Gram = Callable[[str, str], Column]
 
@@ -51,24 +53,72 @@ def solve_normal_equations(
         yield pd.Series(out, dtype=object)
 
 
-@F.pandas_udf(
-    StructType(
-        [
-            StructField("rank", IntegerType()),
-            StructField("condition_number", DoubleType()),
-        ]
-    )
-)
-def design_conditioning(matrices: pd.Series) -> pd.DataFrame:
+#: Rounds over all pairs of rows; each squares what is left beside the diagonal.
+SWEEPS = 10
+
+
+def symmetric_eigenvalues(flat: Column) -> Column:
+    """Eigenvalues of a flattened symmetric matrix, in no order, by Jacobi rotations.
+
+    Every rotation makes one pair of entries zero. For the small matrices of a design.
+    """
+
+    def solved(size: Column) -> Column:
+        below = F.when(size > 1, F.sequence(F.lit(0), size - 2)).otherwise(F.array().cast("array<int>"))
+        pairs = F.flatten(
+            F.transform(
+                below,
+                lambda p: F.transform(F.sequence(p + 1, size - 1), lambda q: F.struct(p.alias("p"), q.alias("q"))),
+            )
+        )
+
+        def rotated(m: Column, pair: Column) -> Column:
+            p, q = pair["p"], pair["q"]
+            off = F.get(m, p * size + q)
+            theta = (F.get(m, q * size + q) - F.get(m, p * size + p)) / (2 * off)
+            tangent = F.when(theta < 0, -1.0).otherwise(1.0) / (F.abs(theta) + F.sqrt(theta * theta + 1))
+            turn = once(
+                tangent,
+                lambda t: F.struct((1 / F.sqrt(t * t + 1)).alias("c"), (t / F.sqrt(t * t + 1)).alias("s")),
+            )
+
+            def turned(r: Column) -> Column:
+                def row(i: Column, j: Column) -> Column:
+                    first, second = F.get(m, p * size + j), F.get(m, q * size + j)
+                    return (
+                        F.when(i == p, r["c"] * first - r["s"] * second)
+                        .when(i == q, r["s"] * first + r["c"] * second)
+                        .otherwise(F.get(m, i * size + j))
+                    )
+
+                def entry(place: Column) -> Column:
+                    i, j = F.floor(place / size).cast("int"), place % size
+                    return (
+                        F.when(j == p, r["c"] * row(i, p) - r["s"] * row(i, q))
+                        .when(j == q, r["s"] * row(i, p) + r["c"] * row(i, q))
+                        .otherwise(row(i, j))
+                    )
+
+                return F.transform(F.sequence(F.lit(0), size * size - 1), entry)
+
+            return F.when(off == 0, m).otherwise(once(turn, turned))
+
+        final = F.aggregate(F.flatten(F.array_repeat(pairs, SWEEPS)), flat, rotated)
+        return once(final, lambda m: F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get(m, i * size + i)))
+
+    return once(F.round(F.sqrt(F.size(flat))).cast("int"), solved)
+
+
+def design_conditioning(matrix: Column) -> Column:
     """Rank and condition number of a design from its flattened cross-product matrix."""
-    ranks, conditions = [], []
-    for flat in matrices:
-        size = int(round(len(flat) ** 0.5))
-        eigen = np.linalg.eigvalsh(np.asarray(flat, dtype=float).reshape(size, size))
-        singular = np.sqrt(np.clip(eigen, 0.0, None))[::-1]
-        ranks.append(int((singular > 1e-8 * singular[0]).sum()))
-        conditions.append(singular[0] / singular[-1] if singular[-1] > 0 else float("inf"))
-    return pd.DataFrame({"rank": ranks, "condition_number": conditions})
+
+    def judged(singular: Column) -> Column:
+        top, low = F.array_max(singular), F.array_min(singular)
+        rank = F.size(F.filter(singular, lambda v: v > 1e-8 * top))
+        condition = F.when(low > 0, top / low).otherwise(float("inf"))
+        return F.struct(rank.alias("rank"), condition.alias("condition_number"))
+
+    return once(F.transform(symmetric_eigenvalues(matrix), lambda v: F.sqrt(F.greatest(v, F.lit(0.0)))), judged)
 
 
 def least_squares(

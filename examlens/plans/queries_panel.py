@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from examlens.functions.linalg import SWEEPS
 from examlens.operators import checks, describe, moments, panel as panels, ranks, regressions as reg
 from examlens.operators.bootstrap import row_correlation_interval
 from examlens.operators.scoring import score_attempts
@@ -662,7 +663,57 @@ def e12b(spark, sf_dir):
     )
 
 
-@register("t6_design_conditioning")
+def _design_sql() -> str:
+    """Rows of every controlled design: the intercept, predictors, a dummy per exam but the first."""
+    dummies = "list_transform((SELECT list_sort(list(DISTINCT exam)) FROM e)[2:], lambda level: (exam = level)::INT::DOUBLE)"
+    return " UNION ALL ".join(
+        f"""SELECT '{label}' AS specification, [1.0::DOUBLE, human_pct{''.join(f', {c}' for c in covariates)}]
+            {'|| ' + dummies if absorbed else ''} AS x FROM e"""
+        for label, (covariates, absorbed) in reg.SPECIFICATIONS.items()
+    )
+
+
+def _jacobi_sql(name: str) -> str:
+    """One Jacobi rotation of the flattened matrix ``m`` (k rows) per step of the recursion."""
+
+    def row(i: str, j: str) -> str:
+        first, second = f"m[p * k + {j} + 1]", f"m[q * k + {j} + 1]"
+        return f"(CASE WHEN {i} = p THEN c * {first} - s * {second} WHEN {i} = q THEN s * {first} + c * {second} ELSE m[{i} * k + {j} + 1] END)"
+
+    i, j = "(z // k)", "(z % k)"
+    entry = f"""CASE WHEN {j} = p THEN c * {row(i, 'p')} - s * {row(i, 'q')} WHEN {j} = q THEN s * {row(i, 'p')} + c * {row(i, 'q')}
+        ELSE {row(i, j)} END"""
+    return f"""SELECT specification, k, m, 0::BIGINT AS t FROM design
+        UNION ALL SELECT specification, k, CASE WHEN off_ = 0 THEN m ELSE list_transform(range(k * k), lambda z: {entry}) END, t + 1 FROM (
+          SELECT *, 1 / sqrt(tan_ * tan_ + 1) AS c, tan_ / sqrt(tan_ * tan_ + 1) AS s FROM (
+            SELECT *, CASE WHEN theta < 0 THEN -1.0 ELSE 1.0 END::DOUBLE / (abs(theta) + sqrt(theta * theta + 1)) AS tan_ FROM (
+              SELECT *, m[p * k + q + 1] AS off_, (m[q * k + q + 1] - m[p * k + p + 1]) / (2 * m[p * k + q + 1]) AS theta FROM (
+                SELECT {name}.*, pairs.p, pairs.q FROM {name} JOIN pairs ON pairs.size = k AND pairs.place = t % (k * (k - 1) // 2)
+                WHERE t < {SWEEPS} * (k * (k - 1) // 2)))))"""
+
+
+@register(
+    "t6_design_conditioning",
+    oracle(
+        """SELECT specification, count(*) FILTER (v > 1e-8 * top)::BIGINT AS rank, any_value(k) AS parameters,
+                  round(CASE WHEN min(v) > 0 THEN max(v) / min(v) ELSE 'inf'::DOUBLE END, 6) AS condition_number
+           FROM (SELECT *, max(v) OVER (PARTITION BY specification) AS top FROM (
+               SELECT specification, k, sqrt(greatest(unnest(list_transform(range(k), lambda i: m[i * k + i + 1])), 0)) AS v
+               FROM rotated QUALIFY t = max(t) OVER (PARTITION BY specification)))
+           GROUP BY specification""",
+        "panel",
+        extra={
+            **_ENSEMBLE,
+            "rows_": _design_sql(),
+            "cross_": """SELECT specification, len(x) AS k, i, j, sum(x[i] * x[j]) AS v
+                FROM rows_, range(1, 40) a(i), range(1, 40) b(j) WHERE i <= len(x) AND j <= len(x) GROUP BY ALL""",
+            "design": "SELECT specification, k, list(v ORDER BY i, j) AS m FROM cross_ GROUP BY specification, k",
+            "pairs": """SELECT k AS size, p, q, row_number() OVER (PARTITION BY k ORDER BY p, q) - 1 AS place
+                FROM (SELECT DISTINCT k FROM design), range(0, 40) a(p), range(0, 40) b(q) WHERE p < q AND q < k""",
+            "rotated": _jacobi_sql("rotated"),
+        },
+    ),
+)
 def t6(spark, sf_dir):
     """Rank, parameters and condition number of the controlled designs."""
     return round_doubles(
