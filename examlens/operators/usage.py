@@ -126,7 +126,11 @@ def last_events(events: DataFrame, n: int, keys: list[str] | None = None) -> Dat
 def token_statistics(events: DataFrame) -> DataFrame:
     """Median and nearest-rank p90 of the last 512 events that used tokens."""
     used = events.withColumn("_tokens", total_tokens()).filter(F.col("_tokens") > 0)
-    recent = last_events(used, TOKEN_SAMPLES)
+    return token_statistics_of(last_events(used, TOKEN_SAMPLES))
+
+
+def token_statistics_of(recent: DataFrame) -> DataFrame:
+    """The same of events chosen before, with their ``_tokens``."""
     return recent.groupBy("run").agg(
         F.count(F.lit(1)).cast("bigint").alias("token_samples"),
         F.expr("percentile(_tokens, 0.5)").alias("median_tokens_per_item"),

@@ -11,6 +11,7 @@ from examlens.plans import adapters_runs as ar
 from examlens.plans.oracle_tables import TABLES, oracle
 from examlens.plans.registry import register, round_doubles
 from examlens.sources import schemas
+from examlens.streaming import recent_stream
 from examlens.streaming import usage_stream as us
 
 TOTAL_ITEMS = 200000
@@ -123,6 +124,12 @@ def r3(spark, sf_dir):
     return round_doubles(usage.token_statistics(events(spark, sf_dir)))
 
 
+@register("r3_token_statistics_stream", oracle(_TOKEN_STATS, "usage"))
+def r3_stream(spark, sf_dir):
+    """The same statistics from the keyed state of a stream."""
+    return round_doubles(recent_stream.recent_token_statistics(event_stream(spark, sf_dir), usage.TOKEN_SAMPLES))
+
+
 _PROJECTION = f"""SELECT run, cost_known_total AS known_cost, p AS projected_total,
         CASE WHEN p > cost_known_total THEN greatest(cost_known_total, p - band) END AS projected_low,
         CASE WHEN p > cost_known_total THEN p + band END AS projected_high,
@@ -309,21 +316,26 @@ def r10_sliding(spark, sf_dir):
     return _text_times(us.windowed_usage(events(spark, sf_dir), "1 hour", "15 minutes"))
 
 
-@register(
-    "w12_last_events",
-    oracle(
-        """SELECT run, event_id, rn AS position FROM (
+_NEWEST = """SELECT run, event_id, rn AS position FROM (
              SELECT run, event_id, row_number() OVER (PARTITION BY run ORDER BY ts DESC, event_id DESC) AS rn
-             FROM usage) WHERE rn <= 128""",
-        "usage",
-    ),
-)
+             FROM usage) WHERE rn <= 128"""
+
+
+@register("w12_last_events", oracle(_NEWEST, "usage"))
 def w12(spark, sf_dir):
     return usage.last_events(events(spark, sf_dir), 128).select(
         "run", "event_id", F.col("_rank").cast("bigint").alias("position")
     )
 
 
+@register("w12_last_events_stream", oracle(_NEWEST, "usage"))
+def w12_stream(spark, sf_dir):
+    """The newest events from bounded lists that a stream keeps per run and part."""
+    return recent_stream.recent_events(event_stream(spark, sf_dir), 128).select(
+        "run", "event_id", F.col("_rank").cast("bigint").alias("position")
+    )
+
+
 # --- cohort summaries ---------------------------------------------------------------------------
 
 # grade records per parity of the year: (id, members); the last one is the overall record

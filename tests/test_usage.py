@@ -1,5 +1,8 @@
 """Usage rollups, rates and windows; a stream must give what the table gives."""
 
+import datetime
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from examlens.operators import usage
 from examlens.plans import queries_usage as q
+from examlens.streaming import recent_stream
 from examlens.streaming import usage_stream as us
 
 
@@ -104,3 +108,25 @@ def test_duplicates_count_once(spark, events, tmp_path):
     want = us.windowed_usage(rows, "10 minutes")
     pick = ["run", "window_start", "events", "tokens"]
     assert sorted(map(tuple, windows.select(pick).collect())) == sorted(map(tuple, want.select(pick).collect()))
+
+
+def test_newest_events_of_a_stream_equal_the_table(spark, tmp_path):
+    """Events out of order and repeated, over several triggers, one run with most of them."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        at = datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=rng.randrange(400))
+        rows.append(("hot" if i % 10 else f"run{i % 7}", i, at, "success", 5 + i % 50, i % 40))
+    schema = "run string, event_id long, ts timestamp, type string, prompt_tokens long, completion_tokens long"
+    events = spark.createDataFrame(rows, schema).withColumn("total_tokens", F.lit(None).cast("long"))
+    rng.shuffle(rows)
+    for k in range(6):
+        part = rows[100 * k : 100 * k + 100] + rng.sample(rows, 30)
+        frame = spark.createDataFrame(part, schema).withColumn("total_tokens", F.lit(None).cast("long"))
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
+    want = usage.last_events(events, 20).collect()
+    columns = ["run", "event_id", "ts", "type", "prompt_tokens", "completion_tokens", "total_tokens", "_rank"]
+    for keep in (None, "1 hour"):
+        got = recent_stream.recent_events(stream, 20, parts=3, keep=keep).collect()
+        assert sorted([tuple(r[c] for c in columns) for r in got], key=str) == sorted([tuple(r[c] for c in columns) for r in want], key=str)
