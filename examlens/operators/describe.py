@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from examlens.functions.common import Counted, count_if, share
 from examlens.functions.scoring import LETTERS, wilson_bounds
+from examlens.operators import checks
 from examlens.operators.scoring import EXAM
 
 # Category names of the published tables.
@@ -161,8 +162,18 @@ def option_positions(scored: DataFrame) -> DataFrame:
 
 
 def evaluated_items(items: DataFrame, scored: DataFrame) -> DataFrame:
-    """Items that were evaluated at least once (semi join on the id)."""
-    return items.join(scored.select("item_id"), "item_id", "left_semi")
+    """Items that were evaluated at least once.
+
+    A scored item without an item row, or one whose image flags are not known, stops the run; the
+    check is part of the join.
+    """
+    ids = scored.select("item_id").distinct()
+    joined = ids.join(items.withColumn("_known", F.lit(True)), "item_id", "left")
+    found = checks.present(joined, F.col("_known"), "scored item without item row")
+    flags = [c for c in ("has_associated_image", "has_option_image") if c in items.columns]
+    for flag in flags:
+        found = checks.present(found, F.col(flag), "image metadata does not cover every scored item")
+    return found.select(*items.columns)
 
 
 def exam_composition(items: DataFrame) -> DataFrame:

@@ -479,6 +479,20 @@ def _uncentred(first: str, second: str) -> Column:
     return F.col("t_" + "__".join(sorted((first, second))))
 
 
+def without_forms(panel: DataFrame, forms: DataFrame) -> DataFrame:
+    """The panel without the listed forms; a series in which one of them is missing stops the run."""
+    listed = forms.select(*EXAM).distinct().withColumn("_listed", F.lit(1))
+    marked = panel.join(listed, EXAM, "left")
+    expected = listed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    dropped = marked.groupBy("series").agg(F.count("_listed").alias("dropped"))
+    check = dropped.agg(
+        F.lit("listed forms in every series").alias("check"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("dropped") != expected).alias("violations"),
+    )
+    return checks.require(check, marked.filter(F.col("_listed").isNull()).select(*panel.columns))
+
+
 def sensitivity_checks(
     panel: DataFrame,
     adjusted_forms: DataFrame,
@@ -489,7 +503,7 @@ def sensitivity_checks(
     """Grade-FE slope without adjusted forms, with year effects, and leaving years out."""
     columns = ["human_pct", "model_pct"]
     keys = ["series", "check"]
-    reduced = panel.join(adjusted_forms.select(*EXAM), EXAM, "left_anti")
+    reduced = without_forms(panel, adjusted_forms)
     draws = cluster_draws(panel, "year", seed, repetitions)
     slope = Fit(within_gram, ["model_pct"], "human_pct").coefficients["model_pct"]
 

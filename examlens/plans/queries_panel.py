@@ -229,7 +229,7 @@ def v_checks(spark, sf_dir):
 )
 def b18(spark, sf_dir):
     adjusted = a.adjustments(spark, sf_dir).filter("fixed_bonus > 0")
-    kept = a.panel(spark, sf_dir).join(adjusted, ["year", "exam"], "left_anti")
+    kept = reg.without_forms(a.panel(spark, sf_dir), adjusted)
     return round_doubles(kept.select("year", "exam", "series", "model_pct"))
 
 

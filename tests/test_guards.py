@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from examlens.functions.answers import extract_answer
 from examlens.functions.messages import flatten_content
-from examlens.operators import agreement, bootstrap, options, panel, regressions, responses, scoring
+from examlens.operators import agreement, bootstrap, describe, options, panel, regressions, responses, scoring
 from examlens.sources import writers
 
 
@@ -215,3 +215,20 @@ def test_residuals_equal_a_dummy_fit(spark):
         assert got.residual.loc[part.index].to_numpy() == pytest.approx((part.y - design @ beta).to_numpy(), abs=1e-6)
     one = regressions.residual_rows(spark.createDataFrame(frame), "y", ["x"], None, [])
     assert one.agg(F.sum("residual").alias("s")).first().s == pytest.approx(0, abs=1e-4)
+
+
+def test_a_listed_form_must_be_in_every_series(spark):
+    rows = [(2001, e, s, 50.0) for e in ("3-4", "5-6") for s in ("a", "b")]
+    frame = spark.createDataFrame(rows, "year int, exam string, series string, model_pct double")
+    forms = spark.createDataFrame([(2001, "5-6")], "year int, exam string")
+    assert {r.exam for r in regressions.without_forms(frame, forms).collect()} == {"3-4"}
+    partly = frame.filter("NOT (exam = '5-6' AND series = 'b')")
+    assert "listed forms in every series" in failing(regressions.without_forms(partly, forms))
+
+
+def test_image_metadata_must_cover_every_scored_item(spark):
+    items = spark.createDataFrame([(1, True, False), (2, None, False)], "item_id long, has_associated_image boolean, has_option_image boolean")
+    scored = spark.createDataFrame([(1,), (1,)], "item_id long")
+    assert [r.item_id for r in describe.evaluated_items(items, scored).collect()] == [1]
+    assert "image metadata" in failing(describe.evaluated_items(items, scored.union(spark.createDataFrame([(2,)], "item_id long"))))
+    assert "without item row" in failing(describe.evaluated_items(items, scored.union(spark.createDataFrame([(3,)], "item_id long"))))
