@@ -19,8 +19,6 @@ from examlens.llm.common import SPACES, once, written
 BINS, BITS, WORDS = 256, 8, 5
 #: Steps of an empty bin's walk before the rest of its order is searched at once.
 STEPS = 12
-#: Rows of two numbers that may be broadcast; larger tables are joined by a shuffle.
-SMALL_ROWS = 200_000
 
 
 def _shingles(text: Column, words: int) -> Column:
@@ -158,44 +156,59 @@ def with_next(
     rows: DataFrame,
     key: str,
     derive: Callable[[DataFrame], DataFrame] = lambda frame: frame,
-    width: int = 1024,
-    levels: int = 2,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Each row with the row that follows it in descending order of an integer key, as ``next``.
 
     The last row is followed by the first; missing keys come last; rows with equal keys follow
-    each other in the order of their other columns. A column ``next`` is replaced. ``derive`` adds columns to the rows and is
-    applied where they are needed, once per row.
-
-    Rows are dealt by blocks of ``width`` keys, each sorted by its own task. The first row of
-    each block also answers for the last row of the block before it; these heads, one row in
-    ``width``, are linked the same way, and only the heads of the heads meet in one task:
-    ``levels`` 2 leaves one row in ``width`` squared.
+    each other in the order of their other columns. A column ``next`` is replaced. ``derive`` adds
+    columns to the rows and is applied where they are needed, once per row.
+
+    Rows are dealt to blocks whose borders come from Spark's range partitioning of the keys (and of
+    the beginning of the first text column, which splits one key of many rows), so blocks are even
+    however sparse keys are. Each block is sorted by its own task; its last row is followed by the
+    first row of the block after it. Borders are written, one row per block; only the blocks' first
+    rows meet in one task.
     """
+    spark = rows.sparkSession
     names = [c for c in rows.columns if c != "next"]
     rows = rows.select(*names)
+    blocks = blocks or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(key).desc_nulls_last(), *[F.col(c) for c in names if c != key]]
-    if not levels:
-        derived = derive(rows)
-        everything = Window.orderBy(*order)
-        whole = everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        row = F.struct(*derived.columns)
-        return derived.withColumn("next", F.coalesce(F.lead(row).over(everything), F.first(row).over(whole)))
-    here = f"_block{levels}"
-    block = F.coalesce(F.floor(F.col(key) / width), F.lit(-(2**62))).alias(here)
+    texts = [c for c in names if c != key and dict(rows.dtypes)[c] == "string"]
+    start = F.coalesce(F.left(F.col(texts[0]), F.lit(32)), F.lit("")) if texts else F.lit("")
+    falling = F.coalesce(F.bitwise_not(F.col(key).cast("bigint")), F.lit(0))
+    place = F.struct(F.col(key).isNull().alias("z"), falling.alias("k"), start.alias("t"))
+    ranged = rows.select(place.alias("_place")).repartitionByRange(blocks, "_place")
+    firsts = written(
+        ranged.groupBy(F.spark_partition_id().alias("_part")).agg(F.min("_place").alias("_first")).select("_first"), "blocks"
+    )
+    borders = firsts.agg(F.sort_array(F.collect_set("_first"))).scalar()
+    jumps = F.array(*[F.lit(1 << k) for k in reversed(range(blocks.bit_length()))])
+
+    def blocked(frame: DataFrame) -> DataFrame:
+        """With ``_block``, the number of borders at or before a row, and whether it is the block's first."""
+
+        def further(at: Column, jump: Column) -> Column:
+            reached = (at + jump <= F.size("_borders")) & (F.get("_borders", at + jump - 1) <= F.col("_place"))
+            return F.when(reached, at + jump).otherwise(at)
+
+        found = frame.select("*", place.alias("_place"), borders.alias("_borders")).select(
+            "*", F.aggregate(jumps, F.lit(0), further).alias("_block")
+        )
+        return found.withColumn("_begins", F.get("_borders", F.col("_block") - 1) == F.col("_place")).drop("_place", "_borders")
+
     derived = derive(rows)
     fields = derived.columns
-    window = Window.partitionBy(here).orderBy(*order)
-    placed = derived.select(*fields, block).withColumn("next", F.lead(F.struct(*fields)).over(window))
-    tops = written(rows.select(block, key).groupBy(here).agg(F.max(key).alias("_top")), "tops")
-    if tops.count() <= SMALL_ROWS:
-        tops = F.broadcast(tops)
+    window = Window.partitionBy("_block").orderBy(*order)
+    placed = blocked(derived).withColumn("next", F.lead(F.struct(*fields)).over(window))
     head_rows = (
-        rows.join(tops, block.eqNullSafe(F.col(here)) & F.col(key).eqNullSafe(F.col("_top")))
-        .groupBy(here)
-        .agg(F.min(F.struct(*names)).alias("row"))
-        .select(here, "row.*")
+        blocked(rows).where("_begins").groupBy("_block").agg(F.min(F.struct(*names)).alias("row")).select("_block", "row.*")
+    )
+    heads = derive(head_rows).select("_block", F.struct(*fields).alias("head"))
+    everything = Window.partitionBy(F.lit(0)).orderBy("_block")
+    whole = everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = heads.select(
+        "_block", F.coalesce(F.lead("head").over(everything), F.first("head").over(whole)).alias("_after")
     )
-    heads = derive(head_rows).select(here, F.struct(*fields).alias("head"))
-    after = with_next(heads, here, width=width, levels=levels - 1).select(here, F.col("next.head").alias("_after"))
-    return placed.join(after, here, "left").select(*fields, F.coalesce("next", "_after").alias("next"))
+    return placed.join(after, "_block", "left").select(*fields, F.coalesce("next", "_after").alias("next"))

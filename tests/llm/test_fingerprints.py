@@ -1,6 +1,7 @@
 """MinHash and SimHash against brute force."""
 
 import hashlib
+import random
 import struct
 from collections import defaultdict
 
@@ -108,11 +109,13 @@ def test_op2_follows_the_contract(spark, rows, tmp_path):
             assert likeness == pytest.approx(max(0.0, (same - 1 / 256) / (255 / 256)), abs=1e-12)
 
 
-@pytest.mark.parametrize("width", [2, 7, 1024])
-def test_next_row_over_blocks(spark, width):
-    keys = [0, 1, 5, 6, 7, 40, 41, 1000, 1001, 5000, -3, -2000, None]
-    rows = [(k, f"t{i}") for i, k in enumerate(keys)] + [(7, "again"), (7, "again")]
-    got = minhash_bins.with_next(spark.createDataFrame(rows, "k long, t string").repartition(4), "k", width=width).collect()
+@pytest.mark.parametrize("blocks", [1, 7, 64])
+def test_next_row_over_blocks(spark, blocks):
+    """Dense, sparse and hashed keys, one key with many rows, a missing key."""
+    rng = random.Random(blocks)
+    keys = [0, 1, 5, 6, 7, 40, 41, 1000, 1001, 5000, -3, -2000, None, 2**63 - 1, -(2**63), *[rng.getrandbits(63) for _ in range(200)]]
+    rows = [(k, f"t{i}") for i, k in enumerate(keys)] + [(7, "again"), (7, "again")] + [(11, f"hot {i}") for i in range(150)]
+    got = minhash_bins.with_next(spark.createDataFrame(rows, "k long, t string").repartition(4), "k", blocks=blocks).collect()
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     want = sorted((a, order[(i + 1) % len(order)]) for i, a in enumerate(order) if a[0] is not None)
     assert sorted(((r.k, r.t), tuple(r.next)) for r in got if r.k is not None) == want
@@ -122,6 +125,16 @@ def test_next_row_over_blocks(spark, width):
     assert minhash_bins.with_next(spark.createDataFrame([], "k long, t string"), "k").count() == 0
 
 
+def test_blocks_of_sparse_keys_are_even(spark):
+    """No task sorts more than a few blocks' share of hashed ids, of one id's many rows, or of rows without id."""
+    rng = random.Random(1)
+    rows = [(rng.getrandbits(63), f"t{i}") for i in range(3000)] + [(5, f"u{i}") for i in range(3000)] + [(None, f"v{i}") for i in range(3000)]
+    frame = minhash_bins.with_next(spark.createDataFrame(rows, "k long, t string"), "k", blocks=32)
+    sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 9000
+    assert max(sizes) < 9000 * 0.6
+
+
 def brute_simhash(text, words):
     parts = (text or "").encode().lower().split()
     if not parts:
