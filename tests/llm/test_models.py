@@ -130,3 +130,25 @@ def test_ids_of_any_type(spark):
         for docs in (numbers, texts)
     ]
     assert set(got[0]) == set(got[1]) and len(got[1]) == 60
+
+
+def test_convolution_equals_a_loop_over_positions():
+    """Embedding, filters of every width, maximum over positions, softmax: one position and one filter at a time."""
+    rng = np.random.default_rng(6)
+    raws = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (1, 255, 256, 700)]
+    rows = np.concatenate([langid_cnn.windows(r) for r in raws])
+    assert len(rows) == 1 + 1 + 1 + 3
+    net = langid_cnn.fit_windows(rows, np.arange(6) % 3, ["a", "b", "c"], epochs=2)
+    got = net.log_probabilities(rows)
+    for i, row in enumerate(rows):
+        hidden = []
+        for k, (width, weights) in enumerate(zip(langid_cnn.WIDTHS, net.filters)):
+            for f in range(langid_cnn.FILTERS):
+                best = -np.inf
+                for at in range(langid_cnn.WINDOW - width + 1):
+                    span = [net.table[b, e] for b in row[at : at + width] for e in range(langid_cnn.EMBEDDING)]
+                    best = max(best, float(np.dot(np.array(span, float), weights[:, f].astype(float))))
+                hidden.append(max(0.0, best + float(net.bias[k * langid_cnn.FILTERS + f])))
+        z = np.array(hidden) @ net.out.astype(float) + net.out_bias
+        want = z - z.max() - np.log(np.exp(z - z.max()).sum())
+        assert np.allclose(got[i], want, atol=1e-4)
