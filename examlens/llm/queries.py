@@ -185,6 +185,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.groups(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+#: crc32 of the bytes whose hexadecimal digits stand in a column, by the table ``t``.
+_CRC = """xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(0, length({0}) // 2),
+        lambda i: ('0x' || substr({0}, 2 * i + 1, 2))::UBIGINT)),
+        lambda c, v: xor(c >> 8, t[((xor(c, v) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)"""
+
+
 @register(
     "op10_line_dedup",
     f"""
@@ -193,8 +199,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
                  generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
     k AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
     u AS (SELECT DISTINCT rid, source, key FROM k WHERE key <> ''),
-    w AS (SELECT *, (('0x' || substr(md5(key), 1, 8))::BIGINT::DOUBLE + 1) / length(key)::DOUBLE AS p0,
-                    (('0x' || substr(md5(key), 9, 8))::BIGINT::DOUBLE + 1) / length(key)::DOUBLE AS p1 FROM u),
+    crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::UBIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+            lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t),
+    x AS (SELECT key, hex(key) AS a, hex(reverse(key)) AS b, t FROM (SELECT DISTINCT key FROM u), crc),
+    y AS (SELECT key, {_CRC.format('a')} AS c0, {_CRC.format('b')} AS c1 FROM x),
+    w AS (SELECT u.*, (c0 + 1)::DOUBLE / length(key)::DOUBLE AS p0, (c1 + 1)::DOUBLE / length(key)::DOUBLE AS p1 FROM u JOIN y USING (key)),
     f AS (SELECT rid, min(source) AS source, min_by(key, p0, 2) AS f0, min_by(key, p1, 2) AS f1 FROM w GROUP BY rid),
     n AS (SELECT w.source, key, count(DISTINCT CASE WHEN f0[1] <> key THEN f0[1] ELSE coalesce(f0[2], key) END) AS n0,
                  count(DISTINCT CASE WHEN f1[1] <> key THEN f1[1] ELSE coalesce(f1[2], key) END) AS n1

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from examlens.llm.common import SPACES, once, written
+from examlens.llm.common import SPACES, written
 
 #: A line is dropped if it is on more than this share of its site's unlike pages, and on so many.
 RATIO, LEAST_PAGES = 0.06, 3
@@ -29,18 +29,15 @@ def _line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(trimmed).alias("x"), F.xxhash64(F.lit(7), trimmed).alias("y"))
 
 
-def _weighed(line: Column) -> Column:
-    """A line's key and, for each pick, its hash per character."""
-    trimmed = F.btrim(line, F.lit(SPACES))
-    size = F.char_length(trimmed).cast("double")
-
-    def weigh(digest: Column) -> Column:
-        picks = [
-            ((F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("double") + 1) / size).alias(f"p{k}") for k in range(PICKS)
-        ]
-        return F.struct(F.xxhash64(trimmed).alias("x"), F.xxhash64(F.lit(7), trimmed).alias("y"), *picks)
-
-    return once(F.md5(trimmed), weigh)
+def _weighed(trimmed: Column) -> Column:
+    """A trimmed line's key and, for each pick, its hash per character."""
+    hashes = [F.crc32(trimmed), F.crc32(F.reverse(trimmed))]
+    size = F.char_length(trimmed)
+    return F.struct(
+        F.xxhash64(trimmed).alias("x"),
+        F.xxhash64(F.lit(7), trimmed).alias("y"),
+        *[((h + 1) / size).alias(f"p{k}") for k, h in enumerate(hashes)],
+    )
 
 
 def frequent_lines(
@@ -54,9 +51,10 @@ def frequent_lines(
     meet per line. A missing host is a host of its own; missing texts and blank lines count for
     nothing.
     """
-    lines = F.filter(F.split(text_col, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
+    trimmed = F.transform(F.split(text_col, "\n"), lambda line: F.btrim(line, F.lit(SPACES)))
+    lines = F.array_remove(F.array_distinct(trimmed), "")
     pages = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(host_col).alias("host"), F.array_distinct(F.transform(lines, _weighed)).alias("keys")
+        F.col(host_col).alias("host"), F.transform(lines, _weighed).alias("keys")
     )
 
     def first_two(n: int) -> Column:
