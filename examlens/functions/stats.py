@@ -89,19 +89,21 @@ def binomial_quantile(trials: Column, chance: Column, uniform: Column) -> Column
         def next_weight(s: Column, k: Column) -> Column:
             return s["w"] * (b["n"] - k).cast("double") / (k + 1).cast("double") * b["odds"]
 
+        # w: probability of k successes, t: of fewer, both in units of the first
         def add(s: Column, k: Column) -> Column:
-            return F.struct(next_weight(s, k).alias("w"), (s["t"] + next_weight(s, k)).alias("t"))
+            return F.struct(next_weight(s, k).alias("w"), (s["t"] + s["w"]).alias("t"))
 
-        first = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("t"))
-        total = F.when(b["low"] == 0, F.pow(1 - b["p"], -b["n"])).otherwise(F.aggregate(ks, first, add, lambda s: s["t"]))
+        first = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("t"))
+        summed = F.aggregate(ks, first, add, lambda s: s["t"] + s["w"])
+        total = F.when(b["low"] == 0, F.pow(1 - b["p"], -b["n"])).otherwise(summed)
 
         def pass_by(target: Column) -> Column:
             def step(s: Column, k: Column) -> Column:
-                below = F.when(s["t"] <= target, s["c"] + 1).otherwise(s["c"])
-                w = next_weight(s, k)
-                return F.struct(w.alias("w"), (s["t"] + w).alias("t"), below.alias("c"))
+                upto = s["t"] + s["w"]
+                passed = F.when(upto <= target, s["c"] + 1).otherwise(s["c"])
+                return F.struct(next_weight(s, k).alias("w"), upto.alias("t"), passed.alias("c"))
 
-            counted = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("t"), F.lit(0).cast("bigint").alias("c"))
+            counted = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("t"), F.lit(0).cast("bigint").alias("c"))
             return F.aggregate(ks, counted, step, lambda s: s["c"])
 
         return b["low"] + once(b["u"] * total, pass_by)
