@@ -143,3 +143,23 @@ def test_shared_folder_is_read_from_the_session():
 def test_a_cluster_without_shared_folder_is_an_error():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(_Session(None, "yarn"), "p")
+
+
+def _orders(spark, folder, rows):
+    """A small orders table; a query over it reads nothing else."""
+    key = F.col("id") + 1
+    spark.range(rows).select(
+        key.alias("o_orderkey"),
+        F.timestamp_seconds(F.lit(800000000) + key * 86400).alias("o_orderdate"),
+        F.element_at(F.array(F.lit("1-URGENT"), F.lit("5-LOW")), (key % 2 + 1).cast("int")).alias("o_orderpriority"),
+    ).write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_item_scan_sends_no_item_table_to_the_driver(spark, tmp_path):
+    from examlens.plans import catalog
+
+    scanned = catalog.QUERIES["a1_a9_b12_item_scan"](spark, _orders(spark, tmp_path, 40))
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert scanned.agg(F.sum("items")).first()[0] == 40
