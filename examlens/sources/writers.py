@@ -31,13 +31,16 @@ def write_like(frame: DataFrame, source: DataFrame, path: str) -> None:
     conform(frame, source.schema).write.parquet(path)
 
 
-def write_run_logs(results: DataFrame, responses: DataFrame, folder: str) -> None:
-    """JSON lines: results, raw responses and failures; failures come from the written results."""
-    results.write.json(f"{folder}/results.jsonl", ignoreNullFields=False)
-    responses.write.json(f"{folder}/raw_responses.jsonl", ignoreNullFields=False)
+def write_run_logs(results: DataFrame, responses: DataFrame, folder: str, compression: str = "gzip") -> None:
+    """JSON lines: results, raw responses and failures; failures come from the written results.
+
+    Every line names all fields, so the files are packed; Spark reads them by their ending.
+    """
+    results.write.json(f"{folder}/results.jsonl", compression=compression, ignoreNullFields=False)
+    responses.write.json(f"{folder}/raw_responses.jsonl", compression=compression, ignoreNullFields=False)
     written = results.sparkSession.read.schema(results.schema).json(f"{folder}/results.jsonl")
     failures = written.filter(F.col("error").isNotNull()).select("id", "error", "warnings")
-    failures.write.json(f"{folder}/failures.jsonl", ignoreNullFields=False)
+    failures.write.json(f"{folder}/failures.jsonl", compression=compression, ignoreNullFields=False)
 
 
 def write_tables(

@@ -124,6 +124,23 @@ def test_empty_results_keep_their_schema(spark, tmp_path):
     assert back.columns == schemas.RUN_RECORD.names and back.count() == 0
 
 
+def test_run_logs_are_packed_and_complete(spark, tmp_path):
+    rows = spark.range(2000).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 10 == 0, "HTTP 500").alias("error"),
+        F.array(F.lit("no_parse")).alias("warnings"),
+    )
+    written = writers.conform(rows, schemas.RUN_RECORD)
+    writers.write_run_logs(written, rows.select("id"), str(tmp_path))
+    logged = spark.read.schema(schemas.RUN_RECORD).json(f"{tmp_path}/results.jsonl")
+    assert logged.exceptAll(written).isEmpty() and logged.count() == 2000
+    assert spark.read.json(f"{tmp_path}/failures.jsonl").count() == 200
+    assert spark.read.json(f"{tmp_path}/raw_responses.jsonl").count() == 2000
+    text = spark.read.text(f"{tmp_path}/results.jsonl").agg(F.sum(F.length("value"))).first()[0]
+    stored = sum(f.stat().st_size for f in (tmp_path / "results.jsonl").glob("part-*"))
+    assert stored < text / 5
+
+
 class _Session:
     """Just the two attributes that choose the folder."""
 
