@@ -37,6 +37,24 @@ def hash32(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+#: Items that one task sorts.
+TASK_ITEMS = 250_000
+
+
+def dealt(frame: DataFrame, items: int, *keys: str) -> DataFrame:
+    """``frame`` split by ``keys`` into tasks of about ``TASK_ITEMS`` of its ``items``.
+
+    The number of tasks is set, so that they are not merged by their packed bytes: short,
+    repetitive rows take many times those where they are sorted. What is joined to the frame on
+    the keys is split alike, and so needs no fewer tasks than the session asks for. One task's
+    worth stays as it is.
+    """
+    if items <= TASK_ITEMS:
+        return frame
+    asked = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(max(asked, -(-items // TASK_ITEMS)), *keys)
+
+
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated a single time, however often ``use`` names it."""
     return F.transform(F.array(value), use)[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from examlens.functions.common import dealt
 from examlens.operators import agreement as ag
 from examlens.operators import bootstrap, later_runs, options, scoring
 from examlens.plans import adapters as a
@@ -143,8 +144,11 @@ RUN_PAIRS = [
 
 
 def run_pairs(spark, sf_dir):
-    base = a.scored(spark, sf_dir).filter(F.col("model") == "m4")
-    runs = a.later_scored(spark, sf_dir).drop("position").unionByName(base)
+    """The base run and the later ones, scored together, side by side per item."""
+    items = a.items(spark, sf_dir)
+    base = a.attempts(spark, sf_dir).filter(F.col("model") == "m4")
+    attempts = a.later_attempts(spark, sf_dir).drop("position").unionByName(base)
+    runs = scoring.score_attempts(dealt(attempts, items.count(), "item_id"), items)
     return ag.run_pairs(runs, RUNS, RUN_PAIRS, ["multimodal"])
 
 

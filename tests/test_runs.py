@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from examlens.functions.messages import coerce_byte_list, coerce_bytes, flatten_content
 from examlens.functions.quantiles import exact_quantiles
+from examlens.functions import common
 from examlens.operators import agreement, options, responses, run_report, selection
 from examlens.operators.selection import Selection
 
@@ -247,3 +248,27 @@ def test_selection_order_and_errors(spark):
     for bad in ("2001", "a-b", "1-2-3"):
         with pytest.raises(ValueError, match="low-high"):
             selection.parse_range(bad, int)
+
+
+def test_item_tables_are_split_by_their_items(spark, monkeypatch):
+    monkeypatch.setattr(common, "TASK_ITEMS", 10)
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(100)
+    assert common.dealt(rows, 10, "id") is rows
+    assert common.dealt(rows, 1000, "id").rdd.getNumPartitions() == max(asked, 100)
+
+
+def test_paired_runs_are_scored_in_tasks_of_set_size(spark, tmp_path, monkeypatch):
+    from examlens.plans import queries_runs
+
+    monkeypatch.setattr(common, "TASK_ITEMS", 10)
+    key = F.col("id") + 1
+    spark.range(400).select(
+        key.alias("o_orderkey"),
+        F.timestamp_seconds(F.lit(800000000) + key * 86400).alias("o_orderdate"),
+        F.lit("1-URGENT").alias("o_orderpriority"),
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    paired = queries_runs.run_pairs(spark, str(tmp_path))
+    plan = paired._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(item_id" in plan and "40), REPARTITION_BY_NUM" in plan
+    assert paired.count() == 400 * len(queries_runs.RUN_PAIRS)
