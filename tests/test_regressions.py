@@ -253,3 +253,27 @@ def test_constant_columns_give_null_correlations(spark):
 def test_p_values(spark, r, n, p):
     got = spark.range(1).select(stats.two_sided_p(F.lit(r), F.lit(n)).alias("p")).first().p
     assert got == pytest.approx(p, rel=1e-9)
+
+
+def _quantile_by_sums(n, p, u):
+    """Binomial quantile by summing probabilities within 12 standard deviations, in numpy."""
+    mean, sd = n * p, np.sqrt(n * p * (1 - p))
+    ks = np.arange(max(0, int(mean - 12 * sd)), min(n, int(mean + 12 * sd)) + 1)
+    steps = np.log((n - ks[:-1]) / (ks[:-1] + 1)) + np.log(p / (1 - p))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    weights = np.exp(logs - logs.max())
+    return int(ks[np.searchsorted(np.cumsum(weights) / weights.sum(), u, side="right")])
+
+
+def test_binomial_quantiles_of_many_trials_take_a_set_number_of_steps(spark):
+    rng = np.random.default_rng(3)
+    cases = [(int(10 ** rng.uniform(3.3, 6)), float(rng.uniform(0.25, 0.8)), float(rng.uniform(1e-4, 1 - 1e-4))) for _ in range(300)]
+    # beyond six deviations, where a sum from there on leaves out what lies further
+    cases += [(9330214, 0.5774836611762979, 3.254795512531272e-9), (7083240, 0.5139291293661671, 0.9999999967452045)]
+    frame = spark.createDataFrame(cases, "n bigint, p double, u double")
+    near, whole = (f(F.col("n"), F.col("p"), F.col("u")) for f in (stats._near_quantile, stats.binomial_quantile))
+    got = frame.select("*", near.alias("near"), whole.alias("whole")).collect()
+    for r in got:
+        assert r.near == r.whole == _quantile_by_sums(r.n, r.p, r.u), r
+    huge = spark.createDataFrame([(10**12, 0.5, 0.5)], "n bigint, p double, u double").select(whole).first()[0]
+    assert abs(huge - 5 * 10**11) <= 1
